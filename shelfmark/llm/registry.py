@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, piece_codec
 
 
 def queries() -> dict:
     return {
         "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
+        "op5_min_bin_slack_packing": packing.op5_min_bin_slack_packing,
+        "op7_distinct_chunk_pieces": piece_codec.op7_distinct_chunk_pieces,
     }
 
 
