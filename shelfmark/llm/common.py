@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends, start, total = [], 0, 0
         for i, n in enumerate(sizes.tolist()):
             if total and total + n > limit:
@@ -71,7 +72,7 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray,
     """All texts of a batch as one byte array, and the n + 1 offsets (null: empty)."""
     col = batch.column(batch.schema.get_field_index(column))
     if col.null_count:
-        col = pa.compute.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
+        col = pc.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)

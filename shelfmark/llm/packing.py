@@ -66,7 +66,8 @@ _OPEN: dict = {}
 
 def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece; with the ids as bytes, if asked for. Null text: the end id alone."""
-    spec = PIECES + (", ids binary" if ids else "")
+    spec = common.schema(PIECES + (", ids binary" if ids else ""))
+    fields = spec.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder.open(), np.asarray([end_id], dtype="<u4").tobytes()
@@ -78,9 +79,9 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id:
                 for at in range(0, n, capacity):
                     part = data[4 * at : 4 * (at + capacity)]
                     rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, part)[: 6 if ids else 5])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=[f.name for f in common.schema(spec)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=fields)
 
-    return common.pair(docs, id_col, text_col).mapInArrow(cut, common.schema(spec))
+    return common.pair(docs, id_col, text_col).mapInArrow(cut, spec)
 
 
 def fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
