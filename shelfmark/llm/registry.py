@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, piece_codec
+from . import exact_dedup, packing, personal_data, piece_codec, tiff, warc
 
 
 def queries() -> dict:
     return {
+        "op3_zstd_warc": warc.op3_zstd_warc,
         "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
         "op5_min_bin_slack_packing": packing.op5_min_bin_slack_packing,
         "op7_distinct_chunk_pieces": piece_codec.op7_distinct_chunk_pieces,
+        "op8_tiff_pages": tiff.op8_tiff_pages,
+        "op9_anchor_expansion": personal_data.op9_anchor_expansion,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_zstd_warc": warc.OP3_SQL,
         "op4_block_naming_dedup": exact_dedup.OP4_SQL,
     }
