@@ -13,52 +13,44 @@ from collections.abc import Callable
 _UNEVEN = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Longest chunk and number of chunks that a worker remembers.
-LONGEST, MOST = 48, 400_000
+LONGEST, MOST = 48, 500_000
 
 
-def cut(text: str) -> tuple[str, list[str]]:
-    """The first chunk, and keys of the others.
+def cut(text: str) -> list[str]:
+    """The first chunk, then keys of the others.
 
     A key stands for itself if it starts with a space or a line feed, and else for itself with a space in front:
     so most keys are what split() gives.
     """
-    if not text:
-        return "", []
-    if text[0] in " \n" or _UNEVEN.search(text):
-        parts = _CUT.split(text)
-    else:
-        parts = text.replace("\n", " \n").split(" ")
-    return parts[0], parts[1:]
+    if text[:1] in (" ", "\n") or _UNEVEN.search(text):
+        return _CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
 
 
 def chunk(key: str) -> str:
     return key if key[:1] in (" ", "\n") and key else " " + key
 
 
-class Table:
-    """What encode gives for each distinct chunk (several strings or bytes, kept apart); bounded."""
+class Table(dict):
+    """What encode gives for each distinct chunk, by key.
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple]], longest: int = LONGEST, most: int = MOST):
-        self.encode, self.longest, self.most, self.known = encode, longest, most, []
-
-    def fill(self, keys: list[str]) -> None:
-        for key, values in zip(keys, self.encode([chunk(k) for k in keys]), strict=True):
-            if not self.known:
-                self.known = [{} for _ in values]
-            for known, value in zip(self.known, values, strict=True):
-                known[key] = value
+    Bounded: renew(), called between batches, starts a new generation once there are `most`, and what is still in use
+    moves on from the one before. Chunks of over `longest` characters aren't remembered.
+    """
 
-    def look(self, keyed: list[list[str]]) -> list[list[list]]:
-        """For each list of keys, for each kind of value, the values in order."""
-        if self.known and len(self.known[0]) > self.most:
-            self.known = []
-        have = self.known[0] if self.known else {}
-        missing = list({k for keys in keyed for k in keys if k not in have}) if not have else list({k for keys in keyed for k in set(keys).difference(have)})
-        if missing:
-            self.fill(missing)
-        out = [[list(map(known.__getitem__, keys)) for known in self.known] for keys in keyed]
-        for k in missing:
-            if len(k) > self.longest:
-                for known in self.known:
-                    del known[k]
-        return out
+    def __init__(self, encode: Callable[[str], object], longest: int = LONGEST, most: int = MOST):
+        super().__init__()
+        self.encode, self.longest, self.most, self.old = encode, longest, most, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.encode(chunk(key))
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def renew(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()

@@ -12,10 +12,14 @@ Pieces are then ranked within their length and looked up in the plan. Ranks come
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,23 +49,56 @@ class Encoder:
         if key not in _OPEN:
             tokenizer = Tokenizer.from_file(self.path)
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            ranks = _ranks(self.path)
 
-            def encode(texts: list[str]) -> list[tuple[bytes]]:
-                return [(np.asarray(e.ids, dtype="<u4").tobytes(),) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            def whole_text(text: str) -> bytes:
+                return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+            if ranks:
+                import tiktoken
+
+                merge = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+                def encode(text: str) -> bytes:
+                    return array("I", merge(text)).tobytes()
+            else:
+                encode = whole_text
 
             table = chunks.Table(encode, self.longest, self.most)
 
             def look(texts: list[str]) -> list[bytes]:
-                whole = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-                cuts = [chunks.cut("" if i in whole else t) for i, t in enumerate(texts)]
-                heads = encode([t if i in whole else head for i, (t, (head, _)) in enumerate(zip(texts, cuts, strict=True))])
-                return [b"".join([head, *(x[0] if x else ())]) for (head,), x in zip(heads, table.look([keys for _, keys in cuts]), strict=True)]
+                table.renew()
+                out = []
+                for text in texts:
+                    if any(s in text for s in special):  # a special token's string is left to the library
+                        out.append(whole_text(text))
+                        continue
+                    keys = iter(chunks.cut(text))
+                    out.append(b"".join(chain((encode(next(keys)),), map(table.__getitem__, keys))))
+                return out
 
             _OPEN[key] = look
         return _OPEN[key]
 
 
 _OPEN: dict = {}
+#: How byte-level pre-tokenizing splits text (a fixed value of the format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """The byte strings of a byte-level BPE file by id, if merging by least id is the same as merging by the file's order."""
+    held = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, pre = held["model"], held.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or held.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model.get("ignore_merges"):
+        return None
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]  # these bytes stand for themselves, the others for 256 + k
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    vocab, first = model["vocab"], len(byte)
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get(a + b) != first + i for i, (a, b) in enumerate(pairs)) or len(vocab) != first + len(pairs):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
 
 
 def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -80,18 +80,17 @@ class _Open:
         self.table = chunks.Table(self._segment, codec.longest, codec.most)
         self.end = self.model.eos_id()
 
-    def _segment(self, parts: list[str]) -> list[tuple[str, str]]:
-        """(ids as text, decoded) of chunks: a space in front becomes the marker that the model adds; a line feed has a marker to take away."""
-        out = []
-        for part, ids in zip(parts, self.model.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1), strict=True):
-            if part == " ":  # alone it encodes to nothing, as the marker in front belongs to a text
-                out.append((str(self.marker_id), " "))
-            elif part[0] == " ":
-                out.append((" ".join(map(str, ids)), " " + self.model.decode(ids)))
-            else:
-                ids = ids[1:]
-                out.append((" ".join(map(str, ids)), self.model.decode(ids)))
-        return out
+    def _segment(self, part: str) -> tuple[str, str]:
+        """Ids of a chunk, as text, and what they decode to.
+
+        A space in front is the marker that the model adds, and that decoding takes away; before a line feed there is none.
+        """
+        if part == " ":  # alone it encodes to nothing, as the marker in front belongs to a text
+            return str(self.marker_id), " "
+        spaced = part[0] == " "
+        ids = self.model.encode(part[1:] if spaced else part)
+        ids = ids if spaced else ids[1:]
+        return " ".join(map(str, ids)), " " * spaced + self.model.decode(ids)
 
     def code(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids and end id as text, decoded text) of each text."""
@@ -101,13 +100,12 @@ class _Open:
                 yield " ".join(map(str, [*ids, self.end])), self.model.decode([*ids, self.end])
             return
         # with the marker in front as a space, every chunk starts with a space or a line feed
-        keyed = []
+        self.table.renew()
         for t in texts:
-            head, keys = chunks.cut(" " + t.replace(MARK, " ")) if t and (t[0] in " \n" or MARK in t) else chunks.cut(t)
-            keyed.append([head, *keys] if t else [])
-        for got in self.table.look(keyed):
-            ids, decoded = got or ([], [])
-            yield " ".join([*ids, str(self.end)]), "".join(decoded)[1:]
+            if MARK in t:
+                t = t.replace(MARK, " ")
+            found = list(map(self.table.__getitem__, chunks.cut(" " + t if t[0] in " \n" else t))) if t else []
+            yield " ".join([*[x for x, _ in found], str(self.end)]), "".join([x for _, x in found])[1:]
 
 
 _OPEN: dict = {}
