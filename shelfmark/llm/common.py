@@ -36,6 +36,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, column: str) -> str:
+    """Write df to the shared folder, one directory for each of the few values of a column; the folder's path."""
+    path = f"{shared_dir(df.sparkSession)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return path
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

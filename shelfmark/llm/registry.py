@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, personal_data, piece_codec, tiff, warc
+from . import exact_dedup, language, packing, personal_data, piece_codec, repeated_words, tiff, warc
 
 
 def queries() -> dict:
     return {
         "op1_crf_language": language.op1_crf_language,
+        "op2_count_min_windows": repeated_words.op2_count_min_windows,
         "op3_zstd_warc": warc.op3_zstd_warc,
         "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
         "op5_min_bin_slack_packing": packing.op5_min_bin_slack_packing,
