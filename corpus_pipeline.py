@@ -1,10 +1,57 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+applies them in order; each stage's result is written to the shared folder as Parquet and read again for the next.
+SQL can't express the learned language model, the sketches or the tokenizer, so there is no oracle SQL; tests hold the
+stages against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfmark.llm import common, exact_dedup, language, near_dedup, packing, personal_data
 
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the labelled rows teach; those without a letter or a text go. lang is the prediction."""
+    return language.keep_known(docs, language.fit(docs))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (shingles of five words, similarity of 0.8 or more), the row with the smallest doc_id stays."""
+    return near_dedup.drop_copies(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts give way to the name of their kind; n_chars is renewed."""
+    return personal_data.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: one row for each piece of a document, with its place."""
+    return packing.pack(docs, packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("PII", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
 
-STAGES: list = []
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, personal_data, piece_codec, repeated_words, tiff, warc
+from . import exact_dedup, language, near_dedup, packing, personal_data, piece_codec, repeated_words, tiff, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_zstd_warc": warc.op3_zstd_warc,
         "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
         "op5_min_bin_slack_packing": packing.op5_min_bin_slack_packing,
+        "op6_setsketch_near_dedup": near_dedup.op6_setsketch_near_dedup,
         "op7_distinct_chunk_pieces": piece_codec.op7_distinct_chunk_pieces,
         "op8_tiff_pages": tiff.op8_tiff_pages,
         "op9_anchor_expansion": personal_data.op9_anchor_expansion,
