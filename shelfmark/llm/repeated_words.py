@@ -21,7 +21,7 @@ from . import common, sketch
 
 WINDOW, GRAM = 35, 8
 #: Candidate windows that a task groups at a time; entries for each bucket of the exact pass, about.
-FLUSH, PER_BUCKET = 2_000_000, 400_000
+FLUSH, PER_BUCKET = 1_000_000, 400_000
 
 
 def _grams(batch: pa.RecordBatch, window: int, gram: int) -> tuple:
@@ -86,7 +86,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     out.append((2, None, None, None, None, None, int(bucket[part[0]]), b"".join((a[part].tobytes(), b[part].tobytes(), rows[part].tobytes(), at[part].astype(np.uint32).tobytes(), many[part].tobytes()))))
             yield send(out)
 
-        for batch in common.small_batches(batches):
+        for batch in common.small_batches(batches, limit=2 << 20):
             raw, starts, ends, first, values, at, text, where, grams = _grams(batch, window, gram)
             hot = sketch.estimated_repeated(told.value, grams[where], bits) if len(at) else np.zeros(0, bool)
             at, text = at[hot], text[hot]

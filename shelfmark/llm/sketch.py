@@ -23,7 +23,7 @@ from . import common
 
 DEPTH, BITS, CHUNK = 2, 27, 16
 #: Picks that a task gathers before it sends a sketch.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 ARROW = pa.schema([("depth", pa.int32()), ("chunk", pa.int32()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 _SALTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
@@ -97,7 +97,7 @@ def repeated(docs: DataFrame, picks: Callable[[pa.RecordBatch], tuple[np.ndarray
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=ARROW)
 
-        for batch in common.small_batches(batches):
+        for batch in common.small_batches(batches, limit=2 << 20):
             grams, n = picks(batch)
             symbols += n
             if len(grams):
