@@ -98,13 +98,17 @@ def prefix_terms(search: str) -> list[str]:
 def matches_prefixes(terms: list[str], *columns: Column) -> Column:
     """Whether each term begins a word of the columns."""
     held = tokens(*columns)
-    return reduce(lambda a, b: a & b, [F.exists(held, lambda t, term=term: F.startswith(t, F.lit(term))) for term in terms], F.lit(True))
+    return reduce(lambda a, b: a & b, [F.exists(held, _begins(term)) for term in terms], F.lit(True))
+
+
+def _begins(term: str):
+    return lambda t: F.startswith(t, F.lit(term))
 
 
 def term_score(terms: list[str], *columns: Column) -> Column:
     """How many words the terms begin: the rank of search results (ties by id)."""
     held = tokens(*columns)
-    return reduce(lambda a, b: a + b, [F.size(F.filter(held, lambda t, term=term: F.startswith(t, F.lit(term)))) for term in terms], F.lit(0))
+    return reduce(lambda a, b: a + b, [F.size(F.filter(held, _begins(term))) for term in terms], F.lit(0))
 
 
 # ---- links ----
