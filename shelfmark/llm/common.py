@@ -6,7 +6,7 @@ import hashlib
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = end
 
 
+def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 2 << 20) -> DataFrame:
+    """docs with each batch (of at most about limit bytes of text) changed, all columns and their order kept."""
+    fields = docs.schema
+    names = fields.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "__text", limit):
+            out = change(batch)
+            yield pa.RecordBatch.from_arrays([out.column(out.schema.get_field_index(n)) for n in names], names=names)
+
+    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, fields)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """All texts of a batch as one byte array, and the n + 1 offsets (null: empty)."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,19 +211,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def keep_known(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
     """Rows of docs with a predicted language (not `und`) and a score of at least `least`; the label column holds the prediction."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    has = label_col in docs.columns
 
-    @F.pandas_udf("lang string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
-        for i in range(0, len(texts), 500):
-            a, b = label_texts(held.value, [t if isinstance(t, str) else None for t in texts.iloc[i : i + 500]])
-            names += a
-            scores += b
-        return pd.DataFrame({"lang": names, "score": scores})
-
-    got = docs.select("*", label(F.col(text_col).cast("string")).alias("__label"))
-    got = got.filter((F.col("__label.lang") != UNKNOWN) & (F.col("__label.score") >= least))
-    return got.withColumn(label_col, F.col("__label.lang")).drop("__label") if label_col in docs.columns else got.drop("__label")
+    def label(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores = label_texts(held.value, batch.column("__text").to_pylist())
+        if has:
+            at = batch.schema.get_field_index(label_col)
+            batch = batch.set_column(at, label_col, pa.array(names, pa.string()).cast(batch.schema.field(at).type))
+        return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return common.rows_like(docs, label, text_col)
 
 
 def label_texts(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

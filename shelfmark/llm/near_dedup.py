@@ -7,12 +7,14 @@ sketches of parts merge by the register-wise extreme, and registers agree about
 1. One pass makes each document's set size, a 128-bit digest of its set, and its registers. Documents with equal sets
    form a class; its smallest id stands for it.
 2. Bands of registers are bucket keys. Buckets with the same members are one bucket. Members of a small bucket are
-   paired; in a larger one each is paired with a few pivots, found by partial aggregates, so a bucket of any size
-   gives rows in proportion to its members.
+   paired; in a larger one each is paired with pivots, found by partial aggregates, so a bucket of any size gives rows
+   in proportion to its members.
 3. Pairs are held against the joint likelihood of their registers, given both set sizes; those that may be similar are
    verified on full sets, and give links.
-4. Buckets that still hold several components get further pairs: members outside of the bucket's largest component
-   against all, in blocks, as far as the likelihood lets them; verified in the same way.
+4. In buckets that still hold several components, members outside of the bucket's largest component meet all others of
+   other components, in blocks of bounded size: first their registers, by the same likelihood, then their full sets,
+   as long as no link found in the block joins their components already. A block gives fewer links than it has rows,
+   and a pair is looked at in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Registers (a power of two), base of their scale, offset of the scale's zero; bands and registers in a band.
 REGISTERS, BASE, SHIFT, BANDS, ROWS = 256, 1.1, 25, 42, 6
 #: Members of a bucket that are paired with each other, and pivots of a larger one; block of the last step.
-SMALL, PIVOTS, BLOCK = 6, 5, 512
+SMALL, PIVOTS, BLOCK = 4, 1, 512
+#: Bits (as a power of two) of the filter that lets the texts of needed classes through: 8 MB, whatever the input.
+FILTER_BITS = 26
 #: How far below its greatest value the log-likelihood at the threshold may lie for a pair to be verified.
 MARGIN = 9.0
 _GRID = np.linspace(0.0, 1.0, 201)
@@ -135,11 +139,12 @@ def _sketch(source: DataFrame, size: int) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: all of small buckets, members with pivots of others."""
-    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)])
-    few = members.join(pivots.filter(F.col("n") <= SMALL).select("bucket"), "bucket")
+    """(a, b) with a < b: all of small buckets, members with the pivots of others. members has bucket, n, rep."""
+    few = members.filter(F.col("n") <= SMALL).select("bucket", "rep")
     small = few.alias("x").join(few.alias("y"), "bucket").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    large = members.join(pivots.filter(F.col("n") > SMALL).select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("ps")), "bucket").select("rep", F.explode("ps").alias("p")).filter("rep <> p")
+    many = members.filter(F.col("n") > SMALL).select("bucket", "rep")
+    pivots = many.groupBy("bucket").agg(F.array(F.min("rep"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(1, PIVOTS)]).alias("ps"))
+    large = many.join(pivots, "bucket").select("rep", F.explode(F.array_distinct("ps")).alias("p")).filter("rep <> p")
     return small.unionByName(large.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))).distinct()
 
 
@@ -160,15 +165,30 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sets(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(rep, elements): the full set of each needed class, from the text of its smallest id."""
-    rows = source.join(needed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    """(rep, digest, elements): the full sets of needed classes, from the texts of their smallest ids.
+
+    A bitmap of hashed ids, of a fixed size, is sent to the scan of the texts, so that texts themselves aren't
+    shuffled; what passes by chance goes when ids and digests are joined.
+    """
+    bits = 1 << FILTER_BITS
+    at = needed.select((F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1).alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()  # 4 KB for each 32768 bits
+    held = np.zeros(bits // 8, np.uint8)
+    for r in maps:
+        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    told = source.sparkSession.sparkContext.broadcast(held)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches):
-            sets = shingles(*common.text_bytes(batch), size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["rep", "elements", "digest"])
+        for batch in batches:
+            where = np.asarray(batch.column("at"), dtype=np.int64)
+            batch = batch.filter(pa.array((told.value[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)))
+            for part in common.small_batches(batch_ for batch_ in [batch] if batch.num_rows):
+                sets = shingles(*common.text_bytes(part), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "elements"])
 
-    return rows.mapInArrow(make, common.schema("rep long, elements binary, digest binary"))
+    rows = source.filter("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    found = rows.mapInArrow(make, common.schema("rep long, digest binary, elements binary"))
+    return found.join(needed, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -182,47 +202,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_ = np.concatenate((s, t))
-                both_.sort(kind="stable")
-                shared = int(np.count_nonzero(both_[1:] == both_[:-1]))
-                keep.append(100 * shared >= hundredths * (len(both_) - shared))
+                shared = _shared(s, t)
+                keep.append(100 * shared >= hundredths * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(test, common.schema("a long, b long"))
 
 
-def _further(members: DataFrame, labels: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs across components within a bucket: members outside of its largest component, in blocks, against all."""
-    known = members.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+def _shared(s: np.ndarray, t: np.ndarray) -> int:
+    both = np.concatenate((s, t))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _further(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links across components within a bucket that pivots have missed: enough of them to join what belongs together."""
+    known = members.join(labels, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = known.groupBy("bucket", "component").count()
     several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.sum("count").alias("n")).filter(f"parts > 1 AND n > {SMALL}")
     open_ = common.keep(known.join(several.select("bucket", "main"), "bucket"), "open")
-    if open_.isEmpty():
-        return open_.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    # each outsider block meets each block of its bucket once
+    # each block of outsiders meets each block of its bucket once
     outside = open_.filter("component <> main")
     blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     outer = outside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("o"))
     grid = blocks.join(outer, "bucket")
     part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    left = outside.join(grid, "bucket").select("bucket", part("o", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "rep", "component", F.lit(0).alias("side"))
-    right = open_.join(grid, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), part("k", 2).alias("j"), "rep", "component", F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    left = outside.join(grid, "bucket").select("bucket", "band", part("o", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "rep", "component", F.lit(0).alias("side"))
+    right = open_.join(grid, "bucket").select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), part("k", 2).alias("j"), "rep", "component", F.lit(1).alias("side"))
+    rows = left.unionByName(right).join(reps.select("rep", "n_shingles", "sketch"), "rep").join(sets.select("rep", "elements"), "rep")
+    hundredths = round(threshold * 100)
 
     def meet(table):
+        band = table["band"][0].as_py()
         side = np.asarray(table["side"])
         rep, comp, n = (np.asarray(table[c], dtype=np.int64) for c in ("rep", "component", "n_shingles"))
         regs = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
+        bands = regs[:, : band * ROWS].reshape(len(rep), band, ROWS)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         right_ = np.flatnonzero(side == 1)
         a, b = [], []
         for i in np.flatnonzero(side == 0).tolist():
             near = right_[(comp[right_] != comp[i]) & (np.minimum(n[right_], n[i]) >= threshold * np.maximum(n[right_], n[i]) - 1e-9)]
             near = near[(regs[near] == regs[i]).sum(axis=1) >= REGISTERS * (threshold - 0.2)]
-            if len(near):
-                lost = likelihood(np.repeat(regs[i : i + 1], len(near), axis=0), regs[near], np.full(len(near), float(n[i])), n[near].astype(float), threshold)[1]
-                for r in rep[near[lost <= MARGIN]].tolist():
-                    a.append(min(r, int(rep[i])))
-                    b.append(max(r, int(rep[i])))
+            if band and len(near):
+                near = near[~(bands[near] == bands[i]).all(axis=2).any(axis=1)]
+            if not len(near):
+                continue
+            estimate, lost = likelihood(np.repeat(regs[i : i + 1], len(near), axis=0), regs[near], np.full(len(near), float(n[i])), n[near].astype(float), threshold)
+            fine = lost <= MARGIN
+            for r in near[fine][np.argsort(-estimate[fine], kind="stable")].tolist():
+                x, y = root(int(comp[i])), root(int(comp[r]))
+                if x != y:
+                    shared = _shared(held[i], held[r])
+                    if 100 * shared >= hundredths * (len(held[i]) + len(held[r]) - shared):
+                        parent[max(x, y)] = min(x, y)
+                        a.append(min(int(rep[i]), int(rep[r])))
+                        b.append(max(int(rep[i]), int(rep[r])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
@@ -241,22 +283,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classes = made.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"))
     reps = common.keep(classes.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.sketch").alias("sketch")), "classes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    every = reps.select("rep", F.explode(bands).alias("bucket"))
-    # buckets of the same members are one: they agree in count, sum and exclusive-or of hashes
-    shape = every.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")).filter("n > 1")
-    chosen = shape.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
+    every = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
+    # buckets of the same members are one, that of the first band: they agree in count, sum and exclusive-or of hashes
+    shape = every.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")).filter("n > 1")
+    chosen = shape.groupBy("n", "s", "x").agg(F.min(F.struct("band", "bucket")).alias("c")).select("c.bucket", "n")
     members = common.keep(every.join(chosen, "bucket"), "members")
     likely = common.keep(_likely(_pairs(members), reps, threshold), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = common.keep(_sets(source, needed, shingle).join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "sets")
+    needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).union(members.filter(F.col("n") > SMALL).select("rep")).distinct()
+    sets = common.keep(_sets(source, reps.join(needed, "rep", "left_semi").select("rep", "digest"), shingle), "sets")
     links = common.keep(_verified(likely, sets, threshold), "links")
     found = common.keep(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "components")
-    more = common.keep(_further(members, found, reps, threshold).join(likely, ["a", "b"], "left_anti"), "further")
+    more = common.keep(_further(members, found, reps, sets, threshold), "further")
     if not more.isEmpty():
-        missing = more.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep"), "rep", "left_anti")
-        extra = common.keep(_sets(source, missing, shingle).join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]), "sets")
-        links = links.unionByName(_verified(more, sets.unionByName(extra), threshold))
-        found = common.keep(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "components")
+        found = common.keep(components(links.unionByName(more), "a", "b").select(F.col("node").alias("rep"), "component"), "components")
     labelled = reps.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = made.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -156,15 +156,18 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data masked in the text and, if there is such a column, its length renewed; null stays null."""
 
-    @F.pandas_udf("string")
-    def mask(texts):
-        look = finder().spans
-        return texts.map(lambda t: t if not isinstance(t, str) or not (found := look(t)) else masked(t, found))
+    has = length_col in docs.columns and dict(docs.dtypes)[length_col] in ("bigint", "int")
 
-    out = docs.withColumn(text_col, mask(F.col(text_col)))
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return out
+    def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        look = finder().spans
+        texts = [t if not t or not (found := look(t)) else masked(t, found) for t in batch.column("__text").to_pylist()]
+        batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+        if has:
+            at = batch.schema.get_field_index(length_col)
+            batch = batch.set_column(at, length_col, pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(at).to_pylist(), strict=True)], batch.schema.field(at).type))
+        return batch
+
+    return common.rows_like(docs, mask, text_col, common.BATCH_BYTES)
 
 
 def op9_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
