@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import projections, relational, scalars, sequences, vectors  # noqa: F401  (modules register their queries)
+from ..operators import mutations, projections, relational, scalars, sequences, vectors  # noqa: F401  (modules register their queries)
 from ..sources.catalog import Catalog
 from .define import ORACLES, QUERIES
 
