@@ -34,7 +34,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Registers (a power of two), base of their scale, offset of the scale's zero; bands and registers in a band.
 REGISTERS, BASE, SHIFT, BANDS, ROWS = 256, 1.1, 25, 42, 6
 #: Members of a bucket that are paired with each other, and pivots of a larger one; block of the last step.
-SMALL, PIVOTS, BLOCK = 4, 1, 512
+SMALL, PIVOTS, BLOCK = 4, 1, 1024
 #: Bits (as a power of two) of the filter that lets the texts of needed classes through: 8 MB, whatever the input.
 FILTER_BITS = 26
 #: How far below its greatest value the log-likelihood at the threshold may lie for a pair to be verified.
