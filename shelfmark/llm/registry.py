@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dedup, packing, personal_data, piece_codec, repeated_words, tiff, warc
+from . import exact_dedup, language, near_dedup, packing, personal_data, piece_codec, repeated_bytes, repeated_words, tiff, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_distinct_chunk_pieces": piece_codec.op7_distinct_chunk_pieces,
         "op8_tiff_pages": tiff.op8_tiff_pages,
         "op9_anchor_expansion": personal_data.op9_anchor_expansion,
+        "op10_linear_suffix_groups": repeated_bytes.op10_linear_suffix_groups,
     }
 
 

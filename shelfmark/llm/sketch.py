@@ -67,7 +67,7 @@ def _merge(counts: np.ndarray, once: bytes | None, twice: bytes | None, packed:
     np.minimum(counts, 2, out=counts)
 
 
-def repeated(docs: DataFrame, picks: Callable[[pa.RecordBatch], tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, int]:
+def repeated(docs: DataFrame, picks: Callable[[pa.RecordBatch], tuple[np.ndarray, int]], bits: int = BITS, limit: int = 2 << 20) -> tuple[np.ndarray, int]:
     """The merged sketch as packed bits (DEPTH rows: is the count two or more?), and how many symbols there were.
 
     picks gives the gram hashes of the distinct anchors of a batch of docs, and its number of symbols.
@@ -97,7 +97,7 @@ def repeated(docs: DataFrame, picks: Callable[[pa.RecordBatch], tuple[np.ndarray
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=ARROW)
 
-        for batch in common.small_batches(batches, limit=2 << 20):
+        for batch in common.small_batches(batches, limit=limit):
             grams, n = picks(batch)
             symbols += n
             if len(grams):
