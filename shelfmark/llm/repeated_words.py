@@ -52,14 +52,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     held, n_words = sketch.repeated(source, picks, bits)
     told = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
-    buckets = common.partitions(spark, n_words / 4, PER_BUCKET)
+    buckets = max(64, common.partitions(spark, n_words / 4, PER_BUCKET))
     spec = common.schema("kind int, row long, doc_id long, n_words long, kept_sha256 string, text binary, bucket int, packed binary")
     kinds = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("bucket", pa.int32()), ("packed", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         gathered: list[tuple[np.ndarray, ...]] = []
         total = 0
 
@@ -67,23 +69,24 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b, rows, at = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            a, b, rows, at, hashed = (np.concatenate(x) for x in zip(*gathered, strict=True))
             order = np.lexsort((b, a))
-            a, b, rows, at = a[order], b[order], rows[order], at[order]
+            a, b, rows, at, hashed = a[order], b[order], rows[order], at[order], hashed[order]
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             edges = np.flatnonzero(new)
             counts = np.diff(np.append(edges, len(a)))
             again = np.repeat(counts > 1, counts)
             if again.any():
                 yield send([(1, r, None, None, None, None, None, p) for r, p in _by_row(rows[again], at[again])])
-            a, b, rows, at, many = a[edges], b[edges], rows[edges], at[edges], counts > 1
-            bucket = (a % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            a, b, rows, at, hashed, many = a[edges], b[edges], rows[edges], at[edges], hashed[edges], counts > 1
+            # dealt by anchor: neighbouring windows go to the same bucket, and their places pack well
+            bucket = (hashed % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((at, rows, bucket))
             ends = np.flatnonzero(np.diff(bucket[order])) + 1
             out = []
             for part in np.split(order, ends):
                 if len(part):
-                    out.append((2, None, None, None, None, None, int(bucket[part[0]]), b"".join((a[part].tobytes(), b[part].tobytes(), rows[part].tobytes(), at[part].astype(np.uint32).tobytes(), many[part].tobytes()))))
+                    out.append((2, None, None, None, None, None, int(bucket[part[0]]), squeeze(b"".join((a[part].tobytes(), b[part].tobytes(), rows[part].tobytes(), at[part].astype(np.uint32).tobytes(), many[part].tobytes())))))
             yield send(out)
 
         for batch in common.small_batches(batches, limit=2 << 20):
@@ -96,7 +99,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 second = common.word_hashes(raw, starts, ends, 1)
                 a = common.mix(common.Spans(values, common.BASES[1]).of(at, at + window))
                 b = common.mix(common.Spans(second, common.BASES[0]).of(at, at + window))
-                gathered.append((a, b, row + text, at - first[text]))
+                gathered.append((a, b, row + text, at - first[text], grams[where[hot]]))
                 total += len(at)
             out = []
             for i, (doc, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
@@ -118,8 +121,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     kind = lambda k: spark.read.schema(spec).parquet(path).filter(F.col("kind") == k)
 
     def group(table):
+        import zstandard
+
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for data in table["packed"].to_pylist():
+        for data in map(zstandard.ZstdDecompressor().decompress, table["packed"].to_pylist()):
             n = len(data) // 29
             for k, (start, dtype) in enumerate(((0, np.uint64), (8, np.uint64), (16, np.int64), (24, np.uint32), (28, np.bool_))):
                 parts[k].append(np.frombuffer(data, dtype, n, start * n))
