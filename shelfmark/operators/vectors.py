@@ -202,10 +202,10 @@ def cluster_sizes(c: Catalog) -> DataFrame:
     return clusters(dbscan_labels(c))
 
 
-@query("v4_centroids", "SELECT label, " + ", ".join(f"round(sum(CAST(embedding[{k + 1}] AS DOUBLE) * w) / sum(w), 4) AS c{k}" for k in range(4)) + " FROM (SELECT label, embedding, CASE WHEN vec_id % 5 = 0 THEN 1 ELSE vec_id % 5 END AS w FROM embeddings) GROUP BY label")
+@query("v4_centroids", "SELECT label, " + ", ".join(f"round(sum(CAST(embedding[{k + 1}] AS DOUBLE) * w) / sum(w), 4) + 0 AS c{k}" for k in range(4)) + " FROM (SELECT label, embedding, CASE WHEN vec_id % 5 = 0 THEN 1 ELSE vec_id % 5 END AS w FROM embeddings) GROUP BY label")
 def label_centroids(c: Catalog) -> DataFrame:
     rows = c.embeddings.select(F.col("label").alias("label"), F.col("vec_id").alias("idx"), F.col("embedding").alias("emb"), (F.col("vec_id") % 5).cast("double").alias("w"))
-    return centroids(rows).select("label", *[F.round(F.col("centroid")[k].cast("double"), 4).alias(f"c{k}") for k in range(4)])
+    return centroids(rows).select("label", *[(F.round(F.col("centroid")[k].cast("double"), 4) + 0.0).alias(f"c{k}") for k in range(4)])
 
 
 @query("v5_label_carry_over", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS known_idx FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id % 2 = 0 AND y.vec_id % 5 < 2) WHERE d <= 0.6 GROUP BY idx")
