@@ -43,13 +43,21 @@ def keep_by(df: DataFrame, name: str, column: str) -> str:
     return path
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Fewer rows in an Arrow batch than by default, as a row may hold a long text (unless the session says otherwise)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pair(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The id as a long, the text as a string, and further columns: whatever else the table has can't clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def schema(spec: str) -> T.StructType:
@@ -77,15 +85,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
 
 def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 2 << 20) -> DataFrame:
     """docs with each batch (of at most about limit bytes of text) changed, all columns and their order kept."""
-    fields = docs.schema
+    fields = bounded(docs).schema
     names = fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text", limit):
+        for batch in small_batches(batches, text_col, limit):
             out = change(batch)
             yield pa.RecordBatch.from_arrays([out.column(out.schema.get_field_index(n)) for n in names], names=names)
 
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, fields)
+    return docs.mapInArrow(run, fields)
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 4096
+#: Shared digests that are told to the scan one by one, at most.
+FEW = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -45,22 +47,20 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = common.pair(docs, id_col, text_col).withColumn("norm", normalised(F.col("text")).cast("binary"))
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length("norm") - 1) / block).cast("int"))), lambda i: F.substring("norm", i * block + 1, F.lit(block)))
-    first = common.keep(
-        source.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(cut, lambda b: _digest(b, digest_bits)).alias("digests"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "blocks",
-    )
     distinct = source.select(F.explode(cut).alias("block")).groupBy("block").agg(F.lit(0).alias("_"))
     names = common.keep(_named(distinct.select("block"), ["block"], "name").withColumn("digest", _digest(F.col("block"), digest_bits)), "names")
     by_digest = names.groupBy("digest").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    shared = [r["digest"] for r in by_digest.filter("n > 1").select("digest").limit(FEW + 1).collect()]  # of n blocks about n * n / 2 ** 65
+    # blocks whose digest is another block's too stay with their place; all do where those are many
+    blocks = [F.filter(F.transform(cut, lambda b, i: F.struct(i.alias("pos"), b.alias("x"))), lambda s: _digest(s["x"], digest_bits).isin(shared) if len(shared) <= FEW else F.lit(True)).alias("blocks")] if shared else []
+    first = source.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(cut, lambda b: _digest(b, digest_bits)).alias("digests"), *blocks)
+    first = common.keep(first.withColumn("row", F.monotonically_increasing_id()), "blocks")
     places = first.select("row", F.size("digests").alias("width"), F.posexplode("digests").alias("pos", "digest"))
     sole = places.join(by_digest.filter("n = 1").select("digest", "name"), "digest").select("row", "width", "pos", "name")
-    shared = by_digest.filter("n > 1").select("digest")
-    if not shared.isEmpty():
-        again = source.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode(cut).alias("pos", "block"))
-        again = again.withColumn("digest", _digest(F.col("block"), digest_bits)).join(shared, "digest", "left_semi").join(names.select("block", "name"), "block").select("row", "pos", "name")
-        again = again.join(places.select("row", "width", "pos"), ["row", "pos"]).select("row", "width", "pos", "name")
-        sole = sole.unionByName(again)
+    if shared:
+        again = first.select("row", F.size("digests").alias("width"), F.explode("blocks").alias("b")).select("row", "width", "b.pos", F.col("b.x").alias("block"))
+        again = again.withColumn("digest", _digest(F.col("block"), digest_bits)).join(by_digest.filter("n > 1").select("digest"), "digest", "left_semi")
+        sole = sole.unionByName(again.join(names.select("block", "name"), "block").select("row", "width", "pos", "name"))
     # occurrences of texts of more than one block go on; a level halves them
     level, ended, current = 0, [], common.keep(sole, "level")
     while True:

@@ -214,7 +214,7 @@ def keep_known(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     has = label_col in docs.columns
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = label_texts(held.value, batch.column("__text").to_pylist())
+        names, scores = label_texts(held.value, batch.column(text_col).to_pylist())
         if has:
             at = batch.schema.get_field_index(label_col)
             batch = batch.set_column(at, label_col, pa.array(names, pa.string()).cast(batch.schema.field(at).type))

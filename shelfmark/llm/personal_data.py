@@ -160,7 +160,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
         look = finder().spans
-        texts = [t if not t or not (found := look(t)) else masked(t, found) for t in batch.column("__text").to_pylist()]
+        texts = [t if not t or not (found := look(t)) else masked(t, found) for t in batch.column(text_col).to_pylist()]
         batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
         if has:
             at = batch.schema.get_field_index(length_col)
