@@ -33,7 +33,7 @@ WIDTH, GRAM = 50, 20
 BATCH, FLUSH, PER_BUCKET = 1 << 20, 300_000, 4_000_000
 #: Different snippets of an anchor that are sorted together; more are split.
 MOST = 64
-NO_ID = np.iinfo(np.int64).max
+NO_ID = 2**63 - 1
 
 
 def _anchored(batch: pa.RecordBatch, width: int, gram: int) -> tuple:
@@ -46,7 +46,7 @@ def _anchored(batch: pa.RecordBatch, width: int, gram: int) -> tuple:
     n = len(raw)
     i = np.arange(n - gram + 1)
     grams = np.zeros(n, np.uint64)
-    grams[: n - gram + 1] = common.mix(common.Spans(common.BYTE_VALUES[0][raw], common.BASES[0]).of(i, i + gram))
+    grams[: n - gram + 1] = _gram_hashes(raw, i, gram)
     where = sketch.anchors(grams, at, width, gram)
     new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (text[1:] != text[:-1]))))
     last = at[np.append(new[1:] - 1, len(at) - 1)]
@@ -57,26 +57,38 @@ def _snippets(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return raw[common.ranges(start, size)]
 
 
-def _pack(gram: np.ndarray, digest: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarray, reach: np.ndarray, span: np.ndarray, snippets: bytes) -> bytes:
+#: What a packet holds of each anchor besides its snippet.
+_FIELDS = (np.int64, np.uint32, np.uint32, np.uint8, np.uint8)
+
+
+def _pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, reach: np.ndarray, span: np.ndarray, snippets: np.ndarray) -> bytes:
     import zstandard
 
-    head = np.array([len(gram)], np.int64).tobytes()
-    fixed = b"".join((gram.tobytes(), digest.tobytes(), row.tobytes(), doc.tobytes(), start.astype(np.uint32).tobytes(), reach.astype(np.uint8).tobytes(), span.astype(np.uint8).tobytes()))
-    return head + zstandard.ZstdCompressor(level=1).compress(fixed + snippets)
+    fixed = b"".join(x.astype(t).tobytes() for x, t in zip((doc, key, start, reach, span), _FIELDS, strict=True))
+    return np.array([len(doc)], np.int64).tobytes() + zstandard.ZstdCompressor(level=3).compress(fixed + snippets.tobytes())
 
 
-def _unpack(data: bytes) -> tuple:
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     import zstandard
 
     n = int(np.frombuffer(data, np.int64, 1)[0])
     plain = zstandard.ZstdDecompressor().decompress(data[8:])
     out, at = [], 0
-    for dtype in (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8):
+    for dtype in _FIELDS:
         out.append(np.frombuffer(plain, dtype, n, at))
         at += n * np.dtype(dtype).itemsize
     return (*out, np.frombuffer(plain, np.uint8, offset=at))
 
 
+def _gram_hashes(raw: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    return common.mix(common.Spans(common.BYTE_VALUES[0][raw], common.BASES[0]).of(at, at + gram))
+
+
+def _digests(raw: np.ndarray, at: np.ndarray, size: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """A 64-bit value of a snippet's bytes and of where its anchor is: with the anchor's hash it names the snippet."""
+    return common.mix(common.Spans(common.BYTE_VALUES[1][raw], common.BASES[1]).of(at, at + size) + (size * 256 + reach).astype(np.uint64))
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination starts, in sorted keys."""
     new = np.zeros(len(keys[0]), bool)
@@ -174,8 +186,8 @@ def _settle(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], snippets:
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, bits: int = sketch.BITS, kept_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with the remaining bytes, if asked for.
 
-    A null text is empty. A null id is greater than any other; rows of the same id leave each other alone. An empty
-    table gives an empty result.
+    A null text is empty. A null id is greater than any other; rows of the same id leave each other alone, and of such
+    rows each is told by 32 bits of its text. An empty table gives an empty result.
     """
     spark, gram = docs.sparkSession, min(gram, width)
     if width - gram > 200:
@@ -187,17 +199,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         return grams, len(raw)
 
     held, n_bytes = sketch.repeated(source, picks, bits, BATCH)
-    told = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
+    told_sketch = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
     buckets = common.partitions(spark, n_bytes, PER_BUCKET)
-    spec = common.schema("kind int, row long, doc_id long, n_bytes long, kept_sha256 string, text binary, bucket int, packed binary")
-    kinds = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("bucket", pa.int32()), ("packed", pa.binary())])
+    # a row goes by its id and 32 bits of its text: rows that share both with different texts don't occur together
+    keyed = source.withColumn("key", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    kinds = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         gathered: list[tuple] = []
         total = 0
 
@@ -205,59 +213,53 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams, digest, rows, ids, start, reach, span = (np.concatenate(x) for x in zip(*[g[:7] for g in gathered], strict=True))
+            grams, digest, ids, key, start, reach, span = (np.concatenate(x) for x in zip(*[g[:7] for g in gathered], strict=True))
             snippets = np.concatenate([g[7] for g in gathered])
             size = span + width
             at = np.concatenate(([0], np.cumsum(size)[:-1]))
-            order = np.lexsort((ids, digest, grams))
+            bucket = (grams % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((ids, digest, grams, bucket))
             edges = _groups(grams[order], digest[order])
             least = np.repeat(ids[order][edges], np.diff(np.append(edges, len(order))))
             later = order[ids[order] > least]
-            if len(later):
-                yield send([(1, r, None, None, None, None, None, p) for r, p in by_row(rows[later], start[later], span[later] + 1)])
+            if len(later):  # settled here; they pass through a bucket of their own hash
+                told = list(by_row(ids[later], key[later], start[later], span[later] + 1))
+                yield send([((d * 31 + k) % buckets, d, k, p) for d, k, p in told])
             order = order[ids[order] == least]
-            bucket = (grams[order] % np.uint64(buckets)).astype(np.int32)
-            order = order[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket, kind="stable")
             out = []
-            for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
-                if len(part):
-                    p = order[part]
-                    out.append((2, None, None, None, None, None, int(bucket[part[0]]), _pack(grams[p], digest[p], rows[p], ids[p], start[p], reach[p], span[p], _snippets(snippets, at[p], size[p]).tobytes())))
+            for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(p):
+                    out.append((int(bucket[p[0]]), None, None, _pack(ids[p], key[p], start[p], reach[p], span[p], _snippets(snippets, at[p], size[p]))))
             yield send(out)
 
         for batch in common.small_batches(batches, limit=BATCH):
             raw, off, text, grams, where, lo, hi = _anchored(batch, width, gram)
-            hot = sketch.estimated_repeated(told.value, grams, bits) if len(grams) else np.zeros(0, bool)
+            hot = sketch.estimated_repeated(told_sketch.value, grams, bits) if len(grams) else np.zeros(0, bool)
             text, grams, where, lo, hi = text[hot], grams[hot], where[hot], lo[hot], hi[hot]
-            has = np.zeros(batch.num_rows, bool)
-            has[text] = True
             if len(text):
-                ids = np.asarray(batch.column("doc_id").fill_null(int(NO_ID)), dtype=np.int64)
+                ids = np.asarray(batch.column("doc_id").fill_null(int(NO_ID)), dtype=np.int64)[text]
+                keys = np.asarray(batch.column("key"), dtype=np.int64)[text]
                 size = hi - lo + width
-                digest = common.mix(common.Spans(common.BYTE_VALUES[1][raw], common.BASES[1]).of(lo, lo + size) + (size * 256 + (where - lo)).astype(np.uint64))
-                gathered.append((grams, digest, row + text, ids[text], lo - off[text], where - lo, hi - lo, _snippets(raw, lo, size)))
+                gathered.append((grams, _digests(raw, lo, size, where - lo), ids, keys, lo - off[text], where - lo, hi - lo, _snippets(raw, lo, size)))
                 total += len(text)
-            out = []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                data = raw[off[i] : off[i + 1]].tobytes()
-                out.append((3, row + i, doc, len(data), None, squeeze(data), None, None) if has[i] else (0, None, doc, len(data), hashlib.sha256(data).hexdigest(), data if kept_text else None, None, None))
-            yield send(out)
-            row += batch.num_rows
             if total >= FLUSH:
                 yield from flush()
                 gathered, total = [], 0
         if total:
             yield from flush()
 
-    path = common.keep_by(source.mapInArrow(candidates, spec), "candidates", "kind")
-    kind = lambda k: spark.read.schema(spec).parquet(path).filter(F.col("kind") == k)
+    replies = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
 
     def settle(table):
-        parts = [_unpack(data) for data in table["packed"].to_pylist()]
-        grams, digest, rows, ids, start, reach, span = (np.concatenate(x) for x in zip(*[p[:7] for p in parts], strict=True))
-        snippets = np.concatenate([p[7] for p in parts])
-        at = np.concatenate(([0], np.cumsum(span.astype(np.int64) + width)[:-1]))
+        passed = table.filter(table["doc"].is_valid()).select(["doc", "key", "packed"])
+        parts = [_unpack(data) for data in table.filter(table["doc"].is_null())["packed"].to_pylist()]
+        if not parts:
+            return passed
+        ids, keys, start, reach, span = (np.concatenate(x) for x in zip(*[p[:5] for p in parts], strict=True))
+        snippets = np.concatenate([p[5] for p in parts])
+        reach, span = reach.astype(np.int64), span.astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(span + width)[:-1]))
+        grams, digest = _gram_hashes(snippets, at + reach, gram), _digests(snippets, at, span + width, reach)
         order = np.lexsort((ids, digest, grams))
         g, d = grams[order], digest[order]
         variant_edges = _groups(g, d)
@@ -265,7 +267,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         heads = order[variant_edges]  # of equal snippets, one of the smallest document
         group = np.cumsum(np.isin(variant_edges, _groups(g)))
         several = np.bincount(group)[group] > 1
-        windows = span[heads].astype(np.int64) + 1
+        windows = span[heads] + 1
         first = np.concatenate(([0], np.cumsum(windows)))
         best = np.repeat(ids[heads], windows)
         if several.any():
@@ -275,54 +277,56 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         # each occurrence's windows that a smaller document holds
         variant = np.repeat(np.arange(len(heads)), counts)
         n = windows[variant]
-        own = np.repeat(ids[order], n)
-        gone = best[common.ranges(first[:-1][variant], n)] < own
+        gone = best[common.ranges(first[:-1][variant], n)] < np.repeat(ids[order], n)
         where = np.repeat(start[order].astype(np.int64), n) + common.ranges(np.zeros(len(n), np.int64), n)
-        got = list(by_row(np.repeat(rows[order], n)[gone], where[gone], np.ones(int(gone.sum()), np.int64)))
-        return pa.table({"row": pa.array([r for r, _ in got], pa.int64()), "packed": pa.array([p for _, p in got], pa.binary())})
-
-    found = kind(2).select("bucket", "packed").groupBy("bucket").applyInArrow(settle, "row long, packed binary")
-    flags = found.unionByName(kind(1).select("row", "packed")).groupBy("row").agg(F.collect_list("packed").alias("packs"))  # a text's own windows
+        got = list(by_row(np.repeat(ids[order], n)[gone], np.repeat(keys[order].astype(np.int64), n)[gone], where[gone], np.ones(int(gone.sum()), np.int64)))
+        made = pa.Table.from_arrays([pa.array([x[i] for x in got], f.type) for i, f in enumerate(replies)], schema=replies)
+        return pa.concat_tables([passed.cast(replies), made])
+
+    # straight into the shuffle: snippets are written once
+    packets = keyed.mapInArrow(candidates, "bucket int, doc long, key long, packed binary")
+    found = packets.groupBy("bucket").applyInArrow(settle, "doc long, key long, packed binary")
+    flags = found.groupBy("doc", "key").agg(F.collect_list("packed").alias("packs"))  # a text's own windows
     final = common.schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept_text else ""))
     names = final.names
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc, n, data, packs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text", "packs")), strict=True):
-                raw = np.frombuffer(expand(data), np.uint8)
-                edge = np.zeros(n + 1, np.int64)
-                for p in packs or ():
-                    runs = np.frombuffer(p, np.uint32).reshape(-1, 2).astype(np.int64)
-                    np.add.at(edge, runs[:, 0], 1)
-                    np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + width, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = raw[~gone].tobytes()
-                rows.append((doc, n, int(gone.sum()), len(common.runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+            for doc, text, packs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "packs")), strict=True):
+                data = (text or "").encode()
+                cut = spans = 0
+                if packs:
+                    edge = np.zeros(len(data) + 1, np.int64)
+                    for p in packs:
+                        runs = np.frombuffer(p, np.uint32).reshape(-1, 2).astype(np.int64)
+                        np.add.at(edge, runs[:, 0], 1)
+                        np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + width, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    cut, spans = int(gone.sum()), len(common.runs(gone)[0])
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                else:
+                    kept = data
+                rows.append((doc, len(data), cut, spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=False)], names=names)
 
-    cut = kind(3).select("row", "doc_id", "n_bytes", "text").join(flags, "row", "left").select("doc_id", "n_bytes", "text", "packs").mapInArrow(take, final)
-    zero = F.lit(0).cast("long")
-    whole = kind(0).select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", *([F.col("text").alias("kept")] if kept_text else []))
-    return cut.unionByName(whole)
+    same = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (keyed["key"] == flags["key"])
+    return keyed.join(flags, same, "left").select("doc_id", "text", "packs").mapInArrow(take, final)
 
 
-def by_row(rows: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(row, its runs of window starts, packed as start and count): runs that touch are one."""
-    order = np.lexsort((start, rows))
-    rows, start, count = rows[order], start[order].astype(np.int64), count[order].astype(np.int64)
-    if not len(rows):
+def by_row(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(id, key, the row's runs of window starts, packed as start and count): runs that touch are one."""
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start, count = ids[order], keys[order], start[order].astype(np.int64), count[order].astype(np.int64)
+    if not len(ids):
         return
-    new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (start[1:] != start[:-1] + count[:-1]))))
+    new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + count[:-1]))))
     total = np.add.reduceat(count, new)
-    rows, start = rows[new], start[new]
-    edges = _groups(rows)
-    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
-        yield int(rows[i]), np.stack([start[i:j], total[i:j]], axis=1).astype(np.uint32).tobytes()
+    ids, keys, start = ids[new], keys[new], start[new]
+    edges = _groups(ids, keys)
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)], strict=True):
+        yield int(ids[i]), int(keys[i]), np.stack([start[i:j], total[i:j]], axis=1).astype(np.uint32).tobytes()
 
 
 def op10_linear_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
