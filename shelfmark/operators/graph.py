@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,13 +38,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        current = written(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "small")
-        state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        seen = Observation()
+        rows = small.union(down.select("u", F.col("m").alias("v"))).distinct()
+        current = written(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "stars")
+        if seen.get == before:
             break
-        before = state
+        before = seen.get
     stars = current.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").union(stars.select("component").distinct().select(F.col("component").alias("node"), "component"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.media import tile_hash
 from ..plans.define import query
 from ..sources.catalog import Catalog
 
@@ -195,3 +196,17 @@ def top_means(c: Catalog) -> DataFrame:
 
     best = c.downloads.filter("nsfw_score IS NOT NULL").select("group_id", "nsfw_score", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("nsfw_score"))).alias("k")).filter("k <= 3")
     return best.groupBy("group_id").agg(F.round(S.top_mean(F.collect_list("nsfw_score")), 9).alias("top_mean"))
+
+
+@query("m10_tile_hashes")
+def tile_hashes(c: Catalog) -> DataFrame:
+    """Perceptual hashes of tiles: here the texts' bytes as 16 x 16 pixels (what a text lacks is black)."""
+    return c.documents.select("doc_id", tile_hash(F.substring(F.col("text").cast("binary"), 1, F.lit(768)), F.lit(16)).alias("phash"))
+
+
+@query("a11_weighted_means", "SELECT label, round(sum(CAST(embedding[1] AS DOUBLE) * w) / sum(w), 4) + 0 AS c0 FROM (SELECT label, embedding, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE vec_id % 3 END AS w FROM embeddings) GROUP BY label")
+def weighted_means(c: Catalog) -> DataFrame:
+    from .vectors import centroids
+
+    rows = c.embeddings.select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("emb"), (F.col("vec_id") % 3).cast("double").alias("w"))
+    return centroids(rows).select("label", (F.round(F.col("centroid")[0].cast("double"), 4) + 0.0).alias("c0"))

@@ -93,15 +93,17 @@ def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS)
     need = max(2.0, min_points) if np.isfinite(min_points) else 2.0
     rows = valid(vectors)
     edges = written(within(rows, rows, eps, same=True).select("a", "b"), "eps-edges")
-    both = edges.union(edges.select("b", "a"))
-    core = written(both.groupBy(F.col("a").alias("idx")).count().filter(F.col("count") + 1 >= need).select("idx"), "core")
-    inner = edges.join(core.select(F.col("idx").alias("a")), "a", "left_semi").join(core.select(F.col("idx").alias("b")), "b", "left_semi")
-    named = core.join(components(inner, "a", "b").withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed"))
-    named = written(named, "seeds")
-    border = both.select(F.col("a").alias("idx"), F.col("b").alias("c")).join(core, "idx", "left_anti").join(named.select(F.col("idx").alias("c"), "seed"), "c")
-    border = border.filter("idx > seed OR c = seed").groupBy("idx").agg(F.min("seed").alias("seed"))
+    if need <= 2:  # whoever has a neighbour is core
+        named = written(components(edges, "a", "b").select(F.col("node").alias("idx"), F.col("component").alias("seed")), "seeds")
+    else:
+        both = edges.union(edges.select("b", "a"))
+        core = written(both.groupBy(F.col("a").alias("idx")).count().filter(F.col("count") + 1 >= need).select("idx"), "core")
+        inner = edges.join(core.select(F.col("idx").alias("a")), "a", "left_semi").join(core.select(F.col("idx").alias("b")), "b", "left_semi")
+        cores = written(core.join(components(inner, "a", "b").withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
+        border = both.select(F.col("a").alias("idx"), F.col("b").alias("c")).join(core, "idx", "left_anti").join(cores.select(F.col("idx").alias("c"), "seed"), "c")
+        named = cores.unionByName(border.filter("idx > seed OR c = seed").groupBy("idx").agg(F.min("seed").alias("seed")))
     seeds = named.select("seed").distinct().withColumn("label", F.row_number().over(Window.orderBy("seed")) - 1)  # a row for each cluster
-    return rows.select("idx").join(named.unionByName(border), "idx", "left").join(seeds, "seed", "left").select("idx", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+    return rows.select("idx").join(named, "idx", "left").join(seeds, "seed", "left").select("idx", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
 def clusters(labels: DataFrame) -> DataFrame:

@@ -132,3 +132,22 @@ def content_hashes(c: Catalog) -> DataFrame:
 @query("s15_schema_probe", "SELECT 'documents' AS name, 5 AS columns UNION ALL SELECT 'labels', 3")
 def schema_probe(c: Catalog) -> DataFrame:
     return c.spark.createDataFrame([(n, len(c.table(n).columns)) for n in ("documents", "labels")], "name string, columns int")
+
+
+@query("s3_walk")
+def listing(c: Catalog) -> DataFrame:
+    """All files below the data directory: metadata only."""
+    return walk(c.spark, c.path).select(S.basename(F.col("path")).alias("name"), "size")
+
+
+@query("s4_batch_stat")
+def batch_stat(c: Catalog) -> DataFrame:
+    """Sizes of asked names, null for what isn't there."""
+    names = c.spark.createDataFrame([("region.parquet",), ("no-such-file",)], "path string")
+    return stats(walk(c.spark, c.path).withColumn("path", S.basename(F.col("path"))).select("path", "size"), names)
+
+
+@query("s13_metrics", "SELECT kind, count(*) AS n, max(ts) AS last FROM audit GROUP BY kind")
+def metrics(c: Catalog) -> DataFrame:
+    """Gauges by kind; the totals are observed while the rows pass (see the session's listeners)."""
+    return c.audit.observe("audit", F.count("*").alias("rows"), F.max("ts").alias("last")).groupBy("kind").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
