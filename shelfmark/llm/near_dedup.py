@@ -38,7 +38,7 @@ SMALL, PIVOTS, BLOCK = 4, 1, 1024
 #: Bits (as a power of two) of the filter that lets the texts of needed classes through: 8 MB, whatever the input.
 FILTER_BITS = 26
 #: How far below its greatest value the log-likelihood at the threshold may lie for a pair to be verified.
-MARGIN = 9.0
+MARGIN = 12.5
 _GRID = np.linspace(0.0, 1.0, 201)
 
 _UPPER = np.arange(256, dtype=np.uint8)
