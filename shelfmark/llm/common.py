@@ -138,11 +138,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** (0 .. n-1) modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base ** (0 .. n-1) modulo 2 ** 64; short tables are kept."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1), base, dtype=np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 1 << 21:
+            _POWERS[base] = held
+    return held[:n]
 
 
 def inverse(base: int) -> int:

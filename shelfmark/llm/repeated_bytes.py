@@ -84,6 +84,15 @@ def _gram_hashes(raw: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
     return common.mix(common.Spans(common.BYTE_VALUES[0][raw], common.BASES[0]).of(at, at + gram))
 
 
+def _gram_hashes_of_few(raw: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """The same values, where the grams are a small part of the bytes."""
+    out, factor = np.zeros(len(at), np.uint64), 1
+    for k in range(gram):
+        out += common.BYTE_VALUES[0][raw[at + k]] * np.uint64(factor)
+        factor = factor * common.BASES[0] & 2**64 - 1
+    return common.mix(out)
+
+
 def _digests(raw: np.ndarray, at: np.ndarray, size: np.ndarray, reach: np.ndarray) -> np.ndarray:
     """A 64-bit value of a snippet's bytes and of where its anchor is: with the anchor's hash it names the snippet."""
     return common.mix(common.Spans(common.BYTE_VALUES[1][raw], common.BASES[1]).of(at, at + size) + (size * 256 + reach).astype(np.uint64))
@@ -200,7 +209,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     held, n_bytes = sketch.repeated(source, picks, bits, BATCH)
     told_sketch = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
-    buckets = common.partitions(spark, n_bytes, PER_BUCKET)
+    buckets = max(128, common.partitions(spark, n_bytes, PER_BUCKET))
     # a row goes by its id and 32 bits of its text: rows that share both with different texts don't occur together
     keyed = source.withColumn("key", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     kinds = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
@@ -259,7 +268,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         snippets = np.concatenate([p[5] for p in parts])
         reach, span = reach.astype(np.int64), span.astype(np.int64)
         at = np.concatenate(([0], np.cumsum(span + width)[:-1]))
-        grams, digest = _gram_hashes(snippets, at + reach, gram), _digests(snippets, at, span + width, reach)
+        grams, digest = _gram_hashes_of_few(snippets, at + reach, gram), _digests(snippets, at, span + width, reach)
         order = np.lexsort((ids, digest, grams))
         g, d = grams[order], digest[order]
         variant_edges = _groups(g, d)
@@ -267,19 +276,27 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         heads = order[variant_edges]  # of equal snippets, one of the smallest document
         group = np.cumsum(np.isin(variant_edges, _groups(g)))
         several = np.bincount(group)[group] > 1
-        windows = span[heads] + 1
-        first = np.concatenate(([0], np.cumsum(windows)))
-        best = np.repeat(ids[heads], windows)
+        # each occurrence's windows that a smaller document holds, as runs: mostly all or none of them
+        variant = np.repeat(np.arange(len(heads)), counts)
+        doc, key, at_, n = ids[order], keys[order].astype(np.int64), start[order].astype(np.int64), span[order] + 1
+        whole = ~several[variant] & (doc > ids[heads][variant])
+        runs = [(doc[whole], key[whole], at_[whole], n[whole])]
         if several.any():
             h = heads[several]
-            _, some = smallest_documents(snippets, at[h], reach[h], span[h], ids[h], group[several], width, gram)
-            best[common.ranges(first[:-1][several], windows[several])] = some
-        # each occurrence's windows that a smaller document holds
-        variant = np.repeat(np.arange(len(heads)), counts)
-        n = windows[variant]
-        gone = best[common.ranges(first[:-1][variant], n)] < np.repeat(ids[order], n)
-        where = np.repeat(start[order].astype(np.int64), n) + common.ranges(np.zeros(len(n), np.int64), n)
-        got = list(by_row(np.repeat(ids[order], n)[gone], np.repeat(keys[order].astype(np.int64), n)[gone], where[gone], np.ones(int(gone.sum()), np.int64)))
+            first, best = smallest_documents(snippets, at[h], reach[h], span[h], ids[h], group[several], width, gram)
+            place = np.cumsum(several) - 1
+            mine = np.flatnonzero(several[variant])
+            doc, key, at_, n, v = doc[mine], key[mine], at_[mine], n[mine], place[variant[mine]]
+            gone = best[common.ranges(first[:-1][v], n)] < np.repeat(doc, n)
+            edges = np.concatenate(([0], np.cumsum(n)[:-1]))
+            many = np.add.reduceat(gone, edges, dtype=np.int64)
+            full = many == n
+            runs.append((doc[full], key[full], at_[full], n[full]))
+            part = (many > 0) & ~full
+            where = np.flatnonzero(gone & np.repeat(part, n))
+            owner = np.repeat(np.arange(len(n)), n)[where]
+            runs.append((doc[owner], key[owner], at_[owner] + where - edges[owner], np.ones(len(where), np.int64)))
+        got = list(by_row(*(np.concatenate(x) for x in zip(*runs, strict=True))))
         made = pa.Table.from_arrays([pa.array([x[i] for x in got], f.type) for i, f in enumerate(replies)], schema=replies)
         return pa.concat_tables([passed.cast(replies), made])
 
