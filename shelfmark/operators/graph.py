@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not got:
-        got = spark.sparkContext._shelfmark_dir = getattr(spark.sparkContext, "_shelfmark_dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    return got.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there."""
-    path = f"{scratch(df.sparkSession)}/shelfmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import written
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:

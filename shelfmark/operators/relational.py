@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..functions.params import page_limit
 from ..plans.define import query
 from ..sources.catalog import Catalog
+from ..sources.scratch import written
 from .projections import KINDS, page
 
 # ---- gallery: one builder for browse, search and federation ----
@@ -186,13 +187,20 @@ def pin_states(c: Catalog) -> DataFrame:
 @query("f8_ingest_filter", """
 SELECT id FROM work WHERE origin = 'explicit' OR (media_type NOT IN ('error') AND media_type <> 'stickers' AND (CAST(group_id AS BIGINT) % 2 = 0 OR CAST(group_id AS BIGINT) IN (1, 3, 5)) AND NOT (message_id IN (7, 8)))""")
 def ingest_filter(c: Catalog) -> DataFrame:
-    """Kinds that are switched off go, stickers unless switched on; senders by white list, topics by black list; explicit requests pass."""
-    kinds = F.create_map(F.lit("error"), F.lit(False), F.lit("click"), F.lit(True))
-    allowed = F.coalesce(kinds[F.col("media_type")], F.lit(True)) & ((F.col("media_type") != "stickers") | F.coalesce(kinds[F.lit("stickers")], F.lit(False)))
     sender = F.col("group_id").cast("long")
-    tracked = (sender % 2 == 0) | sender.isin(1, 3, 5)
-    listed = F.col("message_id").isin(7, 8)
-    return c.work.filter((F.col("origin") == "explicit") | (allowed & tracked & ~listed)).select("id")
+    return c.work.filter(accepted(F.col("origin") == "explicit", F.col("media_type"), {"error": False, "click": True}, (sender % 2 == 0) | sender.isin(1, 3, 5), "whitelist", F.col("message_id").isin(7, 8), "blacklist")).select("id")
+
+
+def accepted(explicit: Column, kind: Column, kinds: dict[str, bool], tracked: Column, users: str = "all", listed: Column | None = None, topics: str = "all") -> Column:
+    """Whether a message is taken in: explicit requests always; kinds unless switched off (stickers only if switched on); then
+    senders and topics by white or black list ('all': any). listed is null where a message has no topic."""
+    off = [k for k, on in kinds.items() if not on]
+    fine = ~kind.isin(*off) if off else F.lit(True)
+    fine = fine if kinds.get("stickers") else fine & (kind != "stickers")
+    for mode, held in ((users, tracked), (topics, listed)):
+        if held is not None and mode != "all":
+            fine = fine & F.coalesce(held if mode == "whitelist" else ~held, F.lit(True))
+    return explicit | fine
 
 
 @query("f9_quality_gate", "SELECT id FROM faces WHERE quality_score >= 0.5 AND least(w, h) >= 60 AND w / h BETWEEN 0.5 AND 2")
@@ -395,8 +403,6 @@ def ordinals(c: Catalog) -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """A dense number for each row in the order of a unique column, without a window over one partition: ranges are sorted, and each starts after the rows of those before."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    from .graph import written
-
     ranged = written(ranged, "numbered")  # the partitions are fixed before they are counted
     sizes = ranged.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # a row for each partition
     return ranged.join(sizes, "_p").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_p", "_k", "_before")

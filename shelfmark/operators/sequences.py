@@ -7,7 +7,7 @@ cheap test; alignments then run in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,22 @@ class SimilarConfig:
     review_frames: int = 3
     clip_frames: int = 4
 
+    @classmethod
+    def load(cls, environment: dict[str, str], stored: dict[str, object], prefix: str = "SIMILAR_") -> SimilarConfig:
+        """Each value from the environment (PREFIX and its name in capitals), else as stored, else the default; what doesn't read as a number is passed over."""
+        got = {}
+        for f in fields(cls):
+            for value in (environment.get(prefix + f.name.upper()), stored.get(f.name)):
+                try:
+                    got.setdefault(f.name, type(f.default)(value))
+                except (TypeError, ValueError):
+                    continue
+        return cls(**got)
+
+    def key(self) -> str:
+        """Names a configuration: work done under another one counts as not done."""
+        return "|".join(f"{f.name}={getattr(self, f.name)}" for f in fields(self))
+
 
 def _distances(a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
     """Differing bits of each pair, over the shorter of both; infinite where one has no hash."""

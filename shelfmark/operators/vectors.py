@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from ..plans.define import query
 from ..sources.catalog import Catalog
-from .graph import components, written
+from ..sources.scratch import written
+from .graph import components
 
 #: Defaults of clustering; rows of a block.
 EPS, MIN_POINTS, BLOCK = 1.05, 2, 2048
@@ -142,6 +143,21 @@ def merge_people(faces: DataFrame, source: int, target: int) -> DataFrame:
     return faces.withColumn("person_id", F.when(F.col("person_id") == source, F.lit(target)).otherwise(F.col("person_id")))
 
 
+def reassign_faces(faces: DataFrame, ids: list[int], person: int | None) -> DataFrame:
+    """Faces given to another person, to a new one (a split), or to nobody."""
+    return faces.withColumn("person_id", F.when(F.col("id").isin(*ids), F.lit(person).cast(faces.schema["person_id"].dataType)).otherwise(F.col("person_id")))
+
+
+def delete_person(faces: DataFrame, person: int) -> DataFrame:
+    return faces.withColumn("person_id", F.when(~F.col("person_id").eqNullSafe(person), F.col("person_id")))
+
+
+def recounted(people: DataFrame, faces: DataFrame) -> DataFrame:
+    """People with their faces counted anew; those without a face go."""
+    counts = faces.filter("person_id IS NOT NULL").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("face_count"))
+    return people.drop("face_count").join(counts, "id").select(*people.columns)
+
+
 def greedy_faces(faces: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One best face for each person of a video: faces in the order of time meet the ones kept so far, and the first within
     the threshold is the same person; the better score stays. Sequential by its definition, so it runs per video.
@@ -242,3 +258,11 @@ def merged_people(c: Catalog) -> DataFrame:
 @query("j14_greedy_faces")
 def greedy(c: Catalog) -> DataFrame:
     return greedy_faces(c.embeddings.select((F.col("vec_id") % 20).alias("video"), (F.col("vec_id") % 7).cast("double").alias("frame_time"), F.col("vec_id").alias("idx"), (F.col("vec_id") % 11).cast("double").alias("score"), F.col("embedding").alias("emb")), 0.2)
+
+
+@query("v8_split_and_recount", """
+WITH f AS (SELECT CASE WHEN id IN (3, 12, 21) THEN 9 WHEN person_id = 5 THEN NULL ELSE person_id END AS person_id FROM faces)
+SELECT p.id, count(*) AS face_count FROM people p JOIN f ON f.person_id = p.id GROUP BY p.id""")
+def split_and_recount(c: Catalog) -> DataFrame:
+    faces = reassign_faces(delete_person(c.faces, 5), [3, 12, 21], 9)
+    return recounted(c.people, faces).select("id", "face_count")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.graph import scratch
 from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations
 from ..plans.define import query
 from ..sources.catalog import Catalog
+from ..sources.scratch import new_path
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, name: str = "*") -> DataFrame:
@@ -28,7 +27,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     Each micro-batch overwrites a folder of its own, so a batch that is run again after a failure counts once.
     """
     spark = stream.sparkSession
-    root = f"{scratch(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    root = new_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")

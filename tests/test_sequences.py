@@ -57,3 +57,9 @@ def test_review_takes_one(spark):
     v = spark.createDataFrame([(1, 80.0, "a", 100, None, 8), (2, 300.0, "b", 200, None, 8), (3, 50.0, "c", 50, None, 5)], "id long, duration_sec double, file_hash string, file_size long, aggregate_hash string, frame_count long")
     got = Q.partial_clips(v, f, cfg).filter("remove = 3").collect()
     assert [(r["keep"], r["role"], r["kind"]) for r in got] == [(1, "review", "partial_review")]
+
+
+def test_configuration_precedence():
+    cfg = Q.SimilarConfig.load({"SIMILAR_THRESHOLD": "31", "SIMILAR_BUCKET": "x"}, {"threshold": 5, "bucket": 60, "coverage": "0.9"})
+    assert (cfg.threshold, cfg.bucket, cfg.coverage, cfg.tolerance) == (31.0, 60, 0.9, 0.1)
+    assert cfg.key() != Q.SimilarConfig().key() and isinstance(cfg.bucket, int)

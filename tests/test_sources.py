@@ -67,3 +67,15 @@ def test_history(spark):
     messages = spark.createDataFrame([(i, i * 10) for i in range(1, 301)], "id long, date long")
     got = [r["id"] for r in files.history(messages, before=250, after=10, since=500, until=2000, limit=500).collect()]
     assert got == list(range(199, 99, -1))
+
+
+def test_intermediate_tables_can_be_cleared(spark, tmp_path):
+    from shelfmark.sources import scratch
+
+    kept = scratch.written(spark.range(7), "seven")
+    assert kept.count() == 7 and scratch.scratch(spark).endswith(spark.sparkContext.applicationId)
+    path = scratch.scratch(spark).removeprefix("file://")
+    scratch.clear(spark)
+    import os
+
+    assert not os.path.exists(path)
