@@ -26,7 +26,10 @@ def exists(spark: SparkSession, name: str) -> bool:
 
 
 def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, size, modified of all files below a folder; contents aren't read."""
+    """path, size, modified of all files below a folder; contents aren't read.
+
+    Spark's file sources pass over empty files: they are treated like missing ones, as re-indexing and integrity checks do.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -8,9 +8,8 @@ from shelfmark.streaming import feed, ingest
 
 def test_stream_equals_batch(spark, sf, tmp_path):
     rows = X.observations(Catalog(spark, sf))
-    for k, part in enumerate(rows.filter("seq < 300").randomSplit([1, 1, 1], 3)):
+    for part in rows.filter("seq < 300").randomSplit([1.0, 1.0, 1.0], 3):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        del k
     stream = ingest.source(spark, str(tmp_path / "in"), rows.schema)
     states = ingest.drained(ingest.folded_stream(stream), "test", "update")
     last = X.latest(states, list(X.FOLD_KEYS), ["batch"])
