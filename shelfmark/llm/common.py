@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,30 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import new_path
+from ..sources.scratch import written as keep  # noqa: F401  (the operators' way to cut lineage)
+
 #: The bytes that separate words, in every operator that speaks of words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Text bytes that one Python batch holds at most (a longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    if not got:
-        got = spark.sparkContext._shelfmark_dir = getattr(spark.sparkContext, "_shelfmark_dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    return got.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: the lineage ends there, so a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/shelfmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keep_by(df: DataFrame, name: str, column: str) -> str:
     """Write df to the shared folder, one directory for each of the few values of a column; the folder's path."""
-    path = f"{shared_dir(df.sparkSession)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.partitionBy(column).parquet(path)
     return path
 
@@ -185,14 +170,6 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def hexes(digests: list[bytes]) -> list[str]:
-    return [d.hex() for d in digests]
-
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ..., for each length, one after another."""
     total = int(lengths.sum())
