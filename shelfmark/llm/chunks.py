@@ -54,3 +54,8 @@ class Table(dict):
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+
+    def forget(self) -> None:
+        """At the end of a task: a worker goes on to other stages and shouldn't hold a table meanwhile."""
+        self.clear()
+        self.old = {}

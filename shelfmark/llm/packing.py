@@ -77,6 +77,7 @@ class Encoder:
                     out.append(b"".join(chain((encode(next(keys)),), map(table.__getitem__, keys))))
                 return out
 
+            look.forget = table.forget
             _OPEN[key] = look
         return _OPEN[key]
 
@@ -117,6 +118,7 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id:
                     part = data[4 * at : 4 * (at + capacity)]
                     rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, part)[: 6 if ids else 5])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=fields)
+        encode.forget()
 
     return common.pair(docs, id_col, text_col).mapInArrow(cut, spec)
 

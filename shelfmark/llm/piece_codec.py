@@ -118,6 +118,8 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     """
     spec = common.schema(CODED + (", ids string, decoded string" if texts else ""))
 
+    names = spec.names
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec.open()
         for batch in common.small_batches(batches, limit=2 << 20):
@@ -125,7 +127,8 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
             cols = [batch.column("doc_id"), pa.array([x.count(" ") + 1 for x, _ in got], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in got], pa.string()), pa.array([hashlib.sha256(y.encode()).hexdigest() for _, y in got], pa.string())]
             if texts:
                 cols += [pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=spec.names)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+        coder.table.forget()
 
     return common.pair(docs, id_col, text_col).mapInArrow(code, spec)
 
