@@ -29,10 +29,11 @@ def keep_by(df: DataFrame, name: str, column: str) -> str:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Fewer rows in an Arrow batch than by default, as a row may hold a long text (unless the session says otherwise)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "1000")
+    """Smaller Arrow batches than by default, as a row may hold a long text or set (unless the session says otherwise)."""
+    conf = df.sparkSession.conf
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")):
+        if conf.get(key, usual) == usual:
+            conf.set(key, ours)
     return df
 
 
