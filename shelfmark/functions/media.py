@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, KEPT = 64, 16
 
@@ -43,3 +47,31 @@ def tile_hash(tile: Column, side: Column) -> Column:
         return tiles.combine(sides, lambda t, s: None if t is None else perceptual_hash(bytes(t), int(s)))
 
     return run(tile, side)
+
+
+def tiles_hashed(rows: DataFrame, side: int, at_once: int = 4096) -> DataFrame:
+    """(id, tile, phash) for each tile of side x side pixels that a binary column holds. rows has an id and the bytes; none is tile 0, and null has no hash."""
+    size = side * side * 3
+    key = rows.schema.fields[0]
+    spec = T.StructType([key, T.StructField("tile", T.LongType()), T.StructField("phash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, tile, hashes = [], [], []
+
+            def send() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(tile, pa.int64()), pa.array(hashes, pa.string())], names=spec.names)  # noqa: B023
+
+            for i, data in enumerate(batch.column(1)):
+                data = data.as_py()
+                for start in range(0, max(len(data or b""), 1), size):
+                    owner.append(i)
+                    tile.append(start // size)
+                    hashes.append(None if data is None else perceptual_hash(bytes(data[start : start + size]), side))
+                    if len(owner) >= at_once:
+                        yield send()
+                        owner, tile, hashes = [], [], []
+            if owner:
+                yield send()
+
+    return rows.mapInArrow(run, spec)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.media import tile_hash
+from ..functions.media import tiles_hashed
 from ..plans.define import query
 from ..sources.catalog import Catalog
 
@@ -200,8 +200,8 @@ def top_means(c: Catalog) -> DataFrame:
 
 @query("m10_tile_hashes")
 def tile_hashes(c: Catalog) -> DataFrame:
-    """Perceptual hashes of tiles: here the texts' bytes as 16 x 16 pixels (what a text lacks is black)."""
-    return c.documents.select("doc_id", tile_hash(F.substring(F.col("text").cast("binary"), 1, F.lit(768)), F.lit(16)).alias("phash"))
+    """Perceptual hashes of tiles: here all of a text's bytes as 16 x 16 pixels a tile (what the last one lacks is black)."""
+    return tiles_hashed(c.documents.select("doc_id", F.col("text").cast("binary").alias("data")), 16)
 
 
 @query("a11_weighted_means", "SELECT label, round(sum(CAST(embedding[1] AS DOUBLE) * w) / sum(w), 4) + 0 AS c0 FROM (SELECT label, embedding, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE vec_id % 3 END AS w FROM embeddings) GROUP BY label")
