@@ -13,3 +13,14 @@ def test_tiles_cover_whole_texts(spark):
     got = {(r["doc_id"], r["tile"]): r["phash"] for r in tile_hashes(SimpleNamespace(documents=docs)).collect()}
     want = {(d, k // 768): None if t is None else perceptual_hash(t.encode()[k : k + 768], 16) for d, t in texts.items() for k in range(0, max(len(t or ""), 1), 768)}
     assert got == want and len(got) == 8
+
+
+def test_every_video_is_aligned(spark, sf):
+    from shelfmark.operators.sequences import alignments, demo_videos
+    from shelfmark.sources.catalog import Catalog
+
+    c = Catalog(spark, sf)
+    ids = {r["id"] for r in demo_videos(c)[1].select("id").distinct().collect()}
+    got = {(r["a"], r["b"]) for r in alignments(c).select("a", "b").collect()}
+    assert {x for pair in got for x in pair} == ids
+    assert got == {(a, b) for a in ids for b in range(a + 1, a // 4 * 4 + 3) if b in ids}
