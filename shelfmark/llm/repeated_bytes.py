@@ -5,7 +5,8 @@ distance in every place where the window occurs. So:
 
 1. A count-min sketch over the whole input counts anchors; a window whose anchor is estimated once is unique.
 2. Each other anchor sends a snippet, the bytes that the windows with that anchor span, to where its hash is dealt.
-   A task sends equal snippets once if a smaller document among them settles the others.
+   A task sends equal snippets once if a smaller document among them settles the others. An anchor that a sample of
+   the documents shows in very many different snippets sends its windows one by one, each dealt by its own bytes.
 3. Snippets of one anchor that are equal throughout settle each other: all but those of the smallest document go.
    Where an anchor has several different snippets, their suffixes are sorted (suffix_groups.py) and each run of
    suffixes with equal windows finds its smallest document. Symbols before the anchor are bytes; the anchor's own
@@ -33,6 +34,8 @@ WIDTH, GRAM = 50, 20
 BATCH, FLUSH, PER_BUCKET = 1 << 20, 300_000, 4_000_000
 #: Different snippets of an anchor that are sorted together; more are split.
 MOST = 64
+#: Different snippets of an anchor that may go to one bucket, about, and how many of so many the sample sees.
+MOST_DEALT, SEEN = 100_000, 64
 NO_ID = 2**63 - 1
 
 
@@ -98,6 +101,28 @@ def _digests(raw: np.ndarray, at: np.ndarray, size: np.ndarray, reach: np.ndarra
     return common.mix(common.Spans(common.BYTE_VALUES[1][raw], common.BASES[1]).of(at, at + size) + (size * 256 + reach).astype(np.uint64))
 
 
+def common_anchors(source: DataFrame, width: int, gram: int, most: int) -> np.ndarray:
+    """Gram hashes, sorted, of anchors with more than about `most` different snippets, by a sample of documents: it decides where windows meet, not whether."""
+    every = max(1, most // SEEN)
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, limit=BATCH):
+            raw, _, _, grams, where, lo, hi = _anchored(batch, width, gram)
+            digest = _digests(raw, lo, hi - lo + width, where - lo) if len(grams) else grams
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(digest.view(np.int64))], names=["gram", "digest"])
+
+    sample = source.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).mapInArrow(variants, "gram long, digest long")
+    found = sample.distinct().groupBy("gram").count().filter(F.col("count") > most / every).select("gram").collect()  # one for each SEEN sampled snippets at most
+    return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(few):
+        return np.zeros(len(values), bool)
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination starts, in sorted keys."""
     new = np.zeros(len(keys[0]), bool)
@@ -192,7 +217,7 @@ def _settle(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray]], snippets:
         np.minimum.at(best, first[item] + (reach[item] - r), np.repeat(least, np.diff(np.append(edges, len(start)))))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, bits: int = sketch.BITS, kept_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, bits: int = sketch.BITS, kept_text: bool = False, most: int = MOST_DEALT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with the remaining bytes, if asked for.
 
     A null text is empty. A null id is greater than any other; rows of the same id leave each other alone, and of such
@@ -209,6 +234,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     held, n_bytes = sketch.repeated(source, picks, bits, BATCH)
     told_sketch = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
+    told_common = spark.sparkContext.broadcast(common_anchors(source, width, gram, most))
     buckets = max(128, common.partitions(spark, n_bytes, PER_BUCKET))
     # a row goes by its id and 32 bits of its text: rows that share both with different texts don't occur together
     keyed = source.withColumn("key", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
@@ -226,7 +252,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             snippets = np.concatenate([g[7] for g in gathered])
             size = span + width
             at = np.concatenate(([0], np.cumsum(size)[:-1]))
-            bucket = (grams % np.uint64(buckets)).astype(np.int32)
+            dealt = np.where(_among(grams, told_common.value), common.mix(grams + digest), grams)
+            bucket = (dealt % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((ids, digest, grams, bucket))
             edges = _groups(grams[order], digest[order])
             least = np.repeat(ids[order][edges], np.diff(np.append(edges, len(order))))
@@ -245,6 +272,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             raw, off, text, grams, where, lo, hi = _anchored(batch, width, gram)
             hot = sketch.estimated_repeated(told_sketch.value, grams, bits) if len(grams) else np.zeros(0, bool)
             text, grams, where, lo, hi = text[hot], grams[hot], where[hot], lo[hot], hi[hot]
+            single = _among(grams, told_common.value)
+            if single.any():  # a snippet for each window
+                n = np.where(single, hi - lo + 1, 1)
+                text, grams, where, single, last = (np.repeat(x, n) for x in (text, grams, where, single, hi))
+                lo = common.ranges(lo, n)
+                hi = np.where(single, lo, last)
             if len(text):
                 ids = np.asarray(batch.column("doc_id").fill_null(int(NO_ID)), dtype=np.int64)[text]
                 keys = np.asarray(batch.column("key"), dtype=np.int64)[text]
@@ -275,7 +308,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         counts = np.diff(np.append(variant_edges, len(order)))
         heads = order[variant_edges]  # of equal snippets, one of the smallest document
         group = np.cumsum(np.isin(variant_edges, _groups(g)))
-        several = np.bincount(group)[group] > 1
+        several = (np.bincount(group)[group] > 1) & ~_among(grams[heads], told_common.value)  # single windows meet whole
         # each occurrence's windows that a smaller document holds, as runs: mostly all or none of them
         variant = np.repeat(np.arange(len(heads)), counts)
         doc, key, at_, n = ids[order], keys[order].astype(np.int64), start[order].astype(np.int64), span[order] + 1

@@ -3,7 +3,7 @@
 First pass: a count-min sketch (see sketch.py) over the whole input. Second pass: windows that the sketch estimates to
 be repeated are grouped exactly, by 128 bits computed from their words; all others are certainly unique. A task first
 groups its own windows, so that a window sends one entry from each task however often it occurs there; entries travel
-packed, dealt by hash.
+packed, dealt by their anchor's hash. Buckets that a common anchor makes too large are dealt again, by the windows' hash.
 """
 
 from __future__ import annotations
@@ -22,6 +22,47 @@ from . import common, sketch
 WINDOW, GRAM = 35, 8
 #: Candidate windows that a task groups at a time; entries for each bucket of the exact pass, about.
 FLUSH, PER_BUCKET = 1_000_000, 400_000
+#: Entries of a bucket that are grouped in one task at most; a larger bucket is cut into parts of about PER_BUCKET entries.
+MOST = 4 * PER_BUCKET
+#: What a packet holds of each entry: two hashes, the row, the place in it, and whether its task had it more than once.
+_FIELDS = (np.uint64, np.uint64, np.int64, np.uint32, np.bool_)
+
+
+def _pack(*fields: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype(t).tobytes() for x, t in zip(fields, _FIELDS, strict=True)))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    sizes = [np.dtype(t).itemsize for t in _FIELDS]
+    n = len(plain) // sum(sizes)
+    return [np.frombuffer(plain, t, n, n * sum(sizes[:k])) for k, t in enumerate(_FIELDS)]
+
+
+def dealt(entries: DataFrame, most: int, per_part: int) -> DataFrame:
+    """(bucket, part, packed) of (bucket, n, packed): buckets of more than `most` entries are cut by the hash of the windows, so that equal ones stay together."""
+    large = entries.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+    parts = {r["bucket"]: -(-r["n"] // per_part) for r in large.collect()}  # at most one for each `most` entries
+    fine = entries.select("bucket", F.lit(0).alias("part"), "packed")
+    if not parts:
+        return fine
+    told = entries.sparkSession.sparkContext.broadcast(parts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
+                fields = _unpack(data)
+                part = (fields[0] % np.uint64(told.value[bucket])).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                mine = [p for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(p)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(mine), pa.int32()), pa.array([int(part[p[0]]) for p in mine], pa.int32()), pa.array([_pack(*(x[p] for x in fields)) for p in mine], pa.binary())], names=["bucket", "part", "packed"])
+
+    hot = F.col("bucket").isin(*parts)
+    return fine.filter(~hot).unionByName(entries.filter(hot).select("bucket", "packed").mapInArrow(cut, common.schema("bucket int, part int, packed binary")))
 
 
 def _grams(batch: pa.RecordBatch, window: int, gram: int) -> tuple:
@@ -38,7 +79,7 @@ def _grams(batch: pa.RecordBatch, window: int, gram: int) -> tuple:
     return raw, starts, ends, first, values, at, text, sketch.anchors(grams, at, window, gram), grams
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = sketch.BITS, kept_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = sketch.BITS, kept_text: bool = False, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; with the kept words joined by one space, if asked for.
 
     A null or empty text has no words. Repeated rows repeat each other's windows. An empty table gives an empty result.
@@ -53,15 +94,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     held, n_words = sketch.repeated(source, picks, bits)
     told = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
     buckets = max(64, common.partitions(spark, n_words / 4, PER_BUCKET))
-    spec = common.schema("kind int, row long, doc_id long, n_words long, kept_sha256 string, text binary, bucket int, packed binary")
-    kinds = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("bucket", pa.int32()), ("packed", pa.binary())])
+    spec = common.schema("kind int, row long, doc_id long, n_words long, kept_sha256 string, text binary, bucket int, n int, packed binary")
+    kinds = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("bucket", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         gathered: list[tuple[np.ndarray, ...]] = []
         total = 0
 
@@ -77,7 +116,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             counts = np.diff(np.append(edges, len(a)))
             again = np.repeat(counts > 1, counts)
             if again.any():
-                yield send([(1, r, None, None, None, None, None, p) for r, p in _by_row(rows[again], at[again])])
+                yield send([(1, r, None, None, None, None, None, None, p) for r, p in _by_row(rows[again], at[again])])
             a, b, rows, at, hashed, many = a[edges], b[edges], rows[edges], at[edges], hashed[edges], counts > 1
             # dealt by anchor: neighbouring windows go to the same bucket, and their places pack well
             bucket = (hashed % np.uint64(buckets)).astype(np.int32)
@@ -86,7 +125,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             out = []
             for part in np.split(order, ends):
                 if len(part):
-                    out.append((2, None, None, None, None, None, int(bucket[part[0]]), squeeze(b"".join((a[part].tobytes(), b[part].tobytes(), rows[part].tobytes(), at[part].astype(np.uint32).tobytes(), many[part].tobytes())))))
+                    out.append((2, None, None, None, None, None, int(bucket[part[0]]), len(part), _pack(a[part], b[part], rows[part], at[part], many[part])))
             yield send(out)
 
         for batch in common.small_batches(batches, limit=2 << 20):
@@ -105,10 +144,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             for i, (doc, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 data, n = (t or "").encode(), int(first[i + 1] - first[i])
                 if has[i]:
-                    out.append((3, row + i, doc, n, None, data, None, None))
+                    out.append((3, row + i, doc, n, None, data, None, None, None))
                 else:
                     kept = b" ".join(data.split())
-                    out.append((0, None, doc, n, hashlib.sha256(kept).hexdigest(), kept if kept_text else None, None, None))
+                    out.append((0, None, doc, n, hashlib.sha256(kept).hexdigest(), kept if kept_text else None, None, None, None))
             yield send(out)
             row += batch.num_rows
             if total >= FLUSH:
@@ -121,14 +160,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     kind = lambda k: spark.read.schema(spec).parquet(path).filter(F.col("kind") == k)
 
     def group(table):
-        import zstandard
-
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for data in map(zstandard.ZstdDecompressor().decompress, table["packed"].to_pylist()):
-            n = len(data) // 29
-            for k, (start, dtype) in enumerate(((0, np.uint64), (8, np.uint64), (16, np.int64), (24, np.uint32), (28, np.bool_))):
-                parts[k].append(np.frombuffer(data, dtype, n, start * n))
-        a, b, rows, at, many = (np.concatenate(p) for p in parts)
+        a, b, rows, at, many = (np.concatenate(p) for p in zip(*map(_unpack, table["packed"].to_pylist()), strict=True))
         order = np.lexsort((b, a))
         edges = np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))))
         counts = np.diff(np.append(edges, len(a)))
@@ -138,7 +170,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         got = list(_by_row(rows[mine], at[mine]))
         return pa.table({"row": pa.array([r for r, _ in got], pa.int64()), "packed": pa.array([p for _, p in got], pa.binary())})
 
-    found = kind(2).select("bucket", "packed").groupBy("bucket").applyInArrow(group, "row long, packed binary")
+    found = dealt(kind(2).select("bucket", "n", "packed"), most, max(1, most // 4)).groupBy("bucket", "part").applyInArrow(group, "row long, packed binary")
     flags = found.unionByName(kind(1).select("row", "packed")).groupBy("row").agg(F.collect_list("packed").alias("packs"))  # a text's own windows
     final = common.schema("doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if kept_text else ""))
     names = final.names
