@@ -212,18 +212,29 @@ FOLD_SCHEMA = "group_id string, message_id long, account_id string, version long
 
 
 def folded(observations: DataFrame) -> DataFrame:
-    """The last state of each message, observations taken in the order of `seq`. A message's observations are few."""
+    """The last state of each message, observations taken in the order of `seq`. Sorted rows pass by: only the state of one message is held."""
+    names = [x.split()[0] for x in FOLD_SCHEMA.split(", ")]
 
-    def run(key, table):
-        state = None
-        rows = table.sort_by("seq").to_pylist()
-        for r in rows:
-            state = fold(state, {k: r[k] for k in FOLD_COLUMNS})
+    def run(batches):
         import pyarrow as pa
 
-        return pa.Table.from_pylist([dict(zip(FOLD_KEYS, (rows[0]["group_id"], rows[0]["message_id"]), strict=True)) | state]).select([x.split()[0] for x in FOLD_SCHEMA.split(", ")])
-
-    return observations.select(*FOLD_KEYS, *FOLD_COLUMNS, "seq").groupBy(*FOLD_KEYS).applyInArrow(run, FOLD_SCHEMA)
+        key = state = None
+        done = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.string() if n in ("group_id", "account_id", "identity", "origin", "status") else pa.int64()) for n in names], names=names)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                mine = tuple(r[k] for k in FOLD_KEYS)
+                if state is not None and mine != key:
+                    out.append(dict(zip(FOLD_KEYS, key, strict=True)) | state)
+                    state = None
+                key, state = mine, fold(state, {k: r[k] for k in FOLD_COLUMNS})
+            if out:
+                yield done(out)
+        if state is not None:
+            yield done([dict(zip(FOLD_KEYS, key, strict=True)) | state])
+
+    rows = observations.select(*FOLD_KEYS, *FOLD_COLUMNS, "seq").repartition(*FOLD_KEYS)
+    return rows.sortWithinPartitions(*FOLD_KEYS, "seq").mapInArrow(run, FOLD_SCHEMA)
 
 
 def observations(c: Catalog) -> DataFrame:

@@ -397,7 +397,7 @@ def best_per_download(c: Catalog) -> DataFrame:
 
 @query("w2_page_ordinals", "SELECT id, row_number() OVER (ORDER BY face_count DESC, id) AS ord FROM people")
 def ordinals(c: Catalog) -> DataFrame:
-    return c.people.select("id", F.row_number().over(Window.orderBy(F.desc("face_count"), "id")).cast("long").alias("ord"))
+    return numbered(c.people.select("id", F.struct(F.col("face_count").isNull().alias("none"), (-F.col("face_count")).alias("n"), "id").alias("by")), "by", "ord").select("id", "ord")
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -460,7 +460,7 @@ def page_counts(c: Catalog, size: int = 12) -> DataFrame:
 @query("o7_stable_size_sort", "SELECT person_id, count(*) AS size, min(id) AS first_id, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS place FROM faces WHERE person_id IS NOT NULL GROUP BY person_id")
 def stable_sort(c: Catalog) -> DataFrame:
     groups = c.faces.filter("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("size"), F.min("id").alias("first_id"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "first_id")).cast("long"))
+    return numbered(groups.withColumn("by", F.struct(-F.col("size"), "first_id")), "by", "place").drop("by")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import written
 from .graph import components
+from .relational import numbered
 
 #: Defaults of clustering; rows of a block.
 EPS, MIN_POINTS, BLOCK = 1.05, 2, 2048
@@ -103,28 +104,56 @@ def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS)
         cores = written(core.join(components(inner, "a", "b").withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
         border = both.select(F.col("a").alias("idx"), F.col("b").alias("c")).join(core, "idx", "left_anti").join(cores.select(F.col("idx").alias("c"), "seed"), "c")
         named = cores.unionByName(border.filter("idx > seed OR c = seed").groupBy("idx").agg(F.min("seed").alias("seed")))
-    seeds = named.select("seed").distinct().withColumn("label", F.row_number().over(Window.orderBy("seed")) - 1)  # a row for each cluster
+    seeds = numbered(named.select("seed").distinct(), "seed", "label").withColumn("label", F.col("label") - 1)  # a row for each cluster
     return rows.select("idx").join(named, "idx", "left").join(seeds, "seed", "left").select("idx", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
 def clusters(labels: DataFrame) -> DataFrame:
     """label, size, first_idx, place: clusters by size, equals by their first point. labels has idx, label."""
     groups = labels.filter("label >= 0").groupBy("label").agg(F.count("*").alias("size"), F.min("idx").alias("first_idx"))
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "first_idx")).cast("long"))
+    return numbered(groups.withColumn("by", F.struct(-F.col("size"), "first_idx")), "by", "place").drop("by")
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
     """(label, centroid): weighted means, in the order of idx, rounded to single precision at every step.
 
     A weight that is null, NaN, infinite or not positive counts as 1. The rounding makes this a fold over one
-    cluster's rows in order: a cluster is gathered.
+    cluster's rows in order, which partial sums can't give: a cluster's sorted rows pass by in one task, which holds
+    their sum only.
     """
     w = F.col("w").cast("double")
     rows = vectors.select("label", "idx", F.col("emb").cast("array<float>").alias("emb"), F.when(w.isNull() | F.isnan(w) | (w <= 0) | (w == float("inf")), 1.0).otherwise(w).alias("w"))
-    held = rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("idx", "emb", "w"))).alias("rows"))
-    start = F.struct(F.transform(F.col("rows")[0]["emb"], lambda _: F.lit(0.0).cast("float")).alias("sum"), F.lit(0.0).alias("total"))
-    add = lambda acc, r: F.struct(F.zip_with(acc["sum"], r["emb"], lambda s, x: (s.cast("double") + x.cast("double") * r["w"]).cast("float")).alias("sum"), (acc["total"] + r["w"]).alias("total"))
-    return held.select("label", F.aggregate("rows", start, add, lambda acc: F.transform(acc["sum"], lambda s: (s.cast("double") / acc["total"]).cast("float"))).alias("centroid"))
+    spec = T.StructType([rows.schema["label"], T.StructField("centroid", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        label, sums, known, total = None, None, None, 0.0  # known: no null so far, for each dimension; None: a vector was null
+
+        def done(at: pa.Array):
+            mean = None if known is None else [v if k else None for v, k in zip((sums / total).astype(np.float32).tolist(), known.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([at, pa.array([mean], pa.list_(pa.float32()))], names=["label", "centroid"])
+
+        for batch in batches:
+            for i, (mine, emb, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "emb", "w")), strict=True)):
+                if label is None or mine != label[0].as_py():
+                    if label is not None:
+                        yield done(label)
+                    label, total = batch.column("label").take(pa.array([i])), 0.0
+                    sums, known = (np.zeros(len(emb)), np.ones(len(emb), bool)) if emb is not None else (None, None)
+                total += w
+                if emb is None or known is None:
+                    known = None
+                    continue
+                n, size = len(emb), max(len(emb), len(sums))
+                if len(sums) < size:
+                    sums, known = np.append(sums, np.zeros(size - len(sums))), np.append(known, np.zeros(size - len(known), bool))
+                known[n:] = False
+                if None in emb:
+                    known[:n] &= [v is not None for v in emb]
+                sums[:n] = (sums[:n] + np.array(emb, np.float32).astype(np.float64) * w).astype(np.float32)
+        if label is not None:
+            yield done(label)
+
+    return rows.repartition("label").sortWithinPartitions("label", "idx", "emb", "w").mapInArrow(run, spec)
 
 
 def carried_labels(found: DataFrame, known: DataFrame, eps: float = EPS) -> DataFrame:
@@ -160,23 +189,41 @@ def recounted(people: DataFrame, faces: DataFrame) -> DataFrame:
 
 def greedy_faces(faces: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One best face for each person of a video: faces in the order of time meet the ones kept so far, and the first within
-    the threshold is the same person; the better score stays. Sequential by its definition, so it runs per video.
-    faces has video, frame_time, idx, score, emb."""
-
-    def merge(table):
-        order = np.lexsort((np.asarray(table["idx"]), np.asarray(table["frame_time"])))
-        emb = np.array(table["emb"].to_pylist(), dtype=np.float32)
-        score = np.asarray(table["score"], dtype=np.float64)
-        kept: list[int] = []
-        for i in order.tolist():
-            same = np.flatnonzero(emb[kept] @ emb[i] >= threshold) if kept else np.zeros(0, int)
-            if not len(same):
-                kept.append(i)
-            elif score[i] > score[kept[same[0]]]:
-                kept[same[0]] = i
-        return table.select(["video", "idx", "score"]).take(pa.array(kept))
-
-    return faces.select("video", "frame_time", "idx", "score", "emb").groupBy("video").applyInArrow(merge, "video long, idx long, score double")
+    the threshold is the same person; the better score stays. Sequential by its definition, so a video's sorted rows pass
+    by in one task, which holds the faces kept so far. faces has video, frame_time, idx, score, emb."""
+    spec = "video long, idx long, score double"
+
+    def merge(batches):
+        video, found, kept, n = None, [], np.zeros((0, 0), np.float32), 0
+
+        def done():
+            columns = zip(*[(video, i, s) for i, s in found], strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["video", "idx", "score"])
+
+        for batch in batches:
+            vectors = batch.column("emb").to_pylist()
+            for mine, i, s, emb in zip(*(batch.column(c).to_pylist() for c in ("video", "idx", "score")), vectors, strict=True):
+                x = np.array(emb, np.float32)
+                if mine != video or not n:
+                    if n:
+                        yield done()
+                    video, found, kept, n = mine, [], np.zeros((16, len(x)), np.float32), 0
+                same = np.flatnonzero(kept[:n] @ x >= threshold)
+                if len(same):
+                    best = found[same[0]][1]
+                    if s is not None and best is not None and s > best:
+                        found[same[0]], kept[same[0]] = (i, s), x
+                    continue
+                if n == len(kept):
+                    kept = np.concatenate((kept, np.zeros_like(kept)))
+                found.append((i, s))
+                kept[n] = x
+                n += 1
+        if n:
+            yield done()
+
+    rows = faces.select(F.col("video").cast("long").alias("video"), "frame_time", F.col("idx").cast("long").alias("idx"), F.col("score").cast("double").alias("score"), F.col("emb").cast("array<float>").alias("emb"))
+    return rows.repartition("video").sortWithinPartitions("video", F.asc_nulls_last("frame_time"), "idx").mapInArrow(merge, spec)
 
 
 def _vectors(c: Catalog) -> DataFrame:

@@ -24,3 +24,39 @@ def test_every_video_is_aligned(spark, sf):
     got = {(r["a"], r["b"]) for r in alignments(c).select("a", "b").collect()}
     assert {x for pair in got for x in pair} == ids
     assert got == {(a, b) for a in ids for b in range(a + 1, a // 4 * 4 + 3) if b in ids}
+
+
+def gathers(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in ("collect_list", "FlatMapGroupsInArrow", "row_number") if x in plan]
+
+
+def test_no_group_is_gathered(spark, sf):
+    from shelfmark.operators import vectors as V
+    from shelfmark.operators.mutations import folded, observations
+    from shelfmark.operators.relational import ordinals, stable_sort
+    from shelfmark.operators.scalars import weighted_means
+    from shelfmark.sources.catalog import Catalog
+
+    c = Catalog(spark, sf)
+    for df in (V.label_centroids(c), weighted_means(c), V.greedy(c), folded(observations(c)), V.clusters(V.dbscan_labels(c)).filter("place > 0"), ordinals(c).filter("ord > 0"), stable_sort(c).filter("place > 0")):
+        assert not gathers(df)
+
+
+def test_states_pass_from_batch_to_batch(spark, sf):
+    from shelfmark.operators.mutations import FOLD_COLUMNS, FOLD_KEYS, fold, folded, observations
+    from shelfmark.sources.catalog import Catalog
+
+    rows = observations(Catalog(spark, sf))
+    states = {}
+    for r in sorted((x.asDict() for x in rows.collect()), key=lambda x: x["seq"]):
+        key = tuple(r[k] for k in FOLD_KEYS)
+        states[key] = fold(states.get(key), {k: r[k] for k in FOLD_COLUMNS})
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [x.asDict() for x in folded(rows).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert len(got) == len(states)
+    assert all({k: v for k, v in r.items() if k not in FOLD_KEYS} == states[tuple(r[k] for k in FOLD_KEYS)] for r in got)
