@@ -5,8 +5,9 @@ labels are learned with them by the likelihood of whole chains. Forward-backward
 probabilities, so code-switched texts are labelled word by word; a document's language is the one that its words' mean
 probability favours.
 
-Training sees a bounded sample of labelled rows (SAMPLE documents, taken in the order of a hash of their id), spliced
-into chains that switch between languages. Prediction sees whole texts, as chains of CHAIN words.
+Training sees a bounded sample of labelled rows: SAMPLE documents, shared out to the labels and taken in the order of a
+hash of their id, with the same number of words at most from each, spliced into chains that switch between languages.
+Every label has a row in it, however rare. Prediction sees whole texts, as chains of CHAIN words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -188,15 +190,39 @@ def train(texts: list[tuple[str, str]], size: int = TABLE, chain: int = CHAIN, e
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Trains on at most `sample` labelled rows that aren't held out, in the order of a hash of their id."""
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many rows of each label are taken: `sample` in all (one of each label at least), as evenly as there are rows."""
+    out, left = {}, sample
+    for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[label]
+    return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Model | None:
+    """Trains on at most `sample` labelled rows that aren't held out, of each label those first in the order of a hash of their id, and `words` words of them."""
+    got = sampled(docs, id_col, text_col, label_col, sample, words)
+    return train(got, max_words=max(words, len(got)))
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, words: int) -> list[tuple[str, str]]:
+    """(text, label) of the rows to train on, each text cut to its share of the words."""
     rows = common.pair(docs.filter(~held_out(id_col)), id_col, text_col, F.col(label_col).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
-    # about twice the sample passes a threshold on the hash, so that tasks don't each send a whole sample's texts
-    share = 2.0 * sample / max(rows.count(), 1)
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    few = rows.filter(F.col("h") < F.lit(-(2**63) + int(share * 2**64))) if share < 1 else rows
-    got = few.orderBy("h", "doc_id", F.sha2("text", 256)).limit(sample).select("text", "label").collect()
-    return train([(r["text"], r["label"]) for r in got])
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a column of the model for each
+    if not counts:
+        return []
+    most = quotas(counts, sample)
+    # somewhat more than a label's quota passes a threshold on the hash, so that tasks don't each send a whole sample's texts
+    share = {k: (2.0 * most[k] + 30) / n for k, n in counts.items()}
+    top = [(k, most[k], 2**63 - 1 if share[k] >= 1 else -(2**63) + int(share[k] * 2**64)) for k in counts]
+    told = F.broadcast(docs.sparkSession.createDataFrame(top, "label string, quota int, top long"))
+    few = rows.withColumn("h", F.xxhash64("doc_id")).join(told, "label").filter("h <= top")
+    each = max(1, words // sum(most.values()))
+    start = F.substring(F.ltrim("text"), 1, 64 * each)  # bounds what is sent, where hardly any space parts words
+    cut = F.array_join(F.slice(F.split(start, "[ \\t\\n\\x0B\\f\\r]+", each + 1), 1, each), " ")
+    order = Window.partitionBy("label").orderBy("h", "doc_id", F.sha2("text", 256))
+    chosen = few.withColumn("k", F.row_number().over(order)).filter("k <= quota").select("h", "k", "label", cut.alias("text"))
+    return [(r["text"], r["label"]) for r in chosen.orderBy("h", "label", "k").collect()]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
