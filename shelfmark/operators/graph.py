@@ -30,5 +30,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         if seen.get == before:
             break
         before = seen.get
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     stars = current.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").union(stars.select("component").distinct().select(F.col("component").alias("node"), "component"))

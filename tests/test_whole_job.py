@@ -60,3 +60,14 @@ def test_states_pass_from_batch_to_batch(spark, sf):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     assert len(got) == len(states)
     assert all({k: v for k, v in r.items() if k not in FOLD_KEYS} == states[tuple(r[k] for k in FOLD_KEYS)] for r in got)
+
+
+def test_unfinished_components_are_no_result(spark):
+    import pytest
+
+    from shelfmark.operators.graph import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=2)
+    assert {r["component"] for r in components(chain).collect()} == {0}
