@@ -165,10 +165,66 @@ BASES = (0x9E3779B97F4A7C15 // 8 * 8 + 5, 0xD1342543DE82EF95 // 8 * 8 + 5)
 BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, (2, 256), dtype=np.uint64)
 
 
+_GOLD = 0x9E3779B97F4A7C15
+_WORD_SALTS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit value.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit value of each word's bytes and length."""
-    h = Spans(BYTE_VALUES[which][raw], BASES[which]).of(starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """A 64-bit value of each word's bytes and length.
+
+    Eight bytes at a time go through a non-linear mixer together with their place in the word, so that no pattern of
+    bytes (as in the difference of two sums of powers) makes two words collide.
+    """
+    sizes = (ends - starts).astype(np.int64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    salt = _WORD_SALTS[which]
+    h = mix((eight[starts] & _FIRST[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * np.uint64(_GOLD) + np.uint64(salt))
+    longer = np.flatnonzero(sizes > 8)
+    if len(longer):
+        parts = (sizes[longer] - 1) // 8
+        nth = ranges(np.ones(len(parts), np.int64), parts)
+        at = np.repeat(starts[longer], parts) + 8 * nth
+        v = (eight[at] & _FIRST[np.minimum(np.repeat(ends[longer], parts) - at, 8)]) + np.uint64(salt)
+        v ^= mix(nth.astype(np.uint64) * np.uint64(_GOLD))
+        first = np.concatenate(([0], np.cumsum(parts)[:-1]))
+        h[longer] = mix(h[longer] + np.add.reduceat(mix(v), first))
+    return h
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0xC2B2AE3D27D4EB4F) + b + np.uint64(_GOLD))
+
+
+def grams(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit value of each run of `size` values, by doubling; as many as there are runs."""
+    n, out, have, power, span = len(values), None, 0, values, 1
+    if n < size:
+        return values[:0]
+    while size:
+        if size & 1:
+            if out is None:
+                out, have = power, span
+            else:
+                m = n - have - span + 1
+                out, have = _joined(out[:m], power[have : have + m]), have + span
+        size >>= 1
+        if size:
+            power, span = _joined(power[:-span], power[span:]), span * 2
+    return out
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -5,14 +5,14 @@ distributed points that the elements draw for it, on an exponentially spaced sca
 sketches of parts merge by the register-wise extreme, and registers agree about as often as sets overlap.
 
 1. One pass makes each document's set size, a 128-bit digest of its set, and its registers. Documents with equal sets
-   form a class; its smallest id stands for it.
+   form a class, a node of the graph of links.
 2. Bands of registers are bucket keys. Buckets with the same members are one bucket. Members of a small bucket are
-   paired; in a larger one each is paired with pivots, found by partial aggregates, so a bucket of any size gives rows
+   paired; in a larger one each is paired with a pivot, found by partial aggregates, so a bucket of any size gives rows
    in proportion to its members.
 3. Pairs are held against the joint likelihood of their registers, given both set sizes; those that may be similar are
-   verified on full sets, and give links.
+   verified on the shingles themselves, and give links.
 4. In buckets that still hold several components, members outside of the bucket's largest component meet all others of
-   other components, in blocks of bounded size: first their registers, by the same likelihood, then their full sets,
+   other components, in blocks of bounded size: first their registers, by the same likelihood, then their shingles,
    as long as no link found in the block joins their components already. A block gives fewer links than it has rows,
    and a pair is looked at in the first band that it shares.
 """
@@ -33,13 +33,18 @@ from . import common
 SHINGLE, SIMILARITY = 5, 0.8
 #: Registers (a power of two), base of their scale, offset of the scale's zero; bands and registers in a band.
 REGISTERS, BASE, SHIFT, BANDS, ROWS = 256, 1.1, 25, 42, 6
-#: Members of a bucket that are paired with each other, and pivots of a larger one; block of the last step.
-SMALL, PIVOTS, BLOCK = 4, 1, 1024
+#: Members of a bucket that are paired with each other.
+SMALL = 4
+#: Members and shingles of a block of the last step, about.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Elements that are sketched at a time; a larger set is sketched in parts, and the parts' registers are merged.
+PART = 1 << 21
 #: Bits (as a power of two) of the filter that lets the texts of needed classes through: 8 MB, whatever the input.
 FILTER_BITS = 26
 #: How far below its greatest value the log-likelihood at the threshold may lie for a pair to be verified.
 MARGIN = 12.5
-_GRID = np.linspace(0.0, 1.0, 201)
+#: Similarities at which the likelihood is taken; a coarse grid finds less of a maximum, so it lets more pairs through.
+_GRID, _COARSE = np.linspace(0.0, 1.0, 201), np.linspace(0.0, 1.0, 13)
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -50,50 +55,96 @@ def shingles(raw: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
     raw = _UPPER[raw]
     starts, ends, first = common.words(raw, off)
     values = common.word_hashes(raw, starts, ends, 0)
+    runs = common.grams(values, size)
     out = []
-    counts = np.diff(first)
-    n = len(values)
-    spans = common.Spans(values, common.BASES[0])
-    at = np.arange(max(n - size + 1, 0))
-    grams = common.mix(spans.of(at, at + size))
-    for lo, count in zip(first[:-1].tolist(), counts.tolist(), strict=True):
+    for lo, count in zip(first[:-1].tolist(), np.diff(first).tolist(), strict=True):
         if count >= size:
-            s = np.sort(grams[lo : lo + count - size + 1])
+            s = np.sort(runs[lo : lo + count - size + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif count:
-            out.append(common.mix(spans.of(np.array([lo]), np.array([lo + count])) + np.uint64(count)))
+            out.append(common.mix(common.grams(values[lo : lo + count], count) + np.uint64(count)))
         else:
             out.append(values[:0])
     return out
 
 
-def registers(sets: list[np.ndarray], m: int = REGISTERS, base: float = BASE, shift: int = SHIFT) -> np.ndarray:
-    """One row of m registers (bytes) for each set; an empty set has zeros.
+def exact_shingles(text: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves. bytes.lower() and bytes.split() are those of ASCII: A-Z, and the six space characters."""
+    w = text.lower().split()
+    return set(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else {tuple(w)} if w else set()
 
-    An element draws the m points of a Poisson-like sequence in ascending order, each for another register, and stops
-    at the first that no register of its set can use any more.
+
+class Verifier:
+    """Whether texts are similar: by hashes first; what those accept is confirmed on the shingles themselves."""
+
+    def __init__(self, texts: list[bytes], hashed: list[np.ndarray], size: int, threshold: float):
+        self.texts, self.hashed, self.size, self.hundredths = texts, hashed, size, round(threshold * 100)
+        self.seen: dict[int, set] = {}
+
+    def _of(self, i: int) -> set:
+        if i not in self.seen:
+            if len(self.seen) >= 64:
+                self.seen.pop(next(iter(self.seen)))
+            self.seen[i] = exact_shingles(self.texts[i], self.size)
+        return self.seen[i]
+
+    def __call__(self, i: int, j: int) -> bool:
+        s, t = self.hashed[i], self.hashed[j]
+        return self.enough(_shared(s, t), len(s), len(t)) and self.confirmed(i, j)
+
+    def enough(self, shared, n, m):
+        return 100 * shared >= self.hundredths * (n + m - shared)
+
+    def confirmed(self, i: int, j: int) -> bool:
+        x, y = self._of(i), self._of(j)
+        return self.enough(len(x & y), len(x), len(y))
+
+
+#: Random round functions of the permutation of registers (fixed seed: the same on every executor).
+_ROUNDS = np.random.Generator(np.random.PCG64(11)).integers(0, 16, (4, 256, 16)).astype(np.uint8)
+
+
+def _register(key: np.ndarray, j: int) -> np.ndarray:
+    """The j-th of an element's 256 registers: a Feistel network of four rounds over two halves of four bits."""
+    left, right = np.full(len(key), j >> 4, np.uint8), np.full(len(key), j & 15, np.uint8)
+    for k in range(4):
+        left, right = right, left ^ _ROUNDS[k, key[:, k], right]
+    return left.astype(np.int64) << 4 | right
+
+
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of REGISTERS registers (bytes) for each set; an empty set has zeros.
+
+    An element draws the points of a Poisson-like sequence in ascending order, each for another register in an order of
+    its own, and stops at the first that no register of its set can use any more.
     """
+    if any(len(s) > PART for s in sets):
+        return np.stack([np.max([_sketched([s[i : i + PART]])[0] for i in range(0, max(len(s), 1), PART)], axis=0) for s in sets])
+    return _sketched(sets)
+
+
+def _sketched(sets: list[np.ndarray]) -> np.ndarray:
+    m = REGISTERS
     out = np.full((len(sets), m), np.inf, np.float32)
     flat = out.reshape(-1)
     sizes = np.array([len(s) for s in sets], np.int64)
     h = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), sizes)
     x = np.zeros(len(h), np.float32)
-    start, step = (h >> np.uint64(7)) % np.uint64(m), (h >> np.uint64(23)) % np.uint64(m) | np.uint64(1)  # a permutation of the registers
     state = h.copy()
+    key = np.ascontiguousarray(common.mix(h + np.uint64(0xA0761D6478BD642F))).view(np.uint8).reshape(-1, 8)[:, :4]
     for j in range(m):
-        if not len(h):
+        if not len(state):
             break
         state = common.mix(state + np.uint64(0x9E3779B97F4A7C15))
         u = ((state >> np.uint64(40)).astype(np.float32) + 0.5) * np.float32(2.0**-24)
         x = x - np.log(u) / np.float32(m - j)
-        at = row * m + ((start + np.uint64(j) * step) & np.uint64(m - 1)).astype(np.int64)
-        np.minimum.at(flat, at, x)
+        np.minimum.at(flat, row * m + _register(key, j), x)
         most = out.max(axis=1)
         live = x < most[row]
-        h, row, x, start, step, state = h[live], row[live], x[live], start[live], step[live], state[live]
+        row, x, key, state = row[live], x[live], key[live], state[live]
     with np.errstate(divide="ignore"):
-        level = np.floor(1 - np.log(out) / np.log(base)) + shift
+        level = np.floor(1 - np.log(out) / np.log(BASE)) + SHIFT
     return np.where(np.isinf(out), 0, np.clip(level, 1, 255)).astype(np.uint8)
 
 
@@ -101,12 +152,16 @@ def _p(x: np.ndarray, base: float) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (base - 1) / base) / np.log(base)
 
 
-def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, base: float = BASE) -> tuple[np.ndarray, np.ndarray]:
+def _count(flags: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(flags).view(np.uint64)).sum(axis=1, dtype=np.int64)[:, None]
+
+
+def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, base: float = BASE, points: np.ndarray = _GRID) -> tuple[np.ndarray, np.ndarray]:
     """(most likely similarity, log-likelihood lost at the threshold) of pairs of sketches, given both set sizes.
 
     Registers of a are greater, smaller or equal with probabilities that depend on the sizes and the similarity alone.
     """
-    more, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
+    more, less = _count(a > b), _count(a < b)
     same = a.shape[1] - more - less
     u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
     most = np.minimum(na / nb, nb / na)[:, None]
@@ -115,7 +170,7 @@ def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
         pa_, pb = np.clip(_p(u - v * j, base), 1e-12, 1), np.clip(_p(v - u * j, base), 1e-12, 1)
         return more * np.log(pa_) + less * np.log(pb) + same * np.log(np.clip(1 - pa_ - pb, 1e-12, 1))
 
-    grid = _GRID[None, :] * most
+    grid = points[None, :] * most
     ll = at(grid)
     best = ll.argmax(axis=1)
     estimate = grid[np.arange(len(best)), best]
@@ -125,7 +180,8 @@ def likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
 
 
 def _sketch(source: DataFrame, size: int) -> DataFrame:
-    spec = common.schema("doc_id long, n_shingles long, digest binary, sketch binary")
+    """doc_id, mark, n_shingles, digest and sketch (null without words) of each row."""
+    spec = common.schema("doc_id long, mark binary, n_shingles long, digest binary, sketch binary")
     names = spec.names
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,24 +189,25 @@ def _sketch(source: DataFrame, size: int) -> DataFrame:
             sets = shingles(*common.text_bytes(batch), size)
             regs = registers(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() if d else None for r, d in zip(regs, digests, strict=True)], pa.binary())], names=names)
+            sketches = [r.tobytes() if d else None for r, d in zip(regs, digests, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=names)
 
     return source.mapInArrow(make, spec)
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: all of small buckets, members with the pivots of others. members has bucket, n, rep."""
-    few = members.filter(F.col("n") <= SMALL).select("bucket", "rep")
-    small = few.alias("x").join(few.alias("y"), "bucket").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    many = members.filter(F.col("n") > SMALL).select("bucket", "rep")
-    pivots = many.groupBy("bucket").agg(F.array(F.min("rep"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(1, PIVOTS)]).alias("ps"))
-    large = many.join(pivots, "bucket").select("rep", F.explode(F.array_distinct("ps")).alias("p")).filter("rep <> p")
-    return small.unionByName(large.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))).distinct()
+    """(a, b) with a < b: all of small buckets, members with the pivot of others. members has bucket, n, node."""
+    few = members.filter(F.col("n") <= SMALL).select("bucket", "node")
+    small = few.alias("x").join(few.alias("y"), "bucket").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    many = members.filter(F.col("n") > SMALL).select("bucket", "node")
+    pivots = many.groupBy("bucket").agg(F.min("node").alias("p"))
+    large = many.join(pivots, "bucket").filter("node <> p")
+    return small.unionByName(large.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))).distinct()
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Those pairs whose registers allow the threshold, by joint likelihood."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +221,14 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(test, common.schema("a long, b long"))
 
 
-def _sets(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(rep, digest, elements): the full sets of needed classes, from the texts of their smallest ids.
+def _texts(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """node, n_shingles, sketch and text (A-Z lowered) of needed classes: a text of each, from a row with its smallest id.
 
-    A bitmap of hashed ids, of a fixed size, is sent to the scan of the texts, so that texts themselves aren't
-    shuffled; what passes by chance goes when ids and digests are joined.
+    A bitmap of hashed ids, of a fixed size, is sent to the scan of the texts, so that other texts aren't shuffled;
+    what passes by chance goes when ids and digests are joined.
     """
     bits = 1 << FILTER_BITS
-    at = needed.select((F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1).alias("at"))
+    at = needed.select((F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1).alias("at"))
     maps = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()  # 4 KB for each 32768 bits
     held = np.zeros(bits // 8, np.uint8)
     for r in maps:
@@ -183,28 +240,32 @@ def _sets(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             where = np.asarray(batch.column("at"), dtype=np.int64)
             batch = batch.filter(pa.array((told.value[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)))
             for part in common.small_batches(batch_ for batch_ in [batch] if batch.num_rows):
-                sets = shingles(*common.text_bytes(part), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "elements"])
+                raw, off = common.text_bytes(part)
+                sets = shingles(raw, off, size)
+                lowered = _UPPER[raw].tobytes()
+                texts = [lowered[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "digest", "text"])
 
-    rows = source.filter("doc_id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    found = rows.mapInArrow(make, common.schema("rep long, digest binary, elements binary"))
-    return found.join(needed, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
+    rows = source.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))
+    found = rows.mapInArrow(make, common.schema("doc_id long, digest binary, text binary"))
+    once = found.join(needed.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return once.join(needed, ["doc_id", "digest"]).select("node", "n_shingles", "sketch", "text")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full sets have at least the threshold's similarity, in hundredths and exact."""
-    hundredths = round(threshold * 100)
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("elements").alias(f"e{x}"))
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs whose sets have at least the threshold's similarity, in hundredths and exact."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = _shared(s, t)
-                keep.append(100 * shared >= hundredths * (len(s) + len(t) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+            n, texts, hashed = batch.num_rows, [], []
+            for c in ("ta", "tb"):
+                texts += batch.column(c).to_pylist()
+                hashed += shingles(*common.text_bytes(batch, c), size) if n else []
+            similar = Verifier(texts, hashed, size, threshold)
+            keep = pa.array([similar(i, n + i) for i in range(n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(test, common.schema("a long, b long"))
 
@@ -215,30 +276,50 @@ def _shared(s: np.ndarray, t: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _further(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links across components within a bucket that pivots have missed: enough of them to join what belongs together."""
-    known = members.join(labels, "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = known.groupBy("bucket", "component").count()
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.sum("count").alias("n")).filter(f"parts > 1 AND n > {SMALL}")
-    open_ = common.keep(known.join(several.select("bucket", "main"), "bucket"), "open")
+class Overlaps:
+    """How many elements one of many sets (none of them empty) shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        distinct, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.cumsum([0, *(len(s) for s in sets)])
+        self.table = np.zeros(len(distinct), np.uint8)
+
+    def shared(self, i: int) -> np.ndarray:
+        mine = self.ids[self.starts[i] : self.starts[i + 1]]
+        self.table[mine] = 1
+        out = np.add.reduceat(self.table[self.ids], self.starts[:-1], dtype=np.int64)
+        self.table[mine] = 0
+        return out
+
+
+def _further(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links across components within a bucket that pivots have missed: enough of them to join what belongs together.
+
+    Outsiders of a bucket (members that aren't in its largest component) meet its members block by block: a bucket of n
+    members with o outsiders makes about n * o / BLOCK + o * n / BLOCK rows, n + o where it is no larger than a block.
+    """
+    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+    cut = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("count", -F.col("component"), "shingles")).alias("main"), F.sum("count").alias("rows"), F.sum("shingles").alias("shingles")).filter(f"parts > 1 AND rows > {SMALL}")
+    grid = several.select("bucket", (-F.col("main.col2")).alias("main"), cut(F.col("rows"), F.col("shingles")).alias("k"), cut(F.col("rows") - F.col("main.count"), F.col("shingles") - F.col("main.shingles")).alias("o"))
+    open_ = known.join(grid, "bucket")
     # each block of outsiders meets each block of its bucket once
-    outside = open_.filter("component <> main")
-    blocks = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    outer = outside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("o"))
-    grid = blocks.join(outer, "bucket")
-    part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    left = outside.join(grid, "bucket").select("bucket", "band", part("o", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "rep", "component", F.lit(0).alias("side"))
-    right = open_.join(grid, "bucket").select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), part("k", 2).alias("j"), "rep", "component", F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(reps.select("rep", "n_shingles", "sketch"), "rep").join(sets.select("rep", "elements"), "rep")
-    hundredths = round(threshold * 100)
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outer = F.transform(all_("k"), lambda j: F.struct(F.lit(0).alias("side"), part("o", 1).alias("i"), j.alias("j")))
+    inner = F.transform(all_("o"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), part("k", 2).alias("j")))
+    places = open_.select("bucket", "band", "node", "component", F.when(F.col("component") == F.col("main"), inner).otherwise(F.concat(outer, inner)).alias("places"))
+    rows = places.join(texts, "node").select("bucket", "band", "node", "component", "n_shingles", "sketch", "text", F.inline("places"))
 
     def meet(table):
         band = table["band"][0].as_py()
         side = np.asarray(table["side"])
-        rep, comp, n = (np.asarray(table[c], dtype=np.int64) for c in ("rep", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"]]
-        bands = regs[:, : band * ROWS].reshape(len(rep), band, ROWS)
+        node, comp, n = (np.asarray(table[c], dtype=np.int64) for c in ("node", "component", "n_shingles"))
+        regs = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = regs[:, : band * ROWS].reshape(len(node), band, ROWS)
+        held = [x for c in table["text"].chunks for x in shingles(*common.text_bytes(pa.RecordBatch.from_arrays([c], names=["text"])), size) if len(c)]
+        similar = Verifier(table["text"].to_pylist(), held, size, threshold)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -246,65 +327,82 @@ def _further(members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataF
                 x = parent[x]
             return x
 
-        right_ = np.flatnonzero(side == 1)
+        right = np.flatnonzero(side == 1)
+        overlaps = Overlaps(held)
         a, b = [], []
         for i in np.flatnonzero(side == 0).tolist():
-            near = right_[(comp[right_] != comp[i]) & (np.minimum(n[right_], n[i]) >= threshold * np.maximum(n[right_], n[i]) - 1e-9)]
-            near = near[(regs[near] == regs[i]).sum(axis=1) >= REGISTERS * (threshold - 0.2)]
-            if band and len(near):
-                near = near[~(bands[near] == bands[i]).all(axis=2).any(axis=1)]
-            if not len(near):
-                continue
-            estimate, lost = likelihood(np.repeat(regs[i : i + 1], len(near), axis=0), regs[near], np.full(len(near), float(n[i])), n[near].astype(float), threshold)
-            fine = lost <= MARGIN
-            for r in near[fine][np.argsort(-estimate[fine], kind="stable")].tolist():
+            at = np.flatnonzero((comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]) - 1e-9))
+            if band and len(at):
+                at = at[~(bands[right[at]] == bands[i]).all(axis=2).any(axis=1)]
+            lost = [likelihood(regs[i : i + 1], regs[mine], np.full(len(mine), float(n[i])), n[mine].astype(float), threshold, points=_COARSE)[1] for mine in np.split(right[at], range(512, len(at), 512))] if len(at) else []
+            at = at[np.concatenate(lost) <= MARGIN] if lost else at
+            if len(at):
+                at = at[similar.enough(overlaps.shared(i)[right[at]], n[i], n[right[at]])]
+            for r in right[at].tolist():
                 x, y = root(int(comp[i])), root(int(comp[r]))
-                if x != y:
-                    shared = _shared(held[i], held[r])
-                    if 100 * shared >= hundredths * (len(held[i]) + len(held[r]) - shared):
-                        parent[max(x, y)] = min(x, y)
-                        a.append(min(int(rep[i]), int(rep[r])))
-                        b.append(max(int(rep[i]), int(rep[r])))
+                if x != y and similar.confirmed(i, r):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(min(int(node[i]), int(node[r])))
+                    b.append(max(int(node[i]), int(node[r])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
+def _labelled(source: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """doc_id, mark, n_shingles, node, component, component_id of each row; the last three are null where a set is empty or has no id at all.
 
-    Texts are linked whose sets of `shingle` words (A-Z lowered) have a similarity of at least the threshold. A text
-    without words has an empty set and is linked with nothing: its component is itself. Rows with the same id are one
-    document here; rows without an id join the component of their set, or null where it has no id. An empty table
-    gives an empty result.
+    source has doc_id, text and mark. component is a node, component_id the smallest id in it.
     """
-    source = common.pair(docs, id_col, text_col)
     made = common.keep(_sketch(source, shingle), "sketches")
-    classes = made.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"))
-    reps = common.keep(classes.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.sketch").alias("sketch")), "classes")
+    least = made.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"))
+    classes = common.keep(least.select("digest", "m.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    every = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
+    every = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
     # buckets of the same members are one, that of the first band: they agree in count, sum and exclusive-or of hashes
-    shape = every.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")).filter("n > 1")
+    shape = every.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x")).filter("n > 1")
     chosen = shape.groupBy("n", "s", "x").agg(F.min(F.struct("band", "bucket")).alias("c")).select("c.bucket", "n")
     members = common.keep(every.join(chosen, "bucket"), "members")
-    likely = common.keep(_likely(_pairs(members), reps, threshold), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("rep")).union(members.filter(F.col("n") > SMALL).select("rep")).distinct()
-    sets = common.keep(_sets(source, reps.join(needed, "rep", "left_semi").select("rep", "digest"), shingle), "sets")
-    links = common.keep(_verified(likely, sets, threshold), "links")
-    found = common.keep(components(links, "a", "b").select(F.col("node").alias("rep"), "component"), "components")
-    more = common.keep(_further(members, found, reps, sets, threshold), "further")
+    likely = common.keep(_likely(_pairs(members), classes, threshold), "likely")
+    needed = likely.select(F.explode(F.array("a", "b")).alias("node")).union(members.filter(F.col("n") > SMALL).select("node")).distinct()
+    texts = common.keep(_texts(source, classes.join(needed, "node", "left_semi"), shingle), "texts")
+    links = common.keep(_verified(likely, texts, shingle, threshold), "links")
+    found = common.keep(components(links, "a", "b"), "components")
+    labels = classes.select("node", "n_shingles").join(found, "node", "left")
+    more = common.keep(_further(members, labels, texts, shingle, threshold), "further")
     if not more.isEmpty():
-        found = common.keep(components(links.unionByName(more), "a", "b").select(F.col("node").alias("rep"), "component"), "components")
-    labelled = reps.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = made.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        found = common.keep(components(links.unionByName(more), "a", "b"), "components")
+    ids = found.join(classes.select("node", "doc_id"), "node")
+    named = ids.select("node", "component").join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
+    every_class = classes.select("digest", "node", "doc_id").join(named, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return made.select("doc_id", "mark", "n_shingles", "digest").join(every_class, "digest", "left").drop("digest")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row.
+
+    Texts are linked whose sets of `shingle` words (A-Z lowered) have a similarity of at least the threshold. A text
+    without words has an empty set and is linked with nothing: its component is itself. Rows that share an id are
+    linked by their own sets only; a row without an id joins the component of its set, or null where that has no id.
+    An empty table gives an empty result.
+    """
+    out = _labelled(common.pair(docs, id_col, text_col, F.lit(None).cast("binary").alias("mark")), shingle, threshold)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """docs without the ids that link() drops: one document of each component stays. Rows without an id stay."""
-    gone = common.keep(link(docs, id_col, text_col, shingle, threshold).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """docs with one document of each component: that of the smallest id (of several texts with that id, one).
+
+    Rows are told apart by id and text, so a text that is linked with nothing stays whatever ids it shares; rows with
+    the same id and text stay or go together. Rows without an id stay.
+    """
+    mark = lambda text: F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    rows = common.keep(_labelled(common.pair(docs, id_col, text_col, mark(text_col).alias("mark")), shingle, threshold).filter("component IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "mark", "component"), "labelled")
+    stays = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("s"), F.count("*").alias("n")).filter("n > 1")
+    gone_id, gone_mark, own = common.fresh(docs.columns, "id", "mark", "own")
+    gone = common.keep(rows.join(stays, "component").filter("doc_id <> s.doc_id OR mark <> s.mark").select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct(), "gone")
+    marked = docs.withColumn(own, mark(text_col))
+    return marked.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (F.col(own) == F.col(gone_mark)), "left_anti").drop(own)
 
 
 def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

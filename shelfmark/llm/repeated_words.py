@@ -75,7 +75,7 @@ def _grams(batch: pa.RecordBatch, window: int, gram: int) -> tuple:
     if not len(at):
         return raw, starts, ends, first, values, at, text, at, values[:0]
     grams = np.zeros(n, np.uint64)
-    grams[: n - gram + 1] = common.mix(common.Spans(values, common.BASES[0]).of(np.arange(n - gram + 1), np.arange(gram, n + 1)))
+    grams[: n - gram + 1] = common.grams(values, gram)
     return raw, starts, ends, first, values, at, text, sketch.anchors(grams, at, window, gram), grams
 
 
