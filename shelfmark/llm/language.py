@@ -145,7 +145,7 @@ def train(texts: list[tuple[str, str]], size: int = TABLE, chain: int = CHAIN, e
             pieces.append((words[at : at + n], index[label]))
             at += n
             total += len(words[at - n : at])
-    if not pieces:
+    if not pieces or not any(words for words, _ in pieces):
         return None
     # neighbours are pieces of any language half of the time, else as they follow in their document
     order = np.arange(len(pieces))
@@ -200,17 +200,33 @@ def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Model | None:
-    """Trains on at most `sample` labelled rows that aren't held out, of each label those first in the order of a hash of their id, and `words` words of them."""
-    got = sampled(docs, id_col, text_col, label_col, sample, words)
-    return train(got, max_words=max(words, len(got)))
+    """Trains on at most `sample` labelled rows that aren't held out, of each label those first in the order of a hash of their id, and `words` words of them.
+
+    One task takes the sample, whose size is fixed, and gives the model; the driver holds nothing but that. None where no row has a label.
+    """
+    chosen = sampled(docs, id_col, text_col, label_col, sample, words)
+    if chosen is None:
+        return None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((r["h"], r["label"], r["k"], r["text"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[:3])
+        model = train([(text, label) for _, label, _, text in rows], max_words=max(words, len(rows)))
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([model.labels], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.moves.tobytes()], pa.binary())], names=["labels", "weights", "moves"])
+
+    got = chosen.repartition(1).mapInArrow(learn, common.schema("labels array<string>, weights binary, moves binary")).collect()  # a model of TABLE weights for each label
+    if not got:
+        return None
+    n = len(got[0]["labels"])
+    return Model(list(got[0]["labels"]), np.frombuffer(got[0]["weights"], np.float32).reshape(-1, n), np.frombuffer(got[0]["moves"], np.float32).reshape(n, n))
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, words: int) -> list[tuple[str, str]]:
-    """(text, label) of the rows to train on, each text cut to its share of the words."""
+def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, words: int) -> DataFrame | None:
+    """h, label, k, text of the rows to train on, each text cut to its share of the words; None if no row has a label."""
     rows = common.pair(docs.filter(~held_out(id_col)), id_col, text_col, F.col(label_col).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a column of the model for each
     if not counts:
-        return []
+        return None
     most = quotas(counts, sample)
     # somewhat more than a label's quota passes a threshold on the hash, so that tasks don't each send a whole sample's texts
     share = {k: (2.0 * most[k] + 30) / n for k, n in counts.items()}
@@ -221,8 +237,7 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample:
     start = F.substring(F.ltrim("text"), 1, 64 * each)  # bounds what is sent, where hardly any space parts words
     cut = F.array_join(F.slice(F.split(start, "[ \\t\\n\\x0B\\f\\r]+", each + 1), 1, each), " ")
     order = Window.partitionBy("label").orderBy("h", "doc_id", F.sha2("text", 256))
-    chosen = few.withColumn("k", F.row_number().over(order)).filter("k <= quota").select("h", "k", "label", cut.alias("text"))
-    return [(r["text"], r["label"]) for r in chosen.orderBy("h", "label", "k").collect()]
+    return few.withColumn("k", F.row_number().over(order)).filter("k <= quota").select("h", "label", "k", cut.alias("text"))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,13 +253,23 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return common.pair(docs, id_col, text_col).mapInArrow(label, spec)
 
 
-def keep_known(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """Rows of docs with a predicted language (not `und`) and a score of at least `least`; the label column holds the prediction."""
+#: Score below which a text counts as in none of the learned languages: no language has most of its words' probability.
+LEAST = 0.4
+
+
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", label_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """Rows of docs with a predicted language (not `und`) and a score of at least `least`; the label column holds the prediction.
+
+    Without a model nothing can be told of a language: rows with a letter in their text stay as they are.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     has = label_col in docs.columns
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = label_texts(held.value, batch.column(text_col).to_pylist())
+        texts = batch.column(text_col).to_pylist()
+        if held.value is None:
+            return batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+        names, scores = label_texts(held.value, texts)
         if has:
             at = batch.schema.get_field_index(label_col)
             batch = batch.set_column(at, label_col, pa.array(names, pa.string()).cast(batch.schema.field(at).type))
@@ -253,8 +278,12 @@ def keep_known(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     return common.rows_like(docs, label, text_col)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def label_texts(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
+    known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if known:
         encoded = [texts[i].lower().encode() for i in known]
