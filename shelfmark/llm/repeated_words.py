@@ -1,7 +1,7 @@
 """Substring deduplication over words: what lies in a repeated window of words is removed.
 
 First pass: a count-min sketch (see sketch.py) over the whole input. Second pass: windows that the sketch estimates to
-be repeated are grouped exactly, by 128 bits computed from their words; all others are certainly unique. A task first
+be repeated are grouped exactly, by 128 bits of a cryptographic digest of their words; all others are certainly unique. A task first
 groups its own windows, so that a window sends one entry from each task however often it occurs there; entries travel
 packed, dealt by their anchor's hash. Buckets that a common anchor makes too large are dealt again, by the windows' hash.
 """
@@ -43,6 +43,19 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return [np.frombuffer(plain, t, n, n * sum(sizes[:k])) for k, t in enumerate(_FIELDS)]
 
 
+def _names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a cryptographic digest of each window's words, joined by one space."""
+    sizes = ends - starts
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    joined = np.full(int(begin[-1] + sizes[-1]), 32, np.uint8)
+    joined[common.ranges(begin, sizes)] = raw[common.ranges(starts, sizes)]
+    data, digest = memoryview(joined.tobytes()), hashlib.blake2b
+    last = at + window - 1
+    named = b"".join([digest(data[i:j], digest_size=16).digest() for i, j in zip(begin[at].tolist(), (begin[last] + sizes[last]).tolist(), strict=True)])
+    both = np.frombuffer(named, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def dealt(entries: DataFrame, most: int, per_part: int) -> DataFrame:
     """(bucket, part, packed) of (bucket, n, packed): buckets of more than `most` entries are cut by the hash of the windows, so that equal ones stay together."""
     large = entries.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
@@ -135,9 +148,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             has = np.zeros(batch.num_rows, bool)
             has[text] = True
             if len(at):
-                second = common.word_hashes(raw, starts, ends, 1)
-                a = common.mix(common.Spans(values, common.BASES[1]).of(at, at + window))
-                b = common.mix(common.Spans(second, common.BASES[0]).of(at, at + window))
+                a, b = _names(raw, starts, ends, at, window)
                 gathered.append((a, b, row + text, at - first[text], grams[where[hot]]))
                 total += len(at)
             out = []
