@@ -7,7 +7,8 @@ distance in every place where the window occurs. So:
 2. Each other anchor sends a snippet, the bytes that the windows with that anchor span, to where its hash is dealt.
    A task sends equal snippets once if a smaller document among them settles the others. An anchor that a sample of
    the documents shows in very many different snippets sends its windows one by one, each dealt by its own bytes.
-3. Snippets of one anchor that are equal throughout settle each other: all but those of the smallest document go.
+3. Snippets of one anchor that are equal throughout, byte for byte, settle each other: all but those of the smallest
+   document go (each of their windows is a group of its own, there is no order to find).
    Where an anchor has several different snippets, their suffixes are sorted (suffix_groups.py) and each run of
    suffixes with equal windows finds its smallest document. Symbols before the anchor are bytes; the anchor's own
    string, which all share, is one symbol, and what follows it is taken four bytes a symbol, first byte highest: that
@@ -101,6 +102,45 @@ def _digests(raw: np.ndarray, at: np.ndarray, size: np.ndarray, reach: np.ndarra
     return common.mix(common.Spans(common.BYTE_VALUES[1][raw], common.BASES[1]).of(at, at + size) + (size * 256 + reach).astype(np.uint64))
 
 
+def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and at b differ, for each size: eight bytes at a time."""
+    if len(a) and size.min() < 8:
+        return np.array([bytes(raw[i : i + n]) != bytes(raw[j : j + n]) for i, j, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True)])
+    eight = np.ndarray((max(len(raw) - 7, 0),), dtype="<u8", buffer=np.ascontiguousarray(raw), strides=(1,))
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), 1 << 16):
+        n = size[i : i + (1 << 16)].astype(np.int64)
+        k = -(-n // 8)
+        at = np.minimum(8 * common.ranges(np.zeros(len(k), np.int64), k), np.repeat(n, k) - 8)
+        unlike = eight[np.repeat(a[i : i + (1 << 16)], k) + at] != eight[np.repeat(b[i : i + (1 << 16)], k) + at]
+        out[i : i + (1 << 16)] = np.logical_or.reduceat(unlike, np.cumsum(k) - k)
+    return out
+
+
+def variants_of(ids: np.ndarray, grams: np.ndarray, digest: np.ndarray, snippets: np.ndarray, at: np.ndarray, size: np.ndarray, reach: np.ndarray, gram: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, edges, anchors): snippets by anchor (and `first` before that), then equal ones together, those by id; edges start equal ones.
+
+    Hashes sort; what they hold equal is compared byte for byte. Where two strings share a hash, names by content replace it.
+    """
+    whole = np.zeros(len(ids), np.int64) if first is None else first
+    tie = np.zeros(len(ids), np.int64)
+    for exact in (False, True):
+        order = np.lexsort((ids, tie, digest, grams, whole))
+        edges = _groups(whole[order], grams[order], digest[order], tie[order])
+        head = np.repeat(order[edges], np.diff(np.append(edges, len(order))))
+        anchor_edges = _groups(grams[order])
+        anchor = np.repeat(order[anchor_edges], np.diff(np.append(anchor_edges, len(order))))
+        unlike = (size[order] != size[head]) | (reach[order] != reach[head])
+        more = order != head
+        more &= ~unlike
+        if exact or not (unlike.any() or _differ(snippets, at[order[more]], at[head[more]], size[head[more]]).any() or _differ(snippets, (at + reach)[order], (at + reach)[anchor], np.full(len(order), gram)).any()):
+            break
+        names: dict[tuple, int] = {}
+        grams = np.array([names.setdefault((bytes(snippets[i : i + gram]),), len(names)) for i in (at + reach).tolist()], np.uint64)
+        tie = np.array([names.setdefault((bytes(snippets[i : i + n]), r), len(names)) for i, n, r in zip(at.tolist(), size.tolist(), reach.tolist(), strict=True)])
+    return order, edges, grams
+
+
 def common_anchors(source: DataFrame, width: int, gram: int, most: int) -> np.ndarray:
     """Gram hashes, sorted, of anchors with more than about `most` different snippets, by a sample of documents: it decides where windows meet, not whether."""
     every = max(1, most // SEEN)
@@ -254,8 +294,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             at = np.concatenate(([0], np.cumsum(size)[:-1]))
             dealt = np.where(_among(grams, told_common.value), common.mix(grams + digest), grams)
             bucket = (dealt % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((ids, digest, grams, bucket))
-            edges = _groups(grams[order], digest[order])
+            order, edges, _ = variants_of(ids, grams, digest, snippets, at, size, reach, gram, bucket)
             least = np.repeat(ids[order][edges], np.diff(np.append(edges, len(order))))
             later = order[ids[order] > least]
             if len(later):  # settled here; they pass through a bucket of their own hash
@@ -302,13 +341,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         reach, span = reach.astype(np.int64), span.astype(np.int64)
         at = np.concatenate(([0], np.cumsum(span + width)[:-1]))
         grams, digest = _gram_hashes_of_few(snippets, at + reach, gram), _digests(snippets, at, span + width, reach)
-        order = np.lexsort((ids, digest, grams))
-        g, d = grams[order], digest[order]
-        variant_edges = _groups(g, d)
+        hashed = grams
+        order, variant_edges, grams = variants_of(ids, grams, digest, snippets, at, span + width, reach, gram)
+        g = grams[order]
         counts = np.diff(np.append(variant_edges, len(order)))
         heads = order[variant_edges]  # of equal snippets, one of the smallest document
         group = np.cumsum(np.isin(variant_edges, _groups(g)))
-        several = (np.bincount(group)[group] > 1) & ~_among(grams[heads], told_common.value)  # single windows meet whole
+        several = (np.bincount(group)[group] > 1) & ~_among(hashed[heads], told_common.value)  # single windows meet whole
         # each occurrence's windows that a smaller document holds, as runs: mostly all or none of them
         variant = np.repeat(np.arange(len(heads)), counts)
         doc, key, at_, n = ids[order], keys[order].astype(np.int64), start[order].astype(np.int64), span[order] + 1
