@@ -1,7 +1,8 @@
 """TIFF pages: a writer, and a reader that walks image directories.
 
 The reader takes both byte orders, strips and tiles, no compression, LZW, deflate and PackBits, the horizontal
-predictor for 8- and 16-bit samples, and emits one row per page.
+predictor for 8- and 16-bit samples, and emits one row per page. Planes of their own, other sample sizes, predictor 3
+and 64-bit offsets (BigTIFF) are refused: such a file gives an error row.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ NONE, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
 TYPES = {1: "B", 3: "H", 4: "I"}
 #: A page has at most so many payload bytes; a longer payload has more pages.
 PAGE_BYTES = 4 << 20
+#: No scheme makes more bytes of one byte: a strip or tile of more is malformed, and no memory is taken for it.
+MOST_EXPANSION = 4096
 
 
 class Malformed(ValueError):
@@ -218,10 +221,14 @@ def read(data: bytes) -> Iterator[Page]:
                 if kind in TYPES:
                     size = struct.calcsize(TYPES[kind]) * count
                     where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
+                    if where + size > len(data):
+                        raise Malformed(f"tag {tag} ends after the file")
                     tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where)
             yield _page(tags, view, order)
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    except (struct.error, KeyError, IndexError) as e:
+    except Malformed:
+        raise
+    except (struct.error, LookupError, ValueError, TypeError, ArithmeticError) as e:
         raise Malformed(f"{type(e).__name__}: {e}") from e
 
 
@@ -231,20 +238,32 @@ def _page(tags: dict[int, tuple[int, ...]], data: memoryview, order: str) -> Pag
     bits = one(BITS, 1)
     if bits not in (8, 16) or len(set(tags[BITS])) > 1 or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise Malformed(f"{bits} bits, planes {one(PLANAR, 1)}, predictor {predictor}")
+    if min(width, height, samples) < 1:
+        raise Malformed(f"a page of {width} x {height} x {samples}")
     kind = np.dtype("u1" if bits == 8 else order + "u2")
 
     def block(offset: int, count: int, h: int, w: int) -> np.ndarray:
+        if offset + count > len(data) or h * w * samples * kind.itemsize > count * (1 if scheme == NONE else MOST_EXPANSION):
+            raise Malformed(f"a strip or tile of {h} x {w} in {count} bytes at {offset}")
         got = np.frombuffer(expand(data[offset : offset + count], scheme, h * w * samples * kind.itemsize), kind).reshape(h, w, samples)
         return got if predictor == 1 else np.cumsum(got, axis=1, dtype=kind.newbyteorder("="))
 
     if TILE_OFFSETS in tags:
         w, h = tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]
-        out, across = np.zeros((height, width, samples), kind.newbyteorder("=")), -(-width // w)
-        for i, (offset, count) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True)):
+        if min(w, h) < 1:
+            raise Malformed(f"tiles of {w} x {h}")
+        across, places = -(-width // w), list(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True))
+        if len(places) != across * -(-height // h):
+            raise Malformed(f"{len(places)} tiles of {w} x {h} for {width} x {height}")
+        tiles = [block(offset, count, h, w) for offset, count in places]
+        out = np.zeros((height, width, samples), kind.newbyteorder("="))
+        for i, tile in enumerate(tiles):
             y, x = i // across * h, i % across * w
-            out[y : y + h, x : x + w] = block(offset, count, h, w)[: height - y, : width - x]
+            out[y : y + h, x : x + w] = tile[: height - y, : width - x]
     else:
         rows = min(one(ROWS_PER_STRIP, height), height) or 1
+        if len(tags[STRIP_OFFSETS]) != -(-height // rows):
+            raise Malformed(f"{len(tags[STRIP_OFFSETS])} strips of {rows} rows for {height}")
         parts = [block(offset, count, min(rows, height - i * rows), width) for i, (offset, count) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], strict=True))]
         out = np.concatenate(parts) if len(parts) > 1 else parts[0]
         if len(out) != height:
