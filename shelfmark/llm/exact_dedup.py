@@ -93,13 +93,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that dedup() drops; of rows that repeat a kept id with an equal text, one stays."""
-    named = common.keep(dedup(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "named")
-    keyed = docs.withColumn("__key", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    gone = named.filter("NOT kept").select("__id", "__sha").distinct()
-    left = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_anti")
-    if not named.filter("kept").groupBy("__id", "__sha").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "__key"])
-    return left.drop("__key")
+    gone_id, gone_sha, own = common.fresh(docs.columns, "id", "sha", "own")
+    named = common.keep(dedup(docs, id_col, text_col).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), F.col("kept").alias("kept")), "named")
+    keyed = docs.withColumn(own, F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256))
+    gone = named.filter("NOT kept").select(gone_id, gone_sha).distinct()
+    left = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha)), "left_anti")
+    if not named.filter("kept").groupBy(gone_id, gone_sha).count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col, own])
+    return left.drop(own)
 
 
 def op4_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ class Finder:
             if anchor == "0":
                 if at >= ip and (before != at - 1 or at == ip) and (m := _IP.match(text, at)):
                     ip = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                    if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
                         out.append((at, 1, ip))
                 if at >= card and (m := _CARD.match(text, at)):
                     card = m.end()
