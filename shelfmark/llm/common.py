@@ -69,7 +69,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = end
 
 
-def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 2 << 20) -> DataFrame:
+def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 1 << 20) -> DataFrame:
     """docs with each batch (of at most about limit bytes of text) changed, all columns and their order kept."""
     fields = bounded(docs).schema
     names = fields.names

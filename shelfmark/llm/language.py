@@ -155,16 +155,23 @@ def train(texts: list[tuple[str, str]], size: int = TABLE, chain: int = CHAIN, e
     gold = np.concatenate([np.full(len(pieces[i][0]), pieces[i][1]) for i in order])
     raw = np.frombuffer(b" ".join(tokens), np.uint8)
     starts, ends, _ = common.words(raw, np.array([0, len(raw)]))
-    families = []
-    for rows, where in _families(raw, starts, ends, size):
-        families.append((rows, np.arange(len(starts)) if where is None else np.searchsorted(starts, where, side="right") - 1))
+    del pieces, tokens
+
+    def features(lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(weight rows, words) of each family for the words lo to hi: made when they are needed, so that they take a block's room."""
+        base = starts[lo]
+        at, out = starts[lo:hi] - base, []
+        for rows, where in _families(raw[base : ends[hi - 1]], at, ends[lo:hi] - base, size):
+            out.append((rows, np.arange(hi - lo) if where is None else np.searchsorted(at, where, side="right") - 1))
+        return out
+
     model = Model(labels, np.zeros((size, len(labels)), np.float32), np.zeros((len(labels), len(labels)), np.float32), chain)
     sums, move_sums = np.full(model.weights.shape, 1e-3, np.float32), np.full(model.moves.shape, 1.0, np.float64)
     block = 64 * chain
     for _ in range(epochs):
         for b in rng.permutation(-(-len(starts) // block)):
             lo, hi = int(b) * block, min((int(b) + 1) * block, len(starts))
-            mine = [(rows[i:j], words[i:j] - lo) for rows, words in families for i, j in [np.searchsorted(words, [lo, hi])]]
+            mine = features(lo, hi)
             scores = np.zeros((hi - lo, len(labels)), np.float32)
             for rows, words in mine:
                 for k in range(len(labels)):
@@ -246,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the table and a row for each pair of labels
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, limit=2 << 20):
+        for batch in common.small_batches(batches, limit=1 << 20):
             names, scores = label_texts(held.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
