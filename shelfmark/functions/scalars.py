@@ -275,14 +275,14 @@ SPRITE_TIERS = ((15, 0.5, 30), (60, 1.0, 60), (300, 3.0, 100), (900, 5.0, 180),
 
 
 def sprite_plan(duration: Column, interval: float = 0.0, most_tiles: int = 0, columns: int = 10) -> Column:
-    """struct(frames, interval, cols, row_count) of a preview sheet for so many seconds of video."""
+    """struct(frames, interval, cols, row_count) of a preview sheet for so many seconds of video; 0 columns means 10."""
     frames = None
     for longest, density, most in SPRITE_TIERS:
         density = max(0.5, interval) if interval > 0 else density
         n = F.least(F.greatest(F.ceil(duration / density), F.lit(8)), F.lit(most))
         frames = F.when(duration <= longest, n) if frames is None else frames.when(duration <= longest, n)
     frames = F.least(frames, F.lit(most_tiles)) if most_tiles else frames
-    frames, cols = frames.cast("long"), max(2, min(20, columns))
+    frames, cols = frames.cast("long"), max(2, min(20, columns or 10))
     return F.struct(frames.alias("frames"), (duration / frames).alias("interval"), F.lit(cols).alias("cols"), F.greatest(F.lit(1), F.ceil(frames / cols)).cast("long").alias("row_count"))
 
 

@@ -61,11 +61,12 @@ def evicted(c: Catalog, most: int = 200) -> DataFrame:
     return eviction(files, used * 9 // 10, most, (F.col("pinned") == 1) | F.col("rescued_at").isNotNull() | F.coalesce("busy", F.lit(False)))
 
 
-@query("x1_upsert", "SELECT coalesce(d.group_id, n.group_id) AS group_id, coalesce(d.message_id, n.message_id) AS message_id, CASE WHEN n.message_id IS NULL THEN d.file_size ELSE n.file_size END AS file_size, CASE WHEN n.message_id IS NULL THEN d.file_hash ELSE coalesce(n.file_hash, d.file_hash) END AS file_hash FROM (SELECT * FROM downloads WHERE id % 5 <> 0) d FULL OUTER JOIN (SELECT group_id, message_id, file_size * 2 AS file_size, CASE WHEN remote_id % 8 = 1 THEN NULL ELSE file_hash END AS file_hash FROM peer_downloads) n ON n.group_id = d.group_id AND n.message_id = d.message_id")
+@query("x1_upsert", "SELECT coalesce(d.group_id, n.group_id) AS group_id, coalesce(d.message_id, n.message_id) AS message_id, CASE WHEN n.message_id IS NULL THEN d.file_size ELSE n.file_size END AS file_size, CASE WHEN n.message_id IS NULL THEN d.file_hash ELSE coalesce(n.file_hash, d.file_hash) END AS file_hash FROM downloads d FULL OUTER JOIN (SELECT group_id, message_id, file_size * 2 AS file_size, CASE WHEN remote_id % 8 = 1 THEN NULL ELSE file_hash END AS file_hash FROM peer_downloads UNION ALL SELECT group_id, message_id, file_size, file_hash FROM (SELECT group_id, message_id, 0 AS file_size, NULL AS file_hash FROM tombstones)) n ON n.group_id = d.group_id AND n.message_id = d.message_id")
 def upserted(c: Catalog) -> DataFrame:
     cols = ("group_id", "message_id", "file_size", "file_hash")
     new = c.peer_downloads.select("group_id", "message_id", (F.col("file_size") * 2).alias("file_size"), F.when(F.col("remote_id") % 8 != 1, F.col("file_hash")).alias("file_hash"))
-    return upsert(c.downloads.filter("id % 5 <> 0").select(*cols), new, ["group_id", "message_id"], ("file_hash",))
+    new = new.unionByName(c.tombstones.select("group_id", "message_id", F.lit(0).alias("file_size"), F.lit(None).cast("string").alias("file_hash")))
+    return upsert(c.downloads.select(*cols), new, ["group_id", "message_id"], ("file_hash",))
 
 
 @query("x4_insert_or_ignore", "SELECT group_id, message_id FROM downloads UNION SELECT group_id, message_id FROM tombstones")
@@ -74,17 +75,17 @@ def inserted(c: Catalog) -> DataFrame:
     return insert_or_ignore(c.downloads.select(*keys), c.tombstones.select(*keys), keys)
 
 
-@query("x5_orphan_paths", "SELECT DISTINCT file_path FROM downloads d WHERE id % 4 = 0 AND file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM downloads o WHERE o.file_path = d.file_path AND o.id % 4 <> 0)")
+@query("x5_orphan_paths", "SELECT DISTINCT file_path FROM downloads d WHERE pending_until IS NOT NULL AND rescued_at IS NULL AND file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM downloads o WHERE o.file_path = d.file_path AND (o.pending_until IS NULL OR o.rescued_at IS NOT NULL))")
 def orphan_paths(c: Catalog) -> DataFrame:
-    """After a cascade deletes rows (here every fourth), the files that no row owns any more."""
-    gone = c.downloads.filter("id % 4 = 0 AND file_path IS NOT NULL").select("file_path").distinct()
-    return gone.join(c.downloads.filter("id % 4 <> 0").select("file_path"), "file_path", "left_anti")
+    """After a cascade deletes rows (here those that expire and weren't rescued), the files that no row owns any more."""
+    gone = c.downloads.filter("pending_until IS NOT NULL AND rescued_at IS NULL AND file_path IS NOT NULL").select("file_path").distinct()
+    return gone.join(c.downloads.filter("pending_until IS NULL OR rescued_at IS NOT NULL").select("file_path"), "file_path", "left_anti")
 
 
-@query("x6_tombstones", "SELECT group_id, message_id FROM tombstones UNION SELECT group_id, message_id FROM downloads WHERE id % 50 = 3")
+@query("x6_tombstones", "SELECT group_id, message_id FROM tombstones UNION SELECT group_id, message_id FROM downloads WHERE nsfw_whitelist = 1")
 def tombstoned(c: Catalog) -> DataFrame:
     keys = ["group_id", "message_id"]
-    return insert_or_ignore(c.tombstones.select(*keys), c.downloads.filter("id % 50 = 3").select(*keys), keys)
+    return insert_or_ignore(c.tombstones.select(*keys), c.downloads.filter("nsfw_whitelist = 1").select(*keys), keys)
 
 
 def rekeyed(tables: dict[str, DataFrame], source: str, target: str, key: str = "group_id", number: str = "message_id") -> dict[str, DataFrame]:
@@ -119,9 +120,9 @@ def integrity_verdicts(rows: DataFrame, listing: DataFrame) -> DataFrame:
     return both.select("id", verdict.alias("verdict"), F.when(verdict == "fix-size", F.col("found")).alias("size"))
 
 
-@query("x10_integrity", "SELECT d.id, CASE WHEN p.size IS NULL OR p.size <= 0 THEN 'prune' WHEN p.size <> d.file_size THEN 'fix-size' ELSE 'keep' END AS verdict, CASE WHEN p.size > 0 AND p.size <> d.file_size THEN p.size END AS size FROM downloads d LEFT JOIN (SELECT file_path, max(file_size) - CASE WHEN min(id) % 6 = 0 THEN max(file_size) ELSE 0 END AS size FROM downloads WHERE id % 3 <> 0 AND file_path IS NOT NULL GROUP BY file_path) p ON p.file_path = d.file_path WHERE d.file_path IS NOT NULL")
+@query("x10_integrity", "SELECT d.id, CASE WHEN p.size IS NULL OR p.size <= 0 THEN 'prune' WHEN p.size <> d.file_size THEN 'fix-size' ELSE 'keep' END AS verdict, CASE WHEN p.size > 0 AND p.size <> d.file_size THEN p.size END AS size FROM downloads d LEFT JOIN (SELECT file_path, max(file_size) - CASE WHEN min(id) % 6 = 0 THEN max(file_size) ELSE 0 END AS size FROM downloads WHERE file_path IS NOT NULL GROUP BY file_path) p ON p.file_path = d.file_path WHERE d.file_path IS NOT NULL")
 def integrity(c: Catalog) -> DataFrame:
-    listing = c.downloads.filter("id % 3 <> 0 AND file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg((F.max("file_size") - F.when(F.min("id") % 6 == 0, F.max("file_size")).otherwise(0)).alias("found"), F.lit(True).alias("regular"))
+    listing = c.downloads.filter("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg((F.max("file_size") - F.when(F.min("id") % 6 == 0, F.max("file_size")).otherwise(0)).alias("found"), F.lit(True).alias("regular"))
     return integrity_verdicts(c.downloads.filter("file_path IS NOT NULL").select("id", F.col("file_path").alias("path"), F.col("file_size").alias("size")), listing)
 
 
@@ -130,9 +131,9 @@ def bulk(c: Catalog, whitelist: tuple[int, ...] = (3, 17, 34), clear: tuple[int,
     return c.downloads.select("id", F.when(F.col("id").isin(*whitelist), 1).otherwise(F.col("nsfw_whitelist")).alias("nsfw_whitelist"), F.when(~F.col("id").isin(*clear), F.col("nsfw_score")).alias("nsfw_score"))
 
 
-@query("x12_additive_columns", "SELECT id, file_name, NULL::BIGINT AS message_id FROM downloads WHERE id % 2 = 0 UNION ALL SELECT id, file_name, message_id FROM downloads WHERE id % 2 = 1")
+@query("x12_additive_columns", "SELECT id, file_name, message_id FROM downloads UNION ALL SELECT remote_id AS id, NULL AS file_name, NULL::BIGINT AS message_id FROM peer_downloads")
 def additive(c: Catalog) -> DataFrame:
-    return c.downloads.filter("id % 2 = 0").select("id", "file_name").unionByName(c.downloads.filter("id % 2 = 1").select("id", "file_name", "message_id"), allowMissingColumns=True)
+    return c.downloads.select("id", "file_name", "message_id").unionByName(c.peer_downloads.select(F.col("remote_id").alias("id")), allowMissingColumns=True)
 
 
 def reusable(items: DataFrame, files: DataFrame) -> DataFrame:
@@ -150,12 +151,12 @@ def reusable(items: DataFrame, files: DataFrame) -> DataFrame:
 
 
 @query("x13_ingest_reuse", """
-WITH held AS (SELECT d.*, file_path AS path FROM downloads d WHERE file_path IS NOT NULL AND id % 4 <> 1 AND file_path NOT IN (SELECT file_path FROM downloads WHERE id % 4 <> 1 AND file_path IS NOT NULL AND file_hash IS NOT NULL GROUP BY file_path HAVING min(file_hash) <> max(file_hash))),
+WITH held AS (SELECT d.*, file_path AS path FROM downloads d WHERE file_path IS NOT NULL AND file_path NOT IN (SELECT file_path FROM downloads WHERE file_path IS NOT NULL AND file_hash IS NOT NULL GROUP BY file_path HAVING min(file_hash) <> max(file_hash))),
 i AS (SELECT telegram_media_kind AS k, telegram_media_id AS m, file_size AS s, arg_min(path, id) AS p FROM held GROUP BY 1, 2, 3), h AS (SELECT file_hash AS hs, file_size AS s, arg_min(path, id) AS p FROM held WHERE file_hash IS NOT NULL GROUP BY 1, 2)
 SELECT n.remote_id AS item, coalesce(i.p, h.p) AS path, CASE WHEN i.p IS NOT NULL THEN 'identity' WHEN h.p IS NOT NULL THEN 'content' END AS by FROM (SELECT p.*, d.telegram_media_kind, d.telegram_media_id FROM peer_downloads p JOIN downloads d ON d.id = p.remote_id) n
 LEFT JOIN i ON i.k = n.telegram_media_kind AND i.m = n.telegram_media_id AND i.s = n.file_size LEFT JOIN h ON h.hs = n.file_hash AND h.s = n.file_size""")
 def ingest_reuse(c: Catalog) -> DataFrame:
-    files = c.downloads.filter("id % 4 <> 1").select("id", F.col("file_path").alias("path"), F.col("telegram_media_kind").alias("kind"), F.col("telegram_media_id").alias("media_id"), F.col("file_size").alias("size"), F.col("file_hash").alias("hash"))
+    files = c.downloads.select("id", F.col("file_path").alias("path"), F.col("telegram_media_kind").alias("kind"), F.col("telegram_media_id").alias("media_id"), F.col("file_size").alias("size"), F.col("file_hash").alias("hash"))
     known = c.downloads.select(F.col("id").alias("item"), F.col("telegram_media_kind").alias("kind"), F.col("telegram_media_id").alias("media_id"))
     return reusable(c.peer_downloads.select(F.col("remote_id").alias("item"), F.col("file_size").alias("size"), F.col("file_hash").alias("hash")).join(known, "item"), files)
 
@@ -211,8 +212,14 @@ FOLD_COLUMNS = ("account_id", "version", "source_pts", "identity", "origin", "tt
 FOLD_SCHEMA = "group_id string, message_id long, account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, generation long, status string"
 
 
+def with_comparable(rows: DataFrame) -> DataFrame:
+    return rows if "comparable" in rows.columns else rows.withColumn("comparable", F.lit(True))
+
+
 def folded(observations: DataFrame) -> DataFrame:
-    """The last state of each message, observations taken in the order of `seq`. Sorted rows pass by: only the state of one message is held."""
+    """The last state of each message, observations taken in the order of `seq`; `comparable` (if there; else true) says of
+
+    an observation whether order numbers of different accounts compare: they do in channels and for stories. Sorted rows pass by: only the state of one message is held."""
     names = [x.split()[0] for x in FOLD_SCHEMA.split(", ")]
 
     def run(batches):
@@ -227,20 +234,20 @@ def folded(observations: DataFrame) -> DataFrame:
                 if state is not None and mine != key:
                     out.append(dict(zip(FOLD_KEYS, key, strict=True)) | state)
                     state = None
-                key, state = mine, fold(state, {k: r[k] for k in FOLD_COLUMNS})
+                key, state = mine, fold(state, {k: r[k] for k in FOLD_COLUMNS}, bool(r["comparable"]))
             if out:
                 yield done(out)
         if state is not None:
             yield done([dict(zip(FOLD_KEYS, key, strict=True)) | state])
 
-    rows = observations.select(*FOLD_KEYS, *FOLD_COLUMNS, "seq").repartition(*FOLD_KEYS)
+    rows = with_comparable(observations).select(*FOLD_KEYS, *FOLD_COLUMNS, "comparable", "seq").repartition(*FOLD_KEYS)
     return rows.sortWithinPartitions(*FOLD_KEYS, "seq").mapInArrow(run, FOLD_SCHEMA)
 
 
 def observations(c: Catalog) -> DataFrame:
     """Updates of messages, as the events at hand give them."""
     i = F.col("event_id")
-    return c.events.select(F.col("user_id").cast("string").alias("group_id"), (i % 4).alias("message_id"), (i % 3).cast("string").alias("account_id"), F.floor(i / 700).alias("version"), ((i * 37) % 1009).alias("source_pts"), F.col("event_type").alias("identity"), F.when(i % 7 == 0, "url").when(i % 5 == 0, "history").otherwise("live").alias("origin"), F.when(i % 11 == 0, 30).otherwise(0).cast("long").alias("ttl_seconds"), i.alias("seq"))
+    return c.events.select(F.col("user_id").cast("string").alias("group_id"), (i % 4).alias("message_id"), (i % 3).cast("string").alias("account_id"), F.floor(i / 700).alias("version"), ((i * 37) % 1009).alias("source_pts"), F.col("event_type").alias("identity"), F.when(i % 7 == 0, "url").when(i % 5 == 0, "history").otherwise("live").alias("origin"), F.when(i % 11 == 0, 30).otherwise(0).cast("long").alias("ttl_seconds"), (F.col("user_id") % 2 == 0).alias("comparable"), i.alias("seq"))
 
 
 @query("x2_guarded_upsert")

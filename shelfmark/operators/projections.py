@@ -92,7 +92,10 @@ def downloads_group(c: Catalog, group: str = "src1", kind: str = "anything", pin
 
 @query("r7_downloads_by_ids", "SELECT id, group_id, file_name, file_size FROM downloads WHERE id IN (1, 5, 7, 150)")
 def downloads_by_ids(c: Catalog, ids: tuple[int, ...] = (5, 1, 5, -3, 0, 7, 150, 99_999_999)) -> DataFrame:
-    wanted = sorted({i for i in ids if i > 0})[:500]
+    """At most 500 ids; more are refused."""
+    if len(ids) > 500:
+        raise ValueError(f"{len(ids)} ids, at most 500 are taken")
+    wanted = sorted({i for i in ids if i > 0})
     return c.downloads.filter(F.col("id").isin(wanted)).select("id", "group_id", "file_name", "file_size").orderBy("id")
 
 
@@ -258,7 +261,8 @@ def ai_candidates(c: Catalog, types: tuple[str, ...] = AI_TYPES, after: int = 0,
 
 @query("r30_ai_pending", "SELECT count(*) AS pending FROM downloads WHERE file_type IN ('photo', 'video') AND ai_indexed_at IS NULL AND file_path IS NOT NULL")
 def ai_pending(c: Catalog, types: tuple[str, ...] = AI_TYPES) -> DataFrame:
-    return c.downloads.filter(F.col("file_type").isin(*types) & F.col("ai_indexed_at").isNull() & F.col("file_path").isNotNull()).agg(F.count("*").alias("pending"))
+    """Of the first 32 types, as in the list of candidates."""
+    return c.downloads.filter(F.col("file_type").isin(*types[:32]) & F.col("ai_indexed_at").isNull() & F.col("file_path").isNotNull()).agg(F.count("*").alias("pending"))
 
 
 @query("r31_quality_candidates", "SELECT d.id, d.file_path, f.n AS n_faces, f.ids AS face_ids FROM downloads d JOIN (SELECT download_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM faces WHERE quality_score IS NULL GROUP BY download_id) f ON f.download_id = d.id WHERE d.id > 10 ORDER BY d.id LIMIT 50")

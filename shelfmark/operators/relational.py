@@ -290,9 +290,10 @@ def blocklisted(c: Catalog) -> DataFrame:
     return c.downloads.select("id", F.lower("file_hash").alias("h")).join(c.hash_blocklist.select(F.lower("file_hash").alias("h")), "h", "left_semi").select("id")
 
 
-@query("j17_full_key_merge", "SELECT coalesce(d.id, p.remote_id) AS id, coalesce(p.file_size + 1, d.file_size) AS file_size, CASE WHEN p.remote_id IS NULL THEN 'kept' WHEN d.id IS NULL THEN 'added' ELSE 'merged' END AS what FROM (SELECT * FROM downloads WHERE id % 3 <> 1) d FULL OUTER JOIN peer_downloads p ON p.remote_id = d.id")
+@query("j17_full_key_merge", "SELECT coalesce(d.id, p.remote_id) AS id, coalesce(p.file_size + 1, d.file_size) AS file_size, CASE WHEN p.remote_id IS NULL THEN 'kept' WHEN d.id IS NULL THEN 'added' ELSE 'merged' END AS what FROM downloads d FULL OUTER JOIN (SELECT remote_id, file_size FROM peer_downloads UNION ALL SELECT message_id, 0 FROM tombstones) p ON p.remote_id = d.id")
 def full_merge(c: Catalog) -> DataFrame:
-    old, new = c.downloads.filter("id % 3 <> 1").select("id", "file_size"), c.peer_downloads.select(F.col("remote_id").alias("id"), (F.col("file_size") + 1).alias("new_size"))
+    new = c.peer_downloads.select(F.col("remote_id").alias("id"), "file_size").union(c.tombstones.select("message_id", F.lit(0)))
+    old, new = c.downloads.select("id", "file_size"), new.select("id", (F.col("file_size") + 1).alias("new_size"))
     return old.withColumn("old", F.lit(1)).join(new.withColumn("new", F.lit(1)), "id", "full").select("id", F.coalesce("new_size", "file_size").alias("file_size"), F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "added").otherwise("merged").alias("what"))
 
 

@@ -137,9 +137,12 @@ def cron_due(c: Catalog, expression: str = "*/15 2-20 1,3 * 2") -> DataFrame:
     return c.events.select("event_id", S.cron_matches(expression, F.col("ts").cast("timestamp")).alias("due"))
 
 
-@query("m1_hamming", "SELECT a.id, bit_count(xor(CAST('0x' || substring(a.file_hash, 1, 8) AS BIGINT), CAST('0x' || substring(b.file_hash, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substring(a.file_hash, 9, 8) AS BIGINT), CAST('0x' || substring(b.file_hash, 9, 8) AS BIGINT))) AS distance FROM downloads a JOIN downloads b ON b.id = a.id + 1 WHERE a.file_hash IS NOT NULL AND b.file_hash IS NOT NULL")
+_WORD_SQL = "CAST(bit_count(xor(CAST('0x' || substring(a.file_hash, {0}, 8) AS BIGINT), CAST('0x' || substring(b.file_hash, {0}, 8) AS BIGINT))) AS BIGINT)"
+
+
+@query("m1_hamming", f"SELECT a.id, {' + '.join(_WORD_SQL.format(k) for k in range(1, 64, 8))} AS distance FROM downloads a JOIN downloads b ON b.id = a.id + 1 WHERE a.file_hash IS NOT NULL AND b.file_hash IS NOT NULL")
 def hamming_neighbours(c: Catalog) -> DataFrame:
-    d = c.downloads.filter("file_hash IS NOT NULL").select("id", F.substring("file_hash", 1, 16).alias("h"))
+    d = c.downloads.filter("file_hash IS NOT NULL").select("id", F.col("file_hash").alias("h"))
     return d.join(d.select((F.col("id") - 1).alias("id"), F.col("h").alias("g")), "id").select("id", S.hamming_hex(F.col("h"), F.col("g")).cast("long").alias("distance"))
 
 

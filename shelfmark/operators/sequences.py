@@ -276,17 +276,19 @@ def ranged(c: Catalog) -> DataFrame:
     return clip_parent_pairs(demo_videos(c)[0], _CFG).select("a_id", "b_id")
 
 
-@query("q4_keep_remove", f"WITH v AS ({_V}) SELECT a.id AS a_id, CASE WHEN 1000 + b.id % 7 * 10 + b.id % 4 > 1000 + a.id % 7 * 10 + a.id % 4 OR (1000 + b.id % 7 * 10 + b.id % 4 = 1000 + a.id % 7 * 10 + a.id % 4 AND b.id < a.id) THEN b.id ELSE a.id END AS keep FROM v a JOIN v b ON b.id = a.id - 1 AND a.id % 4 = 1 WHERE a.frames > 0")
+_SIZE = "1000 + {0}.id % 7 * 10 + {0}.id % 4"
+
+
+@query("q4_keep_remove", f"WITH v AS ({_V}) SELECT a.id AS a_id, b.id AS b_id, CASE WHEN {_SIZE.format('b')} > {_SIZE.format('a')} OR ({_SIZE.format('b')} = {_SIZE.format('a')} AND b.id < a.id) THEN b.id ELSE a.id END AS keep FROM v a JOIN v b ON b.id < a.id AND abs(floor(a.d / 120) - floor(b.d / 120)) <= 1 AND abs(a.d - b.d) / greatest(a.d, b.d) <= 0.1 WHERE a.frames > 0 AND b.frames > 0")
 def keep_remove(c: Catalog) -> DataFrame:
-    pairs = near_duration_pairs(demo_videos(c)[0], SimilarConfig(tolerance=1.0)).filter("b_id = a_id - 1 AND a_id % 4 = 1")
     better = (F.col("b_file_size") > F.col("a_file_size")) | ((F.col("b_file_size") == F.col("a_file_size")) & (F.col("b_id") < F.col("a_id")))
-    return pairs.select("a_id", F.when(better, F.col("b_id")).otherwise(F.col("a_id")).alias("keep"))
+    return near_duration_pairs(demo_videos(c)[0], _CFG).select("a_id", "b_id", F.when(better, F.col("b_id")).otherwise(F.col("a_id")).alias("keep"))
 
 
 @query("q5_pending_analysis", "SELECT download_id AS id FROM fingerprints WHERE NOT (algo = 'pdq1' AND download_id % 2 = 0)")
 def pending(c: Catalog) -> DataFrame:
     videos = c.fingerprints.select(F.col("download_id").alias("id"), "file_hash", "algo")
-    return pending_analysis(videos, videos.filter("id % 2 = 0 AND algo = 'pdq1'").withColumn("config_key", F.lit("k1")), "k1").select("id")
+    return pending_analysis(videos, videos.withColumn("config_key", F.when((F.col("id") % 2 == 0) & (F.col("algo") == "pdq1"), "k1").otherwise("k0")), "k1").select("id")
 
 
 @query("q6_ignored_pairs", "SELECT least(download_id, group_id) AS a_id, greatest(download_id, group_id) AS b_id FROM similar_members WHERE download_id <> group_id AND NOT EXISTS (SELECT 1 FROM share_links s WHERE s.id = greatest(similar_members.download_id, similar_members.group_id) AND s.revoked_at IS NOT NULL)")

@@ -64,18 +64,19 @@ def within(left: DataFrame, right: DataFrame, eps: float, same: bool = False) ->
         side = np.array(table["side"].to_pylist())
         idx = np.asarray(table["idx"], dtype=np.int64)
         own = same and table["own"][0].as_py()
-        emb = np.array(table["emb"].to_pylist(), dtype=np.float32).astype(np.float64)
+        emb = np.concatenate([np.asarray(chunk.flatten(), dtype=np.float64) for chunk in table["emb"].chunks]).reshape(len(idx), -1)
+        norms = np.einsum("ij,ij->i", emb, emb)
         x, y = np.flatnonzero(side == "a"), np.flatnonzero(side == "b")
         out: list[list[np.ndarray]] = [[], [], []]
         for i in range(0, len(x), 256):
             part = x[i : i + 256]
-            sums = np.zeros((len(part), len(y)))
-            for d in range(emb.shape[1]):
-                diff = emb[part, d][:, None] - emb[y, d][None, :]
-                sums += diff * diff
-            far = np.sqrt(sums)
-            p, q = np.nonzero((far <= eps) & (idx[part][:, None] < idx[y][None, :] if own else True))
-            m, n, f = idx[part][p], idx[y][q], far[p, q]
+            # one matrix product finds what may be near; that is measured in the order of dimensions
+            size = norms[part][:, None] + norms[y][None, :]
+            p, q = np.nonzero((size - 2 * (emb[part] @ emb[y].T) <= eps * eps + 1e-9 * (1 + size)) & (idx[part][:, None] < idx[y][None, :] if own else True))
+            far = [np.sqrt(np.add.accumulate((emb[part[p[k : k + 16384]]] - emb[y[q[k : k + 16384]]]) ** 2, axis=1)[:, -1]) for k in range(0, len(p), 16384)]
+            f = np.concatenate(far) if far else np.zeros(0)
+            fine = f <= eps
+            m, n, f = idx[part][p[fine]], idx[y][q[fine]], f[fine]
             out[0].append(np.minimum(m, n) if same else m)
             out[1].append(np.maximum(m, n) if same else n)
             out[2].append(f)
@@ -273,16 +274,18 @@ def label_centroids(c: Catalog) -> DataFrame:
     return centroids(rows).select("label", *[(F.round(F.col("centroid")[k].cast("double"), 4) + 0.0).alias(f"c{k}") for k in range(4)])
 
 
-@query("v5_label_carry_over", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS known_idx FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id % 2 = 0 AND y.vec_id % 5 < 2) WHERE d <= 0.6 GROUP BY idx")
+@query("v5_label_carry_over", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS known_idx FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, (SELECT vec_id, [CAST(CAST(e AS DOUBLE) * 0.75e0 AS FLOAT) FOR e IN embedding] AS embedding FROM embeddings) y) WHERE d <= 0.6 GROUP BY idx")
 def carry_over(c: Catalog) -> DataFrame:
+    """All vectors against an older generation, which is made up of changed copies of all."""
     rows = _vectors(c)
-    return carried_labels(rows.filter("idx % 2 = 0"), rows.filter("idx % 5 < 2"))
+    return carried_labels(rows, rows.withColumn("emb", F.transform("emb", lambda x: (x.cast("double") * 0.75).cast("float"))))
 
 
-@query("j12_nearest_under_threshold", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS nearest FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id % 2 = 0 AND y.vec_id % 2 = 1) WHERE d <= 1.2 GROUP BY idx")
+@query("j12_nearest_under_threshold", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS nearest FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id) WHERE d <= 1.2 GROUP BY idx")
 def nearest(c: Catalog, eps: float = 1.2) -> DataFrame:
     rows = _vectors(c)
-    near = within(rows.filter("idx % 2 = 0"), rows.filter("idx % 2 = 1"), eps)
+    pairs = within(rows, rows, eps, same=True)
+    near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     return near.groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("nearest"))
 
 

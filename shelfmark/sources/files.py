@@ -120,10 +120,10 @@ def history_page(c: Catalog) -> DataFrame:
     return history(messages, before=800, after=100, since=1_704_070_000).select("id")
 
 
-@query("s5_reindex", "SELECT group_id, message_id FROM (SELECT source AS group_id, doc_id AS message_id FROM documents WHERE doc_id % 2 = 0 AND n_chars > 0) WHERE message_id % 3 <> 0")
+@query("s5_reindex", "SELECT source AS group_id, doc_id AS message_id FROM documents d WHERE n_chars > 0 AND NOT EXISTS (SELECT 1 FROM peer_downloads p WHERE p.group_id = d.source AND p.message_id = d.doc_id)")
 def reindex(c: Catalog) -> DataFrame:
-    listing = c.documents.filter("doc_id % 2 = 0").select(F.concat(F.lit("/media/"), "source", F.lit("/videos/"), F.col("doc_id").cast("string"), F.lit("_x.mp4")).alias("path"), F.col("n_chars").alias("size"))
-    known = c.documents.filter("doc_id % 3 = 0").select(F.col("source").alias("group_id"), F.col("doc_id").alias("message_id"))
+    listing = c.documents.select(F.concat(F.lit("/media/"), "source", F.lit("/videos/"), F.col("doc_id").cast("string"), F.lit("_x.mp4")).alias("path"), F.col("n_chars").alias("size"))
+    known = c.peer_downloads.select("group_id", "message_id")
     return reindexed(listing, "/media", known).select("group_id", "message_id")
 
 

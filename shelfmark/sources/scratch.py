@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's part of the folder in spark.checkpoint.dir, or of one of our own where that is unset (tests)."""
+    """This application's part of the folder in spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) has a folder of its own; a cluster must name a shared one.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = context._shelfmark_dir = getattr(context, "_shelfmark_dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfmark-")
     return f"{root.rstrip('/')}/shelfmark/{context.applicationId}"

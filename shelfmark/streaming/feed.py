@@ -90,9 +90,9 @@ def gaps(updates: DataFrame, channel: str = "channel_id", number: str = "pts") -
     return updates.select(channel, F.col(number).alias("to_pts"), before.alias("from_pts")).filter("to_pts > from_pts + 1")
 
 
-@query("z3_gaps", "SELECT channel_id, from_pts, to_pts FROM (SELECT event_type AS channel_id, event_id AS to_pts, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS from_pts FROM events) WHERE to_pts > from_pts + 5")
+@query("z3_gaps", "SELECT channel_id, from_pts, to_pts FROM (SELECT event_type AS channel_id, event_id AS to_pts, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS from_pts FROM events) WHERE to_pts > from_pts + 1")
 def gap_list(c: Catalog) -> DataFrame:
-    return gaps(c.events.select(F.col("event_type").alias("channel_id"), F.col("event_id").alias("pts"))).filter("to_pts > from_pts + 5")
+    return gaps(c.events.select(F.col("event_type").alias("channel_id"), F.col("event_id").alias("pts")))
 
 
 def claimed(work: DataFrame, accounts: list[str], now: int, most: int = 1, manual_only: bool = False) -> DataFrame:

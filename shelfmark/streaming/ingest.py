@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations
+from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations, with_comparable
 from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import new_path
@@ -28,14 +28,16 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     root = new_path(spark, name)
+    written = []
 
     def put(batch: DataFrame, number: int) -> None:
+        written.append(number)
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     schema = StructType([*stream.schema.fields]).add("batch", "long")
-    return spark.read.schema(schema).parquet(f"{root}/out")
+    return spark.read.schema(schema).parquet(f"{root}/out") if written else spark.createDataFrame([], schema)  # no files, no micro-batch
 
 
 _STATE = "account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, generation long, status string"
@@ -48,12 +50,12 @@ def folded_stream(rows: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(_STATE_NAMES, state.get, strict=True)) if state.exists else None
         for r in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
-            held = fold(held, {k: r[k] for k in FOLD_COLUMNS})
+            held = fold(held, {k: r[k] for k in FOLD_COLUMNS}, bool(r["comparable"]))
         values = tuple(held[k] if isinstance(held[k], str) else int(held[k]) for k in _STATE_NAMES)
         state.update(values)
         yield pd.DataFrame([dict(zip(FOLD_KEYS, key, strict=True)) | dict(zip(_STATE_NAMES, values, strict=True))])[[x.split()[0] for x in FOLD_SCHEMA.split(", ")]]
 
-    return rows.select(*FOLD_KEYS, *FOLD_COLUMNS, "seq").groupBy(*FOLD_KEYS).applyInPandasWithState(run, FOLD_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return with_comparable(rows).select(*FOLD_KEYS, *FOLD_COLUMNS, "comparable", "seq").groupBy(*FOLD_KEYS).applyInPandasWithState(run, FOLD_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def admitted(held: list | None, now: int, limit: int, window: int) -> tuple[list, bool]:

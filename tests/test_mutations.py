@@ -88,3 +88,12 @@ def test_disagreeing_hashes_are_no_evidence(spark):
     items = spark.createDataFrame([(1, "photo", "9", 5, "aa"), (2, "photo", "7", 5, "x"), (3, "photo", "0", 5, "CC")], "item long, kind string, media_id string, size long, hash string")
     got = {r["item"]: (r["path"], r["by"]) for r in X.reusable(items, files).collect()}
     assert got == {1: (None, None), 2: ("q", "identity"), 3: ("q", "content")}
+
+
+def test_fold_by_account(spark):
+    """An edit of the same version from another account wins where order numbers compare (channels), else not; in batch and as a stream's state."""
+    row = lambda group, account, pts, identity, seq, comparable: (group, 1, account, 5, pts, identity, "live", 0, seq, comparable)
+    rows = [row("c", "a", 1, "x", 1, True), row("c", "b", 2, "y", 2, True), row("u", "a", 1, "x", 3, False), row("u", "b", 2, "y", 4, False), row("n", "a", 1, "x", 5, None), row("n", "a", 2, "y", 6, None)]
+    df = spark.createDataFrame(rows, "group_id string, message_id long, account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, seq long, comparable boolean")
+    got = {r["group_id"]: r["identity"] for r in X.folded(df).collect()}
+    assert got == {"c": "y", "u": "x", "n": "y"}

@@ -75,3 +75,15 @@ def test_claims_go_by_lane(spark):
     work = spark.createDataFrame(rows, "id long, status string, paused int, account_id string, retry_at long, ttl_seconds int, origin string")
     assert [r["id"] for r in feed.claimed(work, ["a"], 50, 10).collect()] == [3, 2, 1]
     assert [r["id"] for r in feed.claimed(work, ["a"], 50, 10, manual_only=True).collect()] == [3, 1]
+
+
+def test_account_order_in_streams_and_folders_without_files(spark, tmp_path):
+    spec = "group_id string, message_id long, account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, comparable boolean, seq long"
+    (tmp_path / "none").mkdir()
+    empty = ingest.source(spark, str(tmp_path / "none"), spark.createDataFrame([], spec).schema)
+    assert ingest.drained(ingest.folded_stream(empty), "nothing", "update").count() == 0
+    for k, (account, pts, identity) in enumerate([("a", 1, "x"), ("b", 2, "y")]):
+        spark.createDataFrame([(g, 1, account, 5, pts, identity, "live", 0, g == "c", k) for g in "cu"], spec).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.source(spark, str(tmp_path / "in"), spark.createDataFrame([], spec).schema, files_per_trigger=9)
+    got = ingest.latest(ingest.drained(ingest.folded_stream(stream), "accounts", "update"), ["group_id", "message_id"], ["batch"])
+    assert {r["group_id"]: r["identity"] for r in got.collect()} == {"c": "y", "u": "x"}
