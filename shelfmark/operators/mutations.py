@@ -247,12 +247,17 @@ def folded(observations: DataFrame) -> DataFrame:
 def observations(c: Catalog) -> DataFrame:
     """Updates of messages, as the events at hand give them."""
     i = F.col("event_id")
-    return c.events.select(F.col("user_id").cast("string").alias("group_id"), (i % 4).alias("message_id"), (i % 3).cast("string").alias("account_id"), F.floor(i / 700).alias("version"), ((i * 37) % 1009).alias("source_pts"), F.col("event_type").alias("identity"), F.when(i % 7 == 0, "url").when(i % 5 == 0, "history").otherwise("live").alias("origin"), F.when(i % 11 == 0, 30).otherwise(0).cast("long").alias("ttl_seconds"), (F.col("user_id") % 2 == 0).alias("comparable"), i.alias("seq"))
+    return c.events.select(F.col("user_id").cast("string").alias("group_id"), (i % 4).alias("message_id"), (i % 3).cast("string").alias("account_id"), F.floor(i / 700).alias("version"), ((i * 37) % 1009).alias("source_pts"), F.col("event_type").alias("identity"), F.when(i % 7 == 0, "url").when(i % 5 == 0, "history").otherwise("live").alias("origin"), F.when(i % 11 == 0, 30).otherwise(0).cast("long").alias("ttl_seconds"), i.alias("seq"))
+
+
+def of_channels(rows: DataFrame) -> DataFrame:
+    """Observations with `comparable`: groups with an even id are channels, so that their order numbers compare across accounts."""
+    return rows.withColumn("comparable", F.col("group_id").cast("long") % 2 == 0)
 
 
 @query("x2_guarded_upsert")
 def guarded(c: Catalog) -> DataFrame:
-    return folded(observations(c))
+    return folded(of_channels(observations(c)))
 
 
 @query("x3_watermarks", "SELECT group_id, message_id, max(source_pts) AS source_pts FROM (SELECT CAST(user_id AS VARCHAR) AS group_id, event_id % 4 AS message_id, event_id // 700 AS version, (event_id * 37) % 1009 AS source_pts FROM events) o WHERE version = (SELECT max(event_id // 700) FROM events e WHERE CAST(e.user_id AS VARCHAR) = o.group_id AND e.event_id % 4 = o.message_id) GROUP BY group_id, message_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations, with_comparable
+from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations, of_channels, with_comparable
 from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import new_path
@@ -107,7 +107,7 @@ def channel_watermarks(c: Catalog) -> DataFrame:
 
 @query("z2_ordered_ingest")
 def ordered_ingest(c: Catalog) -> DataFrame:
-    states = drained(folded_stream(observations(_Streamed(_events(c)))), "ingest", "update")
+    states = drained(folded_stream(of_channels(observations(_Streamed(_events(c))))), "ingest", "update")
     return latest(states, list(FOLD_KEYS), ["batch"]).drop("batch")
 
 
