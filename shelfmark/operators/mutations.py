@@ -255,7 +255,26 @@ def of_channels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("comparable", F.col("group_id").cast("long") % 2 == 0)
 
 
-@query("x2_guarded_upsert")
+#: The fold in SQL, an observation a step; the messages at hand are always pending.
+FOLD_SQL = """
+WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS group_id, event_id % 4 AS message_id, CAST(event_id % 3 AS VARCHAR) AS account_id, event_id // 700 AS version, (event_id * 37) % 1009 AS source_pts, event_type AS identity,
+  CASE WHEN event_id % 7 = 0 THEN 'url' WHEN event_id % 5 = 0 THEN 'history' ELSE 'live' END AS origin, CAST(CASE WHEN event_id % 11 = 0 THEN 30 ELSE 0 END AS BIGINT) AS ttl_seconds, user_id % 2 = 0 AS comparable,
+  row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS n FROM events),
+s AS (
+  SELECT group_id, message_id, account_id, version, source_pts, identity, origin, ttl_seconds, CAST(0 AS BIGINT) AS generation, 'pending' AS status, n FROM o WHERE n = 1
+  UNION ALL
+  SELECT group_id, message_id, CASE WHEN wins THEN new.account_id ELSE old.account_id END, CASE WHEN wins THEN new.version ELSE old.version END,
+    CASE WHEN wins AND NOT (level AND same_identity AND same_order) THEN new.source_pts WHEN wins OR (level AND same_identity AND same_order) THEN greatest(old.source_pts, new.source_pts) ELSE old.source_pts END,
+    CASE WHEN wins THEN new.identity ELSE old.identity END, CASE WHEN wins AND (new.origin = 'url' OR old.origin = 'live') THEN new.origin ELSE old.origin END,
+    CASE WHEN wins THEN greatest(old.ttl_seconds, new.ttl_seconds) ELSE old.ttl_seconds END, old.generation + CASE WHEN wins THEN 1 ELSE 0 END, 'pending', n
+  FROM (SELECT *, new.version > old.version OR (level AND NOT same_identity AND same_order AND new.source_pts > old.source_pts)
+      OR (level AND same_identity AND new.origin <> 'live' AND (old.origin = 'live' OR (new.origin = 'url' AND old.origin <> 'url'))) AS wins
+    FROM (SELECT o.group_id, o.message_id, o.n, s AS old, o AS new, o.version = s.version AS level, o.identity IS NOT DISTINCT FROM s.identity AS same_identity, o.comparable OR o.account_id = s.account_id AS same_order
+      FROM s JOIN o ON o.group_id = s.group_id AND o.message_id = s.message_id AND o.n = s.n + 1)))
+SELECT group_id, message_id, account_id, version, source_pts, identity, origin, ttl_seconds, generation, status FROM (SELECT *, max(n) OVER (PARTITION BY group_id, message_id) AS last FROM s) WHERE n = last"""
+
+
+@query("x2_guarded_upsert", FOLD_SQL)
 def guarded(c: Catalog) -> DataFrame:
     return folded(of_channels(observations(c)))
 

@@ -258,7 +258,16 @@ def dbscan_labels(c: Catalog) -> DataFrame:
     return dbscan(_vectors(c), 1.15, 2)
 
 
-@query("v2_dbscan_border_points")
+@query("v2_dbscan_border_points", f"""
+WITH RECURSIVE e AS ({_EDGE_SQL}), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+core AS (SELECT a AS idx FROM both_ways GROUP BY a HAVING count(*) + 1 >= 4),
+inner_ways AS (SELECT a, b FROM both_ways WHERE a IN (SELECT idx FROM core) AND b IN (SELECT idx FROM core)),
+reach AS (SELECT idx, idx AS seed FROM core UNION SELECT w.b, r.seed FROM reach r JOIN inner_ways w ON w.a = r.idx WHERE r.seed < w.b),
+cores AS (SELECT idx, min(seed) AS seed FROM reach GROUP BY idx),
+border AS (SELECT w.a AS idx, min(c.seed) AS seed FROM both_ways w JOIN cores c ON c.idx = w.b WHERE w.a NOT IN (SELECT idx FROM core) AND (w.a > c.seed OR c.idx = c.seed) GROUP BY w.a),
+seeded AS (SELECT * FROM cores UNION ALL SELECT * FROM border),
+named AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS label FROM (SELECT DISTINCT seed FROM seeded))
+SELECT v.vec_id AS idx, coalesce(n.label, -1) AS label FROM embeddings v LEFT JOIN seeded s ON s.idx = v.vec_id LEFT JOIN named n ON n.seed = s.seed""")
 def dbscan_border(c: Catalog) -> DataFrame:
     return dbscan(_vectors(c), 1.15, 4)
 
@@ -305,7 +314,15 @@ def merged_people(c: Catalog) -> DataFrame:
     return merge_people(c.faces, 4, 2).filter("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("faces"))
 
 
-@query("j14_greedy_faces")
+@query("j14_greedy_faces", """
+WITH RECURSIVE f AS (SELECT vec_id % 20 AS video, vec_id AS idx, CAST(vec_id % 11 AS DOUBLE) AS score, embedding, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id % 7, vec_id) AS n FROM embeddings),
+s AS (
+  SELECT video, n, [{'idx': idx, 'score': score, 'embedding': embedding}] AS kept FROM f WHERE n = 1
+  UNION ALL
+  SELECT video, n, CASE WHEN place IS NULL THEN list_append(kept, mine) WHEN mine.score > kept[place].score THEN kept[: place - 1] || [mine] || kept[place + 1 :] ELSE kept END
+  FROM (SELECT f.video, f.n, s.kept, {'idx': f.idx, 'score': f.score, 'embedding': f.embedding} AS mine, list_position([list_dot_product(k.embedding, f.embedding) >= 0.2 FOR k IN s.kept], true) AS place
+    FROM s JOIN f ON f.video = s.video AND f.n = s.n + 1))
+SELECT video, k.idx AS idx, k.score AS score FROM (SELECT video, unnest(kept) AS k FROM (SELECT *, max(n) OVER (PARTITION BY video) AS last FROM s) WHERE n = last)""")
 def greedy(c: Catalog) -> DataFrame:
     return greedy_faces(c.embeddings.select((F.col("vec_id") % 20).alias("video"), (F.col("vec_id") % 7).cast("double").alias("frame_time"), F.col("vec_id").alias("idx"), (F.col("vec_id") % 11).cast("double").alias("score"), F.col("embedding").alias("emb")), 0.2)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, fold, latest, observations, of_channels, with_comparable
+from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, FOLD_SQL, fold, latest, observations, of_channels, with_comparable
 from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import new_path
@@ -105,13 +105,20 @@ def channel_watermarks(c: Catalog) -> DataFrame:
     return latest(drained(stream, "watermarks", "update"), ["channel_id"], ["batch"]).select("channel_id", "pts", "updates")
 
 
-@query("z2_ordered_ingest")
+@query("z2_ordered_ingest", FOLD_SQL)
 def ordered_ingest(c: Catalog) -> DataFrame:
     states = drained(folded_stream(of_channels(observations(_Streamed(_events(c))))), "ingest", "update")
     return latest(states, list(FOLD_KEYS), ["batch"]).drop("batch")
 
 
-@query("z8_rate_windows")
+@query("z8_rate_windows", """
+WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_ms(ts) AS came, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+s AS (
+  SELECT client, n, came + 3600000 AS ends, 1 AS used, true AS allowed FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.client, r.n, CASE WHEN r.came >= s.ends THEN r.came + 3600000 ELSE s.ends END, CASE WHEN r.came >= s.ends THEN 1 ELSE least(s.used + 1, 3) END, r.came >= s.ends OR s.used < 3
+  FROM s JOIN r ON r.client = s.client AND r.n = s.n + 1)
+SELECT client, count(*) AS requests, count(*) FILTER (WHERE allowed) AS allowed FROM s GROUP BY client""")
 def rate_windows(c: Catalog) -> DataFrame:
     requests = _events(c).select(F.col("user_id").cast("string").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
     return drained(rate_limited(requests, 3, 3_600_000), "rates").groupBy("client").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
