@@ -245,7 +245,47 @@ def demo_videos(c: Catalog) -> tuple[DataFrame, DataFrame]:
 _CFG = SimilarConfig(threshold=12.0, frame_threshold=6.0, gate=64.0)
 
 
-@query("q1_alignments")
+_FRAMES_SQL = """f AS (SELECT vec_id // 8 * 4 + k AS id, CAST((vec_id % 8 - CASE WHEN k = 2 THEN 2 ELSE 0 END) * 10 AS DOUBLE) AS t,
+  list_sum([CASE WHEN (embedding[i + 1] > 0) <> (k = 1 AND (i % 32 * 7 + vec_id) % 13 = 0) THEN CAST(1 AS HUGEINT) << (63 - i) ELSE 0 END FOR i IN range(64)]) AS w
+  FROM embeddings, (SELECT unnest([0, 1, 2]) AS k) WHERE k <> 2 OR vec_id % 8 BETWEEN 2 AND 5),
+videos AS (SELECT id, (CASE WHEN id % 4 = 2 THEN 40 ELSE 80 END) + id // 4 * 13 + (CASE WHEN id % 4 = 1 THEN 1 ELSE 0 END) AS d, 1000 + id % 7 * 10 + id % 4 AS file_size, count(*) AS n, list({'t': t, 'w': CAST(w AS HUGEINT)} ORDER BY t) AS frames FROM f GROUP BY id)"""
+
+
+def _aligned_sql(pairs: str, threshold: float) -> str:
+    """Alignments of pairs (a, b) in SQL: a cell is 4 * score + step, row by row in one list, then the way back from the best."""
+    near = lambda up, back: f"CASE WHEN {up} AND {back} THEN {{}} ELSE 0 END"
+    row, col = "x[1] >= m", "x[1] % m > 0"
+    diagonal = "(" + near(row, col).format("acc[x[1] - m] // 4") + " + gains[x[1] + 1])"
+    above, left = "(" + near(row, "true").format("acc[x[1] - m + 1] // 4") + " - 1)", "(" + near("true", col).format("acc[x[1]] // 4") + " - 1)"
+    cell = f"CASE WHEN greatest({diagonal}, {above}, {left}) <= 0 THEN 0 WHEN {diagonal} >= greatest({above}, {left}) THEN {diagonal} * 4 + 1 WHEN {above} >= {left} THEN {above} * 4 + 2 ELSE {left} * 4 + 3 END"
+    step, here = "(CASE WHEN acc[1] > 0 AND acc[2] > 0 THEN cells[(acc[1] - 1) * m + acc[2]] % 4 ELSE 0 END)", "far[(acc[1] - 1) * m + acc[2]]"
+    back = f"CASE {step} WHEN 1 THEN [acc[1] - 1, acc[2] - 1, acc[3] + 1, acc[4] + CASE WHEN {here} <= {threshold} THEN 1 ELSE 0 END, acc[5] + {here}, acc[1] - 1, acc[2] - 1] WHEN 2 THEN list_concat([acc[1] - 1], acc[2:]) WHEN 3 THEN list_concat([acc[1], acc[2] - 1], acc[3:]) ELSE acc END"
+    return f"""{_FRAMES_SQL}, pairs AS ({pairs}),
+met AS (SELECT p.a, p.b, x.n, y.n AS m, x.frames AS fa, y.frames AS fb, [CAST(bit_count(xor(x.frames[k // y.n + 1].w, y.frames[k % y.n + 1].w)) AS BIGINT) FOR k IN range(x.n * y.n)] AS far FROM pairs p JOIN videos x ON x.id = p.a JOIN videos y ON y.id = p.b),
+gained AS (SELECT *, [CAST(CASE WHEN d <= {threshold} THEN 2 ELSE -1 END AS BIGINT) FOR d IN far] AS gains FROM met),
+filled AS (SELECT *, list_reduce([[k] FOR k IN range(n * m)], lambda acc, x: list_append(acc, {cell}), CAST([] AS BIGINT[])) AS cells FROM gained),
+best AS (SELECT *, list_max([c // 4 FOR c IN cells]) AS score FROM filled),
+ends AS (SELECT *, list_max([(k // m + k % m) * 1000 - k // m FOR k IN range(n * m) IF cells[k + 1] // 4 = score]) AS place FROM best),
+ended AS (SELECT *, (-place % 1000 + 1000) % 1000 AS i, (place + (-place % 1000 + 1000) % 1000) // 1000 AS ij FROM ends),
+walked AS (SELECT *, list_reduce([[k] FOR k IN range(n + m)], lambda acc, x: {back}, [i + 1, ij - i + 1, 0, 0, 0, -1, -1]) AS w FROM ended),
+aligned AS (SELECT a, b, CAST(score AS DOUBLE) AS score, CASE WHEN score = 0 THEN 0 ELSE CAST(w[4] AS INTEGER) END AS matched, CASE WHEN score = 0 THEN 0 ELSE CAST(w[3] AS INTEGER) END AS aligned, CASE WHEN score = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(w[5] AS DOUBLE) / w[3] END AS mean_hamming,
+  CASE WHEN score = 0 THEN 0 ELSE CAST(w[4] AS DOUBLE) / n END AS coverage_a, CASE WHEN score = 0 THEN 0 ELSE CAST(w[4] AS DOUBLE) / m END AS coverage_b, CASE WHEN score = 0 THEN 0 ELSE CAST(w[4] AS DOUBLE) / least(n, m) END AS coverage_short,
+  CAST(w[6] AS INTEGER) AS start_a, CAST(w[7] AS INTEGER) AS start_b, fa[w[6] + 1].t AS offset_a, fb[w[7] + 1].t AS offset_b FROM walked)"""
+
+
+_Q1 = f"WITH {_aligned_sql('SELECT x.id AS a, y.id AS b FROM videos x JOIN videos y ON x.id // 4 = y.id // 4 AND x.id < y.id', 12.0)} SELECT * FROM aligned"
+_Q2 = f"""WITH {_aligned_sql('SELECT a.id AS a, b.id AS b FROM videos a JOIN videos b ON b.id < a.id AND abs(floor(a.d / 120) - floor(b.d / 120)) <= 1 AND abs(a.d - b.d) / greatest(a.d, b.d) <= 0.1', 12.0)}
+SELECT CASE WHEN y.file_size >= x.file_size THEN y.id ELSE x.id END AS keep, CASE WHEN y.file_size >= x.file_size THEN x.id ELSE y.id END AS remove, round(greatest(0, 1 - mean_hamming / 64), 6) AS confidence, round(mean_hamming, 6) AS mean_hamming, matched
+FROM aligned JOIN videos x ON x.id = a JOIN videos y ON y.id = b WHERE coverage_a >= 0.7 AND coverage_b >= 0.7 AND mean_hamming <= 12"""
+_Q3 = f"""WITH {_aligned_sql('SELECT a.id AS a, b.id AS b FROM videos a JOIN videos b ON a.id <> b.id AND b.d >= a.d AND a.n >= 4 AND a.n <= b.n AND abs(a.d - b.d) / greatest(a.d, b.d) > 0.1', 6.0)},
+told AS (SELECT g.*, y.d AS b_d, coverage_a >= CASE WHEN x.d <= 60 THEN 0.8 ELSE 0.7 END AS whole FROM aligned g JOIN videos x ON x.id = a JOIN videos y ON y.id = b WHERE matched >= 3),
+ranked AS (SELECT *, round(coverage_a, 6) AS ratio, bool_or(whole) OVER (PARTITION BY a) AS any_whole, row_number() OVER (PARTITION BY a ORDER BY coverage_a DESC, b_d, b) AS place FROM told WHERE whole OR coverage_a >= 0.5)
+SELECT b AS keep, a AS remove, CASE WHEN whole THEN 'remove' ELSE 'review' END AS role, CASE WHEN whole THEN 'partial' ELSE 'partial_review' END AS kind, ratio, coalesce(offset_b, 0) AS offset_sec, matched, round(coverage_a, 9) AS confidence,
+  CASE WHEN whole THEN 'partial' ELSE 'possible' END || ' clip of ' || b || '; match ratio ' || CAST(floor(ratio * 100 + 0.5) AS INTEGER) || '% at offset ' || printf('%.1f', coalesce(offset_b, 0)) || 's' || CASE WHEN whole THEN '' ELSE ' — manual review' END AS reason
+FROM ranked WHERE whole OR (NOT any_whole AND place = 1)"""
+
+
+@query("q1_alignments", _Q1)
 def alignments(c: Catalog) -> DataFrame:
     _, frames = demo_videos(c)
     ids = frames.select("id", F.floor(F.col("id") / 4).alias("v")).distinct()  # at most three videos are of the same frames
@@ -253,12 +293,12 @@ def alignments(c: Catalog) -> DataFrame:
     return aligned(pairs, frames, 12.0)
 
 
-@query("q2_similar_videos")
+@query("q2_similar_videos", _Q2)
 def similar(c: Catalog) -> DataFrame:
     return similar_videos(*demo_videos(c), _CFG)
 
 
-@query("q3_partial_clips")
+@query("q3_partial_clips", _Q3)
 def clips(c: Catalog) -> DataFrame:
     return partial_clips(*demo_videos(c), _CFG)
 
