@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import params
 from ..functions import scalars as S
 from ..functions.media import tiles_hashed
 from ..plans.define import query
@@ -213,3 +214,10 @@ def weighted_means(c: Catalog) -> DataFrame:
 
     rows = c.embeddings.select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("emb"), (F.col("vec_id") % 3).cast("double").alias("w"))
     return centroids(rows).select("label", (F.round(F.col("centroid")[0].cast("double"), 4) + 0.0).alias("c0"))
+
+
+@query("m11_page_limits", "SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 OR event_id % 700 = 50 THEN 50 ELSE greatest(1, least(event_id % 700 - 50, 500)) END AS BIGINT) AS page_limit FROM events")
+def page_limits(c: Catalog) -> DataFrame:
+    """Limits that requests ask for (some ask for none), clamped."""
+    i = F.col("event_id")
+    return c.events.select("event_id", params.page_limits(F.when(i % 7 != 0, i % 700 - 50), 50, 500).cast("long").alias("page_limit"))

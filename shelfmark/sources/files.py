@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..plans.define import query
 from .catalog import Catalog
+from .scratch import new_path, written
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -76,8 +78,50 @@ def tar_bytes(rows: Iterator[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def archive_parts(files: DataFrame, kind: str = "zip", most: int = 32 << 20) -> DataFrame:
+    """Archives (content, kind, files) of files (path, content), built where the rows are: each holds `most` bytes of content, or one file of more.
+
+    A file without content is empty; equal paths stay as entries of their own. No rows give no archive.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zip_bytes if kind == "zip" else tar_bytes
+        done = lambda rows: pa.RecordBatch.from_arrays([pa.array([pack(iter(rows))], pa.binary()), pa.array([kind]), pa.array([len(rows)], pa.int64())], names=["content", "kind", "files"])
+        held, size = [], 0
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_py() or b""
+                if held and size + len(data) > most:
+                    yield done(held)
+                    held, size = [], 0
+                held.append((path.as_py(), data))
+                size += len(data)
+        if held:
+            yield done(held)
+
+    return files.filter("path IS NOT NULL").select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "content binary, kind string, files long")
+
+
+def archived_files(parts: DataFrame) -> DataFrame:
+    """(path, content) of each file in archives (content, kind)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda path, data: pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
+        for batch in batches:
+            for content, kind in zip(batch.column(0), batch.column(1), strict=True):
+                data = io.BytesIO(content.as_py())
+                if kind.as_py() == "zip":
+                    with zipfile.ZipFile(data) as z:
+                        yield from (row(info.filename, z.read(info)) for info in z.infolist())
+                else:
+                    with tarfile.open(fileobj=data) as t:
+                        yield from (row(m.name, t.extractfile(m).read()) for m in t)
+
+    return parts.select("content", "kind").mapInArrow(run, "path string, content binary")
+
+
 def archive(files: DataFrame, kind: str = "zip") -> bytes:
-    """One archive of files (path, content), streamed to the caller a partition at a time."""
+    """One archive of a few files (path, content) as a download: it is built in the caller's memory. For more see archive_parts()."""
     rows = ((r["path"], bytes(r["content"])) for r in files.select("path", "content").toLocalIterator())
     return (zip_bytes if kind == "zip" else tar_bytes)(rows)
 
@@ -154,3 +198,37 @@ def batch_stat(c: Catalog) -> DataFrame:
 def metrics(c: Catalog) -> DataFrame:
     """Gauges by kind; the totals are observed while the rows pass (see the session's listeners)."""
     return c.audit.observe("audit", F.count("*").alias("rows"), F.max("ts").alias("last")).groupBy("kind").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+_ARCHIVED = "SELECT 'pages/' || page_id || '.html' AS path, coalesce(octet_length(encode(html)), 0) AS size, sha256(coalesce(html, '')) AS sha256 FROM pages"
+
+
+def _round_trip(c: Catalog, kind: str) -> DataFrame:
+    """All pages put into archives, which are written and read again."""
+    pages = c.pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return archived_files(written(archive_parts(pages, kind), f"{kind}-parts")).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("s11_zip_archives", _ARCHIVED)
+def zip_archives(c: Catalog) -> DataFrame:
+    return _round_trip(c, "zip")
+
+
+@query("s11_tar_archives", _ARCHIVED)
+def tar_archives(c: Catalog) -> DataFrame:
+    return _round_trip(c, "tar")
+
+
+@query("s12_ndjson_results", "SELECT id, kind, ts, props FROM audit")
+def ndjson_results(c: Catalog) -> DataFrame:
+    """The audit log as lines of JSON, read again."""
+    rows, path = c.audit.select("id", "kind", "ts", "props"), new_path(c.spark, "ndjson")
+    write_ndjson(rows, path)
+    return c.spark.read.schema(rows.schema).json(path)
+
+
+@query("s14_snapshot", "SELECT peer_id, remote_id, file_hash, file_size, group_id FROM peer_downloads")
+def snapshot_of_peers(c: Catalog) -> DataFrame:
+    """A snapshot of the peers' files, read again: what is written to the table later doesn't change it."""
+    rows = c.peer_downloads.select("peer_id", "remote_id", "file_hash", "file_size", "group_id")
+    return c.spark.read.schema(rows.schema).parquet(snapshot(rows, new_path(c.spark, "snapshots"), 1))

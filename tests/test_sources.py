@@ -79,3 +79,14 @@ def test_intermediate_tables_can_be_cleared(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_archive_parts_hold_all_files(spark):
+    rows = [("a", b"x" * 70), ("a", b"y"), ("b", None), ("c", b""), (None, b"lost"), ("d", b"z" * 500)]
+    df = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    want = sorted((p, bytes(c or b"")) for p, c in rows if p is not None)
+    for kind in ("zip", "tar"):
+        parts = files.archive_parts(df, kind, most=100)
+        assert parts.count() == 2 and parts.agg(F.sum("files")).first()[0] == 5
+        assert sorted((r["path"], bytes(r["content"])) for r in files.archived_files(parts).collect()) == want
+    assert files.archive_parts(df.limit(0)).count() == 0
