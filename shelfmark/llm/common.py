@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def schema(spec: str) -> T.StructType:
     return T._parse_datatype_string(spec)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about limit bytes of text."""
     for batch in batches:
         if not batch.num_rows:
@@ -69,7 +70,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = end
 
 
-def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 1 << 20) -> DataFrame:
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same step, giving free memory back at the end of its task: workers go on to other stages, and allocators keep what is freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return run
+
+
+def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str, limit: int = 1 << 19) -> DataFrame:
     """docs with each batch (of at most about limit bytes of text) changed, all columns and their order kept."""
     fields = bounded(docs).schema
     names = fields.names
@@ -79,7 +93,7 @@ def rows_like(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch
             out = change(batch)
             yield pa.RecordBatch.from_arrays([out.column(out.schema.get_field_index(n)) for n in names], names=names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidy(run), fields)
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -221,7 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.labels], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.moves.tobytes()], pa.binary())], names=["labels", "weights", "moves"])
 
-    got = chosen.repartition(1).mapInArrow(learn, common.schema("labels array<string>, weights binary, moves binary")).collect()  # a model of TABLE weights for each label
+    got = chosen.repartition(1).mapInArrow(common.tidy(learn), common.schema("labels array<string>, weights binary, moves binary")).collect()  # a model of TABLE weights for each label
     if not got:
         return None
     n = len(got[0]["labels"])
@@ -253,11 +253,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the table and a row for each pair of labels
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.small_batches(batches, limit=1 << 20):
+        for batch in common.small_batches(batches, limit=1 << 19):
             names, scores = label_texts(held.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return common.pair(docs, id_col, text_col).mapInArrow(label, spec)
+    return common.pair(docs, id_col, text_col).mapInArrow(common.tidy(label), spec)
 
 
 #: Score below which a text counts as in none of the learned languages: no language has most of its words' probability.

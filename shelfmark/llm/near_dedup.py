@@ -192,7 +192,7 @@ def _sketch(source: DataFrame, size: int) -> DataFrame:
             sketches = [r.tobytes() if d else None for r, d in zip(regs, digests, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], names=names)
 
-    return source.mapInArrow(make, spec)
+    return source.mapInArrow(common.tidy(make), spec)
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
                 keep = np.concatenate([likelihood(sa[i : i + 512], sb[i : i + 512], na[i : i + 512], nb[i : i + 512], threshold)[1] <= MARGIN for i in range(0, len(sa), 512)])
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(test, common.schema("a long, b long"))
+    return both.mapInArrow(common.tidy(test), common.schema("a long, b long"))
 
 
 def _texts(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _texts(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             where = np.asarray(batch.column("at"), dtype=np.int64)
             batch = batch.filter(pa.array((told.value[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)))
-            for part in common.small_batches(batch_ for batch_ in [batch] if batch.num_rows):
+            for part in common.small_batches([batch], limit=2 << 20):
                 raw, off = common.text_bytes(part)
                 sets = shingles(raw, off, size)
                 lowered = _UPPER[raw].tobytes()
@@ -247,7 +247,7 @@ def _texts(source: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(texts, pa.binary())], names=["doc_id", "digest", "text"])
 
     rows = source.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))
-    found = rows.mapInArrow(make, common.schema("doc_id long, digest binary, text binary"))
+    found = rows.mapInArrow(common.tidy(make), common.schema("doc_id long, digest binary, text binary"))
     once = found.join(needed.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     return once.join(needed, ["doc_id", "digest"]).select("node", "n_shingles", "sketch", "text")
 
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
             keep = pa.array([similar(i, n + i) for i in range(n)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(test, common.schema("a long, b long"))
+    return both.mapInArrow(common.tidy(test), common.schema("a long, b long"))
 
 
 def _shared(s: np.ndarray, t: np.ndarray) -> int:

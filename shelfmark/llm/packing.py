@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=fields)
         encode.forget()
 
-    return common.pair(docs, id_col, text_col).mapInArrow(cut, spec)
+    return common.pair(docs, id_col, text_col).mapInArrow(common.tidy(cut), spec)
 
 
 def fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
@@ -195,7 +195,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ids[mine], offsets[mine] = base[k] + over // n[k], offset[k] + over % n[k] * length
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ids), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(look, common.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"))
+    return ranked.mapInArrow(common.tidy(look), common.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"))
 
 
 def pack(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

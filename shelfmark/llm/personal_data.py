@@ -136,7 +136,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             cols = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=names)
 
-    return common.pair(docs, id_col, text_col).mapInArrow(scan, spec)
+    return common.pair(docs, id_col, text_col).mapInArrow(common.tidy(scan), spec)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -166,7 +166,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             batch = batch.set_column(at, length_col, pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(at).to_pylist(), strict=True)], batch.schema.field(at).type))
         return batch
 
-    return common.rows_like(docs, mask, text_col, common.BATCH_BYTES)
+    return common.rows_like(docs, mask, text_col, 2 << 20)
 
 
 def op9_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
