@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, near_dedup, packing, personal_data, piece_codec, repeated_bytes, repeated_words, resampling, tiff, warc
+from . import decontaminate, exact_dedup, language, near_dedup, packing, personal_data, piece_codec, repair, repeated_bytes, repeated_words, resampling, tiff, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_tiff_pages": tiff.op8_tiff_pages,
         "op9_anchor_expansion": personal_data.op9_anchor_expansion,
         "op10_linear_suffix_groups": repeated_bytes.op10_linear_suffix_groups,
+        "op11_min_plus_repair": repair.op11_min_plus_repair,
         "op12_suffix_decontamination": decontaminate.op12_suffix_decontamination,
         "op13_target_resampling": resampling.op13_target_resampling,
     }
