@@ -1,12 +1,12 @@
 """Vector analytics: neighbourhoods, density clustering, centroids, label carry-over.
 
-Pairs within a distance come from a blocked join that the triangle inequality prunes: each vector lies in a cell of
-rings around two fixed pivots, one ring as wide as the distance, so a neighbour's cell is the same or adjacent. Cells are
-cut into blocks of bounded size; a row is dealt to the block pairs it takes part in, and no row meets another twice.
+Neighbours come from the blocked join in neighbours.py; clustering reduces each pair of blocks where it is measured.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,10 +17,25 @@ from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import written
 from .graph import components
+from .neighbours import BLOCK, Blocks, Side, adjacency, stars, within
 from .relational import numbered
 
-#: Defaults of clustering; rows of a block.
-EPS, MIN_POINTS, BLOCK = 1.05, 2, 2048
+
+@dataclass(frozen=True)
+class ClusterConfig:
+    """Defaults of clustering faces: distance, least points of a cluster (the point itself included), least score and side of a face's box in pixels."""
+
+    eps: float = 1.05
+    min_points: int = 2
+    min_score: float = 0.5
+    min_box: float = 60.0
+
+    def faces(self, faces: DataFrame) -> DataFrame:
+        """The faces that are clustered: score and box are known and large enough, and the box isn't too narrow (F9)."""
+        return faces.filter((F.col("quality_score") >= self.min_score) & (F.least("w", "h") >= self.min_box) & (F.col("w") / F.col("h")).between(0.5, 2))
+
+
+EPS, MIN_POINTS = ClusterConfig.eps, ClusterConfig.min_points
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -30,80 +45,54 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(dim)).filter("size(emb) = dim").drop("dim")  # one row
 
 
-def _cells(rows: DataFrame, eps: float) -> DataFrame:
-    """Ring numbers around two pivots: the origin, and the unit vector of the first dimension. NaN vectors have no neighbours."""
-    norm = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    shifted = F.sqrt(F.greatest(F.lit(0.0), norm * norm - 2 * F.get("emb", F.lit(0)).cast("double") + 1))
-    return rows.filter(~F.exists("emb", lambda x: F.isnan(x))).withColumns({"r0": F.floor(norm / eps), "r1": F.floor(shifted / eps)})
-
-
-def within(left: DataFrame, right: DataFrame, eps: float, same: bool = False) -> DataFrame:
-    """(a, b, distance) of pairs at most eps apart; of one table with itself (same) with a < b.
-
-    Distances add squares in doubles, in the order of dimensions.
-    """
-    def blocked(df: DataFrame) -> DataFrame:
-        cells = _cells(df, eps)
-        sizes = cells.groupBy("r0", "r1").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        return cells.join(sizes, ["r0", "r1"]).withColumn("block", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
-
-    a = written(blocked(left), "cells")
-    b = a if same else written(blocked(right), "cells")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    keys = ["r0", "r1", "block"]
-    ours = a.select(*keys).distinct().select(*keys, near.alias("n")).select(*[F.col(k).alias(f"a_{k}") for k in keys], (F.col("r0") + F.col("n.i")).alias("r0"), (F.col("r1") + F.col("n.j")).alias("r1"))
-    theirs = b.select(*keys).distinct().withColumn("b_block", F.col("block")).drop("block")
-    meets = ours.join(theirs, ["r0", "r1"]).withColumnsRenamed({"r0": "b_r0", "r1": "b_r1"})
-    if same:  # each pair of blocks once
-        meets = meets.filter("struct(a_r0, a_r1, a_block) <= struct(b_r0, b_r1, b_block)")
-    meets = meets.withColumn("pair", F.xxhash64(*meets.columns)).withColumn("own", F.expr("a_r0 = b_r0 AND a_r1 = b_r1 AND a_block = b_block"))
-    deal = lambda df, side: df.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], "idx", "emb").join(meets.select("pair", "own", *[f"{side}_{k}" for k in keys]), [f"{side}_{k}" for k in keys]).select("pair", "own", F.lit(side).alias("side"), "idx", "emb")
-    rows = deal(a, "a").union(deal(b, "b"))
-
-    def measure(table):
-        side = np.array(table["side"].to_pylist())
-        idx = np.asarray(table["idx"], dtype=np.int64)
-        own = same and table["own"][0].as_py()
-        emb = np.concatenate([np.asarray(chunk.flatten(), dtype=np.float64) for chunk in table["emb"].chunks]).reshape(len(idx), -1)
-        norms = np.einsum("ij,ij->i", emb, emb)
-        x, y = np.flatnonzero(side == "a"), np.flatnonzero(side == "b")
-        out: list[list[np.ndarray]] = [[], [], []]
-        for i in range(0, len(x), 256):
-            part = x[i : i + 256]
-            # one matrix product finds what may be near; that is measured in the order of dimensions
-            size = norms[part][:, None] + norms[y][None, :]
-            p, q = np.nonzero((size - 2 * (emb[part] @ emb[y].T) <= eps * eps + 1e-9 * (1 + size)) & (idx[part][:, None] < idx[y][None, :] if own else True))
-            far = [np.sqrt(np.add.accumulate((emb[part[p[k : k + 16384]]] - emb[y[q[k : k + 16384]]]) ** 2, axis=1)[:, -1]) for k in range(0, len(p), 16384)]
-            f = np.concatenate(far) if far else np.zeros(0)
-            fine = f <= eps
-            m, n, f = idx[part][p[fine]], idx[y][q[fine]], f[fine]
-            out[0].append(np.minimum(m, n) if same else m)
-            out[1].append(np.maximum(m, n) if same else n)
-            out[2].append(f)
-        cat = lambda k, t: pa.array(np.concatenate(out[k]) if out[k] else np.zeros(0), t)
-        return pa.table({"a": cat(0, pa.int64()), "b": cat(1, pa.int64()), "distance": cat(2, pa.float64())})
-
-    return rows.groupBy("pair").applyInArrow(measure, "a long, b long, distance double")
-
-
-def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS) -> DataFrame:
+def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS, block: int = BLOCK) -> DataFrame:
     """(idx, label): clusters are numbered in the order of their first core point; noise is -1.
 
     A point with min_points neighbours (itself included; 2 at least) is core. Clusters are components of core points;
     its seed is the first of them. Any other point joins the cluster with the smallest seed s that it has a core
     neighbour c in, if it comes after s or c is s itself; else it is noise.
+
+    The neighbour graph is never written: a pair of blocks gives its components as stars (fewer edges than it has
+    rows), its rows' numbers of neighbours, and the core neighbours of points that aren't core (fewer than min_points
+    each).
     """
     need = max(2.0, min_points) if np.isfinite(min_points) else 2.0
     rows = valid(vectors)
-    edges = written(within(rows, rows, eps, same=True).select("a", "b"), "eps-edges")
+    blocks = Blocks(rows, None, eps, block)
+
+    def linked(a: Side, b: Side, own: bool):
+        yield [pa.array(x) for x in stars(adjacency(a.emb, b.emb, eps) & ~(np.eye(len(a.ids), dtype=bool) if own else False), a.ids, b.ids, own)]
+
+    def counted(a: Side, b: Side, own: bool):
+        met = adjacency(a.emb, b.emb, eps)
+        if own:
+            np.fill_diagonal(met, False)
+            yield [pa.array(a.ids), pa.array(met.sum(axis=1, dtype=np.int64))]
+        else:
+            yield [pa.array(np.concatenate((a.ids, b.ids))), pa.array(np.concatenate((met.sum(axis=1, dtype=np.int64), met.sum(axis=0, dtype=np.int64))))]
+
+    def cores_and_borders(a: Side, b: Side, own: bool):
+        """kind 0: stars of core points; kind 1: (point that isn't core, core neighbour)."""
+        core_a, core_b = a.only(a.marks), b.only(b.marks)
+        met = adjacency(core_a.emb, core_b.emb, eps)
+        if own:
+            np.fill_diagonal(met, False)
+        u, v = stars(met, core_a.ids, core_b.ids, own)
+        yield [pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v)]
+        for outer, inner in ((a.only(~a.marks), core_b), *([] if own else [(b.only(~b.marks), core_a)])):
+            p, q = np.nonzero(adjacency(outer.emb, inner.emb, eps))
+            yield [pa.array(np.ones(len(p), np.int32)), pa.array(outer.ids[p]), pa.array(inner.ids[q])]
+
     if need <= 2:  # whoever has a neighbour is core
+        edges = blocks.measured(linked, "a long, b long")
         named = written(components(edges, "a", "b").select(F.col("node").alias("idx"), F.col("component").alias("seed")), "seeds")
     else:
-        both = edges.union(edges.select("b", "a"))
-        core = written(both.groupBy(F.col("a").alias("idx")).count().filter(F.col("count") + 1 >= need).select("idx"), "core")
-        inner = edges.join(core.select(F.col("idx").alias("a")), "a", "left_semi").join(core.select(F.col("idx").alias("b")), "b", "left_semi")
-        cores = written(core.join(components(inner, "a", "b").withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
-        border = both.select(F.col("a").alias("idx"), F.col("b").alias("c")).join(core, "idx", "left_anti").join(cores.select(F.col("idx").alias("c"), "seed"), "c")
+        counts = blocks.measured(counted, "idx long, n long").groupBy("idx").agg(F.sum("n").alias("n"))
+        core = written(counts.filter(F.col("n") + 1 >= need).select("idx"), "core")
+        edges = written(blocks.measured(cores_and_borders, "kind int, a long, b long", core), "core-edges")
+        found = components(edges.filter("kind = 0"), "a", "b").withColumnRenamed("node", "idx")
+        cores = written(core.join(found, "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
+        border = edges.filter("kind = 1").select(F.col("a").alias("idx"), F.col("b").alias("c")).join(cores.select(F.col("idx").alias("c"), "seed"), "c")
         named = cores.unionByName(border.filter("idx > seed OR c = seed").groupBy("idx").agg(F.min("seed").alias("seed")))
     seeds = numbered(named.select("seed").distinct(), "seed", "label").withColumn("label", F.col("label") - 1)  # a row for each cluster
     return rows.select("idx").join(named, "idx", "left").join(seeds, "seed", "left").select("idx", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
@@ -157,10 +146,13 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return rows.repartition("label").sortWithinPartitions("label", "idx", "emb", "w").mapInArrow(run, spec)
 
 
+def _carry_candidates(found: DataFrame, known: DataFrame, eps: float) -> DataFrame:
+    return within(valid(found), valid(known), min(0.6, max(0.2, 0.9 * eps)))
+
+
 def carried_labels(found: DataFrame, known: DataFrame, eps: float = EPS) -> DataFrame:
     """(idx, known_idx): for each new centroid the nearest known one within 0.9 eps (held between 0.2 and 0.6); the first of equals."""
-    near = within(valid(found), valid(known), min(0.6, max(0.2, 0.9 * eps)))
-    return near.groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("known_idx"))
+    return _carry_candidates(found, known, eps).groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("known_idx"))
 
 
 def replaced_people(faces: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,11 +275,23 @@ def label_centroids(c: Catalog) -> DataFrame:
     return centroids(rows).select("label", *[(F.round(F.col("centroid")[k].cast("double"), 4) + 0.0).alias(f"c{k}") for k in range(4)])
 
 
-@query("v5_label_carry_over", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS known_idx FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, (SELECT vec_id, [CAST(CAST(e AS DOUBLE) * 0.75e0 AS FLOAT) FOR e IN embedding] AS embedding FROM embeddings) y) WHERE d <= 0.6 GROUP BY idx")
+@query("v5_label_carry_over", """
+WITH known AS (SELECT vec_id // 2 AS known_idx, [CAST((CAST(x AS DOUBLE) + CAST(y AS DOUBLE)) * 0.25e0 AS FLOAT) FOR x, y IN zipped] AS embedding FROM (SELECT a.vec_id, list_zip(a.embedding, b.embedding) AS zipped FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)),
+met AS (SELECT v.vec_id AS idx, k.known_idx, list_distance([CAST(CAST(e AS DOUBLE) * 0.5e0 AS FLOAT)::DOUBLE FOR e IN v.embedding], CAST(k.embedding AS DOUBLE[])) AS d FROM embeddings v, known k)
+SELECT idx, arg_min(known_idx, [d, CAST(known_idx AS DOUBLE)]) AS known_idx, count(*) AS candidates FROM met WHERE d <= 0.6 GROUP BY idx""".replace("FOR x, y IN zipped", "FOR z IN zipped").replace("CAST(x AS DOUBLE) + CAST(y AS DOUBLE)", "CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)"))
 def carry_over(c: Catalog) -> DataFrame:
-    """All vectors against an older generation, which is made up of changed copies of all."""
-    rows = _vectors(c)
-    return carried_labels(rows, rows.withColumn("emb", F.transform("emb", lambda x: (x.cast("double") * 0.75).cast("float"))))
+    """All vectors, at half their length, against an older generation: the halved means of two neighbouring ids each. Most have several candidates."""
+    rows = _vectors(c).withColumn("emb", F.transform("emb", lambda x: (x.cast("double") * 0.5).cast("float")))
+    twos = c.embeddings.select(F.col("vec_id"), F.col("embedding"))
+    pairs = twos.filter("vec_id % 2 = 0").join(twos.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    known = pairs.select(F.floor(F.col("vec_id") / 2).alias("idx"), F.zip_with("embedding", "other", lambda x, y: ((x.cast("double") + y.cast("double")) * 0.25).cast("float")).alias("emb"))
+    near = written(_carry_candidates(rows, known, EPS), "carry-candidates")
+    return near.groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("known_idx"), F.count("*").alias("candidates"))
+
+
+@query("v10_clustered_faces", "SELECT id FROM faces WHERE quality_score >= 0.5 AND least(w, h) >= 60 AND w / h BETWEEN 0.5 AND 2")
+def clustered_faces(c: Catalog) -> DataFrame:
+    return ClusterConfig().faces(c.faces).select("id")
 
 
 @query("j12_nearest_under_threshold", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS nearest FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id) WHERE d <= 1.2 GROUP BY idx")

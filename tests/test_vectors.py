@@ -47,6 +47,7 @@ def test_against_sequential_clustering(spark, need):
     points = (rng.integers(0, 30, (60, 2)) / 2).astype(np.float32)
     got = {r["idx"]: r["label"] for r in V.dbscan(frame(spark, points), 1.2, need).collect()}
     assert [got[i] for i in range(len(points))] == sequential(points.astype(float), 1.2, need)
+    assert got == {r["idx"]: r["label"] for r in V.dbscan(frame(spark, points), 1.2, need, block=7).collect()}  # many cells and blocks
 
 
 def test_border_point_before_the_seed(spark):
@@ -68,6 +69,74 @@ def test_pairs_are_complete(spark):
     rows = frame(spark, points)
     exact = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.sqrt(((points[i].astype(float) - points[j].astype(float)) ** 2).sum()) <= 1.5}
     assert {(r["a"], r["b"]) for r in V.within(rows, rows, 1.5, same=True).collect()} == exact
+    assert {(r["a"], r["b"]) for r in V.within(rows, rows, 1.5, same=True, block=16).collect()} == exact
+    some = rows.filter("idx < 120")
+    ways = {(a, b) for a, b in exact} | {(b, a) for a, b in exact} | {(a, a) for a in range(300)}
+    assert {(r["a"], r["b"]) for r in V.within(some, rows, 1.5, block=16).collect()} == {(a, b) for a, b in ways if a < 120}
+
+
+def congruential(seed, n):
+    """n values in [0, 1) of the 32-bit generator x -> 1664525 x + 1013904223."""
+    a = np.full(n, 1664525, np.uint32)
+    powers = np.multiply.accumulate(a, dtype=np.uint32)
+    sums = np.concatenate((np.ones(1, np.uint32), powers[:-1]))
+    return (powers * np.uint32(seed) + np.uint32(1013904223) * np.add.accumulate(sums, dtype=np.uint32)) / 4294967296.0
+
+
+def identities(n, seed, dim, k, noise, strangers):
+    """Unit vectors around k centres, and strangers, as the published clustering figure's data are described."""
+    draw, at = congruential(seed, 2 * dim * (k + 2 * n) + 4 * n), 0
+
+    def uniform():
+        nonlocal at
+        at += 1
+        return draw[at - 1]
+
+    def gauss():
+        nonlocal at
+        u, v = draw[at : at + 2 * dim : 2], draw[at + 1 : at + 2 * dim : 2]
+        at += 2 * dim
+        return np.sqrt(-2 * np.log(np.where(u == 0, 1e-9, u))) * np.cos(2 * np.pi * v)
+
+    def unit(x):
+        x = x.astype(np.float32).astype(np.float64)
+        return (x / np.sqrt((x * x).sum())).astype(np.float32)
+
+    heads, out = [unit(gauss()) for _ in range(k)], []
+    for i in range(n):
+        base = unit(gauss()) if uniform() < strangers else heads[int(uniform() * k)]
+        out.append(unit(base + gauss() * noise))
+        if i % 5:
+            uniform()  # a weight
+    return np.stack(out)
+
+
+def table(spark, points):
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"idx": pa.array(np.arange(len(points))), "emb": pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), points.shape[1]).cast(pa.list_(pa.float32()))}))
+
+
+def test_published_clustering(spark):
+    """5,000 faces of 512 dimensions: 60 clusters, 989 of noise, 82 in the largest."""
+    points = identities(5000, 20260929, 512, 60, 0.045, 0.2)
+    labels = V.dbscan(table(spark, points), 1.05, 2).groupBy("label").count().collect()
+    sizes = {r["label"]: r["count"] for r in labels}
+    assert (len(sizes) - 1, sizes[-1], max(n for k, n in sizes.items() if k >= 0)) == (60, 989, 82)
+
+
+def test_blocks_that_are_apart_do_not_meet(spark):
+    """The same shape with less noise: most pairs of blocks are dropped before a row moves, and none that holds a pair."""
+    from shelfmark.operators.neighbours import Blocks
+
+    points = identities(2000, 7, 64, 20, 0.03, 0.0)
+    rows = table(spark, points)
+    blocks = Blocks(rows, None, 0.6, 50)
+    n, _ = blocks.counts()
+    met = blocks.meets.count()
+    assert met < 0.2 * n * (n + 1) / 2, (met, n)
+    far = np.sqrt(np.maximum(0, 2 - 2 * points.astype(float) @ points.T.astype(float)))
+    assert V.within(rows, rows, 0.6, same=True, block=50).count() == np.triu(far <= 0.6, 1).sum()
 
 
 def test_centroids_round_each_step(spark):
@@ -106,4 +175,5 @@ def test_components(spark):
     df = spark.createDataFrame([*edges, (None, 3), (7, 7)], "src long, dst long")
     got = {r["node"]: r["component"] for r in graph.components(df).collect()}
     assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
-    assert graph.components(df.limit(0)).count() == 0
+    assert {r["node"]: r["component"] for r in graph.components(df, few=0).collect()} == got
+    assert graph.components(df.limit(0)).count() == 0 == graph.components(df.limit(0), few=-1).count()
