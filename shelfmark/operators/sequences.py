@@ -1,7 +1,7 @@
 """Similarity of frame-hash sequences: local alignment, near duplicates, sub-clips.
 
-Candidates come from equi-joins on duration buckets, and a pair's frames are only fetched once it has passed every
-cheap test; alignments then run in Arrow batches.
+Candidates come from a blocked screen of the frames themselves (frames.py), so that alignments grow with the pairs that
+have enough matching frames, not with the square of a duration bucket.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +17,8 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..plans.define import query
 from ..sources.catalog import Catalog
-
-MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.int64)
+from ..sources.scratch import written
+from .frames import align_batch, screened
 
 
 @dataclass(frozen=True)
@@ -57,67 +55,9 @@ class SimilarConfig:
         return "|".join(f"{f.name}={getattr(self, f.name)}" for f in fields(self))
 
 
-def _distances(a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
-    """Differing bits of each pair, over the shorter of both; infinite where one has no hash."""
-    out = np.full((len(a), len(b)), np.inf)
-    sizes = {len(x) for x in (*a, *b) if x is not None}
-    if len(sizes) == 1 and all(x is not None for x in (*a, *b)):
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-        return _BITS[x[:, None, :] ^ y[None, :, :]].sum(axis=2).astype(float)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x is not None and y is not None:
-                n = min(len(x), len(y))
-                out[i, j] = _BITS[np.frombuffer(x[:n], np.uint8) ^ np.frombuffer(y[:n], np.uint8)].sum()
-    return out
-
-
-def hex_bytes(text: str | None) -> bytes | None:
-    try:
-        return bytes.fromhex(text) if text else None
-    except ValueError:
-        return None
-
-
 def align(a: list[tuple[float, str]], b: list[tuple[float, str]], threshold: float) -> dict[str, float | int | None]:
-    """The best local alignment of two frame sequences.
-
-    A pair of frames within the threshold scores 2, any other -1, a gap -1. Of equal predecessors the diagonal wins,
-    then the one above; of equally good ends the one with the greater sum of indexes.
-    """
-    n, m = len(a), len(b)
-    none = {"score": 0.0, "matched": 0, "aligned": 0, "mean_hamming": float("inf"), "coverage_a": 0.0, "coverage_b": 0.0, "coverage_short": 0.0, "start_a": -1, "start_b": -1, "offset_a": None, "offset_b": None}
-    if not n or not m:
-        return none
-    far = _distances([hex_bytes(h) for _, h in a], [hex_bytes(h) for _, h in b])
-    gain = np.where(far <= threshold, MATCH, MISMATCH).tolist()
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    came = [[0] * (m + 1) for _ in range(n + 1)]
-    best, at = 0.0, (0, 0)
-    for i in range(1, n + 1):
-        above, row, steps = score[i - 1], score[i], came[i]
-        for j in range(1, m + 1):
-            options = (above[j - 1] + gain[i - 1][j - 1], above[j] + GAP, row[j - 1] + GAP)
-            top = max(options)
-            if top > 0:
-                row[j], steps[j] = top, 1 + options.index(top)
-                if top > best or (top == best and i + j > sum(at)):
-                    best, at = top, (i, j)
-    if not best:
-        return none
-    pairs, (i, j) = [], at
-    while i and j and came[i][j]:
-        step = came[i][j]
-        if step == 1:
-            pairs.append((i - 1, j - 1))
-        i, j = i - (step != 3), j - (step != 2)
-    pairs.reverse()
-    if not pairs:
-        return none
-    gaps = [far[p] for p in pairs]
-    matched = sum(d <= threshold for d in gaps)
-    (sa, sb) = pairs[0]
-    return {"score": best, "matched": matched, "aligned": len(pairs), "mean_hamming": float(np.mean(gaps)), "coverage_a": matched / n, "coverage_b": matched / m, "coverage_short": matched / min(n, m), "start_a": sa, "start_b": sb, "offset_a": a[sa][0], "offset_b": b[sb][0]}
+    """align_batch() of one pair."""
+    return align_batch([(a, b)], threshold)[0]
 
 
 _ALIGNED = "score double, matched int, aligned int, mean_hamming double, coverage_a double, coverage_b double, coverage_short double, start_a int, start_b int, offset_a double, offset_b double"
@@ -140,7 +80,7 @@ def aligned(pairs: DataFrame, frames: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda x: [(f["t_sec"], f["phash"]) for f in x or []]
         for batch in batches:
-            got = [align(told(x), told(y), threshold) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
+            got = align_batch([(told(x), told(y)) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)], threshold)
             cols = [pa.array([g[k] for g in got], t) for k, t in zip(names[len(plain) :], _TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], *cols], names=names)
 
@@ -155,17 +95,29 @@ def near_duration_pairs(videos: DataFrame, cfg: SimilarConfig, ignored: DataFram
     """
     v = videos.withColumn("bucket", S.duration_bucket(F.col("duration_sec"), cfg.bucket))
     left = v.select(*[F.col(c).alias(f"a_{c}") for c in videos.columns], F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket"))
-    both = left.join(v.select(*[F.col(c).alias(f"b_{c}") for c in videos.columns], "bucket"), "bucket").filter("b_id < a_id")
+    both = left.join(v.select(*[F.col(c).alias(f"b_{c}") for c in videos.columns], "bucket"), "bucket").drop("bucket")
+    return _near_in_duration(both, cfg, ignored)
+
+
+def _paired(pairs: DataFrame, videos: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids with both videos' columns, as a_ and b_."""
+    side = lambda s: videos.select(*[F.col(c).alias(f"{s}_{c}") for c in videos.columns])
+    return pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id")
+
+
+def _near_in_duration(both: DataFrame, cfg: SimilarConfig, ignored: DataFrame | None) -> DataFrame:
+    both = both.filter("b_id < a_id")
     both = both.filter(~((F.col("a_file_hash") != "") & (F.col("a_file_hash") == F.col("b_file_hash"))) | F.col("a_file_hash").isNull() | F.col("b_file_hash").isNull())
     both = both.filter(S.durations_within(F.col("a_duration_sec"), F.col("b_duration_sec"), cfg.tolerance))
     if ignored is not None:
         both = both.join(ignored.select(F.greatest("a_id", "b_id").alias("a_id"), F.least("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
-    return both.drop("bucket")
+    return both
 
 
 def similar_videos(videos: DataFrame, frames: DataFrame, cfg: SimilarConfig = SimilarConfig(), ignored: DataFrame | None = None) -> DataFrame:
     """keep, remove, confidence, mean_hamming of near-duplicate pairs: both covered well, the larger file stays (ties: the lower id)."""
-    pairs = near_duration_pairs(videos, cfg, ignored)
+    found = screened(videos, frames, cfg.bucket, cfg.threshold, cfg.coverage, cfg.coverage, tolerance=cfg.tolerance).filter("b < a")
+    pairs = _near_in_duration(_paired(written(found, "screened"), videos), cfg, ignored)
     gate = max(cfg.gate, 4 * cfg.threshold)
     told = (F.coalesce("a_aggregate_hash", F.lit("")) != "") & (F.coalesce("b_aggregate_hash", F.lit("")) != "")
     distance = S.hamming_hex(F.col("a_aggregate_hash"), F.col("b_aggregate_hash"))
@@ -187,17 +139,24 @@ def clip_parent_pairs(videos: DataFrame, cfg: SimilarConfig, ignored: DataFrame
     v = videos.filter(F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec")).withColumn("bucket", S.duration_bucket(F.col("duration_sec"), cfg.bucket))
     used = v.select("bucket").distinct().agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # one row, a bucket for each `cfg.bucket` seconds of the longest video
     clips = v.filter(F.col("frame_count") >= cfg.clip_frames).crossJoin(F.broadcast(used)).select(*[F.col(c).alias(f"a_{c}") for c in videos.columns], F.explode(F.filter("buckets", lambda b: b >= F.col("bucket"))).alias("bucket"))
-    both = clips.join(v.select(*[F.col(c).alias(f"b_{c}") for c in videos.columns], "bucket"), "bucket")
+    both = clips.join(v.select(*[F.col(c).alias(f"b_{c}") for c in videos.columns], "bucket"), "bucket").drop("bucket")
+    return _clip_and_parent(both, cfg, ignored)
+
+
+def _clip_and_parent(both: DataFrame, cfg: SimilarConfig, ignored: DataFrame | None) -> DataFrame:
+    both = both.filter("a_duration_sec IS NOT NULL AND b_duration_sec IS NOT NULL AND NOT isnan(a_duration_sec) AND NOT isnan(b_duration_sec)").filter(F.col("a_frame_count") >= cfg.clip_frames)
     both = both.filter("a_id <> b_id AND b_duration_sec + 1e-9 >= a_duration_sec AND a_frame_count <= b_frame_count").filter(~S.durations_within(F.col("a_duration_sec"), F.col("b_duration_sec"), cfg.tolerance))
     both = both.filter("NOT coalesce(a_file_hash <> '' AND a_file_hash = b_file_hash, false)")
     if ignored is not None:
         both = both.join(ignored.select("a_id", "b_id").union(ignored.select("b_id", "a_id")), ["a_id", "b_id"], "left_anti")
-    return both.drop("bucket")
+    return both
 
 
 def partial_clips(videos: DataFrame, frames: DataFrame, cfg: SimilarConfig = SimilarConfig(), ignored: DataFrame | None = None) -> DataFrame:
     """keep, remove, role, kind, ratio, offset_sec: every parent that a clip lies in; else its best possible one, for review."""
-    pairs = clip_parent_pairs(videos, cfg, ignored).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_duration_sec"), F.col("b_duration_sec"))
+    least = min(cfg.review_ratio, cfg.clip_ratio, cfg.short_ratio)
+    found = screened(videos, frames, cfg.bucket, cfg.frame_threshold, least, 0.0, max(1, cfg.review_frames))
+    pairs = _clip_and_parent(_paired(written(found, "screened"), videos), cfg, ignored).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_duration_sec"), F.col("b_duration_sec"))
     got = aligned(pairs, frames, cfg.frame_threshold).filter(F.col("matched") >= cfg.review_frames)
     need = F.when(F.col("a_duration_sec") <= cfg.short_clip, cfg.short_ratio).otherwise(cfg.clip_ratio)
     got = got.withColumn("whole", F.col("coverage_a") >= need).filter(F.col("whole") | (F.col("coverage_a") >= cfg.review_ratio))

@@ -1,3 +1,9 @@
+import random
+import time
+
+import numpy as np
+
+from shelfmark.operators import frames as R
 from shelfmark.operators import sequences as Q
 
 
@@ -63,3 +69,101 @@ def test_configuration_precedence():
     cfg = Q.SimilarConfig.load({"SIMILAR_THRESHOLD": "31", "SIMILAR_BUCKET": "x"}, {"threshold": 5, "bucket": 60, "coverage": "0.9"})
     assert (cfg.threshold, cfg.bucket, cfg.coverage, cfg.tolerance) == (31.0, 60, 0.9, 0.1)
     assert cfg.key() != Q.SimilarConfig().key() and isinstance(cfg.bucket, int)
+
+
+def cell_by_cell(a, b, threshold):
+    """The alignment as it is usually written: one cell after another."""
+    far = [[bits(p, q) for _, q in b] for _, p in a]
+    n, m = len(a), len(b)
+    score, came = np.zeros((n + 1, m + 1), int), np.zeros((n + 1, m + 1), int)
+    best, at = 0, (0, 0)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            options = (score[i - 1][j - 1] + (2 if far[i - 1][j - 1] <= threshold else -1), score[i - 1][j] - 1, score[i][j - 1] - 1)
+            top = max(options)
+            if top > 0:
+                score[i][j], came[i][j] = top, 1 + options.index(top)
+                if top > best or (top == best and i + j > sum(at)):
+                    best, at = top, (i, j)
+    pairs, (i, j) = [], at
+    while i and j and came[i][j]:
+        step = came[i][j]
+        if step == 1:
+            pairs.insert(0, (i - 1, j - 1))
+        i, j = i - (step != 3), j - (step != 2)
+    if not pairs:
+        return R.NONE
+    gaps = [far[i][j] for i, j in pairs]
+    hit, (sa, sb) = sum(d <= threshold for d in gaps), pairs[0]
+    return {"score": float(best), "matched": hit, "aligned": len(pairs), "mean_hamming": sum(gaps) / len(gaps), "coverage_a": hit / n, "coverage_b": hit / m, "coverage_short": hit / min(n, m), "start_a": sa, "start_b": sb, "offset_a": a[sa][0], "offset_b": b[sb][0]}
+
+
+def bits(p, q):
+    try:
+        x, y = bytes.fromhex(p or "x"), bytes.fromhex(q or "x")
+    except ValueError:
+        return float("inf")
+    return sum(bin(u ^ v).count("1") for u, v in zip(x, y, strict=False))
+
+
+def some_frames(rng, n, pool):
+    return [(10.0 * i, rng.choice(pool)) for i in range(n)]
+
+
+def test_wavefront_against_cells(monkeypatch):
+    rng = random.Random(4)
+    pools = [["00", "01", "ff", "f0"], ["00ff", "00fe", "1234", "ff"], ["0" * 64, "f" * 64, "0" * 63 + "1"], ["zz", "00", None, "0f", "00000000000000000f"]]
+    pairs = [(some_frames(rng, rng.randrange(12), pool), some_frames(rng, rng.randrange(15), pool)) for pool in pools for _ in range(60)]
+    for most in (1 << 23, 300):
+        monkeypatch.setattr(R, "CELLS", most)
+        for threshold in (0, 1, 3):
+            assert R.align_batch(pairs, threshold) == [cell_by_cell(a, b, threshold) for a, b in pairs]
+
+
+def test_many_alignments_take_no_loop_for_each_cell():
+    rng = random.Random(1)
+    pool = ["%064x" % rng.getrandbits(256) for _ in range(300)]
+    pairs = [(some_frames(rng, 200, pool), some_frames(rng, 200, pool)) for _ in range(20)]
+    began = time.process_time()
+    fast = R.align_batch(pairs, 50)
+    took = time.process_time() - began
+    began = time.process_time()
+    assert fast[:1] == [cell_by_cell(*pairs[0], 50)]
+    assert took / len(pairs) < (time.process_time() - began) / 10
+
+
+def catalogue(spark, rng, n):
+    """Videos of one length: unrelated ones, and now and then a changed copy or a clip of another."""
+    sets, seconds = {}, {}
+    for v in range(n):
+        if v % 10 == 3:
+            sets[v], seconds[v] = [h if rng.random() < 0.8 else "%016x" % rng.getrandbits(64) for h in sets[v - 2]], 80.0
+        elif v % 10 == 7:
+            sets[v], seconds[v] = sets[v - 1][2:7], 40.0
+        else:
+            sets[v], seconds[v] = ["%016x" % rng.getrandbits(64) for _ in range(8)], 80.0 + v % 3
+    f = spark.createDataFrame([(v, t, h) for v, hs in sets.items() for t, h in frames(hs)], "id long, t_sec double, phash string")
+    rows = [(v, seconds[v], f"h{v}", 100 + v, None, len(hs)) for v, hs in sets.items()]
+    return spark.createDataFrame(rows, "id long, duration_sec double, file_hash string, file_size long, aggregate_hash string, frame_count long"), f
+
+
+def test_screen_loses_no_pair(spark, monkeypatch):
+    """Near duplicates and clips are the same as when every pair in duration is aligned, and few pairs pass the screen."""
+    monkeypatch.setattr(R, "FRAMES", 50)  # several blocks
+    v, f = catalogue(spark, random.Random(8), 60)
+    cfg = Q.SimilarConfig(threshold=6, frame_threshold=4)
+    every = Q.aligned(Q.near_duration_pairs(v, cfg).select(Q.F.col("a_id").alias("a"), Q.F.col("b_id").alias("b")), f, 6)
+    want = {(r["a"], r["b"]) for r in every.filter("coverage_a >= 0.7 AND coverage_b >= 0.7 AND mean_hamming <= 6").collect()}
+    got = {tuple(sorted((r["keep"], r["remove"]), reverse=True)) for r in Q.similar_videos(v, f, cfg).collect()}
+    assert got == want and want
+    clips = Q.aligned(Q.clip_parent_pairs(v, cfg).select(Q.F.col("a_id").alias("a"), Q.F.col("b_id").alias("b")), f, 4)
+    want = {(r["a"], r["b"]) for r in clips.filter("matched >= 3 AND coverage_a >= 0.8").collect()}
+    assert {(r["remove"], r["keep"]) for r in Q.partial_clips(v, f, cfg).filter("kind = 'partial'").collect()} == want and want
+
+
+def test_candidates_grow_with_near_pairs(spark):
+    counts = []
+    for n in (60, 120):
+        v, f = catalogue(spark, random.Random(n), n)
+        counts.append((R.screened(v, f, 120, 6, 0.7, 0.7, tolerance=0.1).count(), Q.near_duration_pairs(v, Q.SimilarConfig()).count()))
+    assert counts[1][0] <= 3 * counts[0][0] and counts[1][1] > 3.5 * counts[0][1], counts
