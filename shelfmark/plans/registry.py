@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import mutations, projections, relational, scalars, sequences, vectors  # noqa: F401  (modules register their queries)
 from ..sources import files  # noqa: F401
 from ..sources.catalog import Catalog
-from ..streaming import feed, ingest  # noqa: F401
+from ..streaming import feed, ingest, live  # noqa: F401
 from .define import ORACLES, QUERIES
 
 
