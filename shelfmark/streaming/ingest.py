@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.mutations import FOLD_COLUMNS, FOLD_KEYS, FOLD_SCHEMA, FOLD_SQL, fold, latest, observations, of_channels, with_comparable
@@ -21,41 +21,105 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(path)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+#: Set while a stream runs: the state store that streams with state of their own need, and no micro-batches without data
+#: (state that lives for a time would ask for one after another, and the run would not end).
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now, and gives what it wrote, with the number of the micro-batch.
 
+    With a root of its own, a stream goes on from where it was.
+
     Each micro-batch overwrites a folder of its own, so a batch that is run again after a failure counts once.
     """
     spark = stream.sparkSession
-    root = new_path(spark, name)
+    root = root or new_path(spark, name)
     written = []
 
     def put(batch: DataFrame, number: int) -> None:
         written.append(number)
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        run = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = StructType([*stream.schema.fields]).add("batch", "long")
     return spark.read.schema(schema).parquet(f"{root}/out") if written else spark.createDataFrame([], schema)  # no files, no micro-batch
 
 
 _STATE = "account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, generation long, status string"
 _STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+#: Rows of one key and micro-batch that a task sorts in memory; of more, each waits in the state store until its turn.
+MOST = 10_000
 
 
-def folded_stream(rows: DataFrame) -> DataFrame:
-    """The state of each message that a micro-batch touches, by the same fold as in batch; late edits lose to what is known."""
+class InOrder(StatefulProcessor):
+    """Sees the rows of a key and micro-batch in an order, whatever their number. state: of the key; waiting: rows by arrival.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(_STATE_NAMES, state.get, strict=True)) if state.exists else None
-        for r in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
+    Where the state has a time to live, a key that is idle for so long (in milliseconds of the clock) is forgotten.
+    """
+
+    def __init__(self, state: str, rows: str, order: tuple[str, ...], idle: int | None = None, most: int = MOST):
+        self.spec, self.rows, self.order, self.idle, self.most = state, rows, order, idle, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.spec, self.idle) if self.idle else handle.getValueState("state", self.spec)
+        self.waiting = handle.getMapState("waiting", "n long", self.rows)
+
+    def held(self) -> tuple | None:
+        return self.state.get() if self.state.exists() else None
+
+    def in_order(self, rows: Iterator[Row]) -> Iterator[Row]:
+        names = [x.split()[0] for x in self.rows.split(", ")]
+        key = lambda r: tuple(r[c] for c in self.order)
+        first = list(islice(rows, self.most))
+        more = next(rows, None)
+        if more is None:
+            yield from sorted(first, key=key)
+            return
+        turns = []
+        for n, r in enumerate(chain(first, [more], rows)):
+            self.waiting.updateValue((n,), tuple(r[c] for c in names))
+            turns.append((key(r), n))
+            if n < len(first):
+                first[n] = None
+        kind = Row(*names)
+        for _, n in sorted(turns):
+            yield kind(*self.waiting.getValue((n,)))
+            self.waiting.removeKey((n,))
+
+    def close(self) -> None:
+        pass
+
+
+class Messages(InOrder):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        before = self.held()
+        held = dict(zip(_STATE_NAMES, before, strict=True)) if before else None
+        for r in self.in_order(rows):
             held = fold(held, {k: r[k] for k in FOLD_COLUMNS}, bool(r["comparable"]))
-        values = tuple(held[k] if isinstance(held[k], str) else int(held[k]) for k in _STATE_NAMES)
-        state.update(values)
-        yield pd.DataFrame([dict(zip(FOLD_KEYS, key, strict=True)) | dict(zip(_STATE_NAMES, values, strict=True))])[[x.split()[0] for x in FOLD_SCHEMA.split(", ")]]
+        self.state.update(tuple(held[k] for k in _STATE_NAMES))
+        yield Row(**(dict(zip(FOLD_KEYS, key, strict=True)) | {k: held[k] for k in _STATE_NAMES}))
 
-    return with_comparable(rows).select(*FOLD_KEYS, *FOLD_COLUMNS, "comparable", "seq").groupBy(*FOLD_KEYS).applyInPandasWithState(run, FOLD_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+def folded_stream(rows: DataFrame, idle: int | None = None, most: int = MOST) -> DataFrame:
+    """The state of each message that a micro-batch touches, by the same fold as in batch; late edits lose to what is known.
+
+    A message's state stays for ever unless idle is given: then one that isn't heard of for so many milliseconds is new again.
+    """
+    columns = "account_id string, version long, source_pts long, identity string, origin string, ttl_seconds long, comparable boolean, seq long"
+    told = with_comparable(rows).select(*FOLD_KEYS, *[F.col(x.split()[0]).cast(x.split()[1]) for x in columns.split(", ")])
+    return told.groupBy(*FOLD_KEYS).transformWithState(Messages(_STATE, columns, ("seq",), idle, most), FOLD_SCHEMA, "Update", "ProcessingTime" if idle else "None")
 
 
 def admitted(held: list | None, now: int, limit: int, window: int) -> tuple[list, bool]:
@@ -67,20 +131,28 @@ def admitted(held: list | None, now: int, limit: int, window: int) -> tuple[list
     return [held[0], held[1] + 1], True
 
 
-def rate_limited(requests: DataFrame, limit: int = 60, window: int = 60_000) -> DataFrame:
-    """requests (client, at, seq) of a stream, with allowed: at most `limit` of a client in a window that its first request anchors."""
-    spec = "client string, seq long, allowed boolean"
+class Windows(InOrder):
+    def __init__(self, limit: int, window: int, *more):
+        super().__init__(*more)
+        self.limit, self.window = limit, window
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.held()
+        for r in self.in_order(rows):
+            held, fine = admitted(held, r["at"], self.limit, self.window)
+            yield Row(client=key[0], seq=r["seq"], allowed=fine)
+        self.state.update(tuple(held))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        out = []
-        for at, seq in pd.concat(list(frames)).sort_values(["at", "seq"])[["at", "seq"]].itertuples(index=False):
-            held, fine = admitted(held, int(at), limit, window)
-            out.append((key[0], int(seq), fine))
-        state.update(tuple(held))
-        yield pd.DataFrame(out, columns=["client", "seq", "allowed"])
 
-    return requests.groupBy("client").applyInPandasWithState(run, spec, "until long, n long", "append", GroupStateTimeout.NoTimeout)
+def rate_limited(requests: DataFrame, limit: int = 60, window: int = 60_000, idle: int | None = None, most: int = MOST) -> DataFrame:
+    """requests (client, at, seq) of a stream, with allowed: at most `limit` of a client in a window that its first request anchors.
+
+    idle: a client that makes no request for so many milliseconds is forgotten; a window's length or more changes nothing
+    for requests that arrive when they are made.
+    """
+    told = requests.select("client", F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq")).filter("at IS NOT NULL AND seq IS NOT NULL")
+    step = Windows(limit, window, "until long, n long", "at long, seq long", ("at", "seq"), idle, most)
+    return told.groupBy("client").transformWithState(step, "client string, seq long, allowed boolean", "Append", "ProcessingTime" if idle else "None")
 
 
 def _events(c: Catalog) -> DataFrame:

@@ -87,3 +87,35 @@ def test_account_order_in_streams_and_folders_without_files(spark, tmp_path):
     stream = ingest.source(spark, str(tmp_path / "in"), spark.createDataFrame([], spec).schema, files_per_trigger=9)
     got = ingest.latest(ingest.drained(ingest.folded_stream(stream), "accounts", "update"), ["group_id", "message_id"], ["batch"])
     assert {r["group_id"]: r["identity"] for r in got.collect()} == {"c": "y", "u": "x"}
+
+
+def test_rows_wait_in_the_store(spark, tmp_path):
+    """More rows of a key than a task sorts: the same results, in the same order."""
+    import random
+
+    rows = [("c", at, seq) for seq, at in enumerate(random.Random(2).sample(range(1000), 90))] + [("d", 5, 900)]
+    spark.createDataFrame(rows, "client string, at long, seq long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    want, held = {}, {}
+    for client, at, seq in sorted(rows):
+        held[client], want[seq] = ingest.admitted(held.get(client), at, 3, 100)
+    for most in (10_000, 7):
+        stream = ingest.source(spark, str(tmp_path / "in"), schema)
+        got = ingest.drained(ingest.rate_limited(stream, 3, 100, most=most), f"waiting-{most}")
+        assert {r["seq"]: r["allowed"] for r in got.collect()} == want
+
+
+def test_idle_clients_are_forgotten(spark, tmp_path):
+    import time
+
+    def request(seq):
+        spark.createDataFrame([("c", 10, seq)], "client string, at long, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.source(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        out = ingest.drained(ingest.rate_limited(stream, 1, 1_000_000, idle=3000), "idle", root=f"file:{tmp_path}/run")
+        return {r["seq"]: r["allowed"] for r in out.collect()}[seq]
+
+    began = time.time()
+    first, second = request(1), request(2)
+    soon = time.time() - began < 3
+    time.sleep(4)
+    assert first and (not second or not soon) and request(3)
