@@ -62,7 +62,7 @@ def _snippets(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 #: What a packet holds of each anchor besides its snippet.
-_FIELDS = (np.int64, np.uint32, np.uint32, np.uint8, np.uint8)
+_FIELDS = (np.int64, np.int64, np.uint32, np.uint8, np.uint8)
 
 
 def _pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, reach: np.ndarray, span: np.ndarray, snippets: np.ndarray) -> bytes:
@@ -261,7 +261,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with the remaining bytes, if asked for.
 
     A null text is empty. A null id is greater than any other; rows of the same id leave each other alone, and of such
-    rows each is told by 32 bits of its text. An empty table gives an empty result.
+    rows each is told by 60 bits of its text's SHA-256. An empty table gives an empty result.
     """
     spark, gram = docs.sparkSession, min(gram, width)
     if width - gram > 200:
@@ -276,8 +276,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     told_sketch = spark.sparkContext.broadcast(held)  # sketch.DEPTH << bits bits
     told_common = spark.sparkContext.broadcast(common_anchors(source, width, gram, most))
     buckets = max(128, common.partitions(spark, n_bytes, PER_BUCKET))
-    # a row goes by its id and 32 bits of its text: rows that share both with different texts don't occur together
-    keyed = source.withColumn("key", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    # a row goes by its id and 60 bits of its text's SHA-256: rows that share both have equal texts, so what is cut from one is cut from all
+    keyed = source.withColumn("key", F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long"))
     kinds = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("packed", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

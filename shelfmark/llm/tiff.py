@@ -209,6 +209,9 @@ def read(data: bytes) -> Iterator[Page]:
         raise Malformed("no TIFF header")
     view, seen = memoryview(data), set()
     (at,) = struct.unpack_from(order + "I", data, 4)
+    if not at:
+        raise Malformed("no directory")
+    decoded = 0
     try:
         while at:
             if at in seen:
@@ -224,7 +227,11 @@ def read(data: bytes) -> Iterator[Page]:
                     if where + size > len(data):
                         raise Malformed(f"tag {tag} ends after the file")
                     tags[tag] = struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where)
-            yield _page(tags, view, order)
+            page = _page(tags, view, order)
+            decoded += len(page.data)
+            if decoded > len(data) * MOST_EXPANSION:  # directories that share strips
+                raise Malformed(f"{decoded} bytes of pages in a file of {len(data)}")
+            yield page
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     except Malformed:
         raise
@@ -255,6 +262,8 @@ def _page(tags: dict[int, tuple[int, ...]], data: memoryview, order: str) -> Pag
         across, places = -(-width // w), list(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True))
         if len(places) != across * -(-height // h):
             raise Malformed(f"{len(places)} tiles of {w} x {h} for {width} x {height}")
+        if len(places) * w * h * samples * kind.itemsize > len(data) * MOST_EXPANSION:  # tiles that share their bytes
+            raise Malformed(f"{len(places)} tiles of {w} x {h} in a file of {len(data)}")
         tiles = [block(offset, count, h, w) for offset, count in places]
         out = np.zeros((height, width, samples), kind.newbyteorder("="))
         for i, tile in enumerate(tiles):
@@ -264,6 +273,8 @@ def _page(tags: dict[int, tuple[int, ...]], data: memoryview, order: str) -> Pag
         rows = min(one(ROWS_PER_STRIP, height), height) or 1
         if len(tags[STRIP_OFFSETS]) != -(-height // rows):
             raise Malformed(f"{len(tags[STRIP_OFFSETS])} strips of {rows} rows for {height}")
+        if height * width * samples * kind.itemsize > len(data) * MOST_EXPANSION:
+            raise Malformed(f"{width} x {height} x {samples} in a file of {len(data)}")
         parts = [block(offset, count, min(rows, height - i * rows), width) for i, (offset, count) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], strict=True))]
         out = np.concatenate(parts) if len(parts) > 1 else parts[0]
         if len(out) != height:
@@ -274,7 +285,7 @@ def _page(tags: dict[int, tuple[int, ...]], data: memoryview, order: str) -> Pag
 def pages(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """One row per page: id, page (from 0), width, height, samples, bits, compression, data, error.
 
-    A null or malformed file gives its good pages, then one row with the error and nulls; repeated rows give repeated rows.
+    A null or malformed file (one without a directory, too) gives its good pages, then one row with the error and nulls; repeated rows give repeated rows.
     """
     spec = common.schema("id string, page int, width int, height int, samples int, bits int, compression int, data binary, error string")
     names = spec.names

@@ -7,6 +7,7 @@ frame, walks frames by their block headers, decodes one record from each and val
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -168,6 +169,19 @@ def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: i
     return rows.mapInArrow(put, common.schema("archive binary"))
 
 
+#: Record types whose block is an HTTP message.
+HTTP_TYPES = ("response", "request", "revisit")
+
+
+def digest_holds(told: str, payload: bytes) -> bool:
+    """Whether `algorithm:value` is the payload's digest; of algorithms other than SHA-1 and SHA-256 nothing is known, so they hold."""
+    name, _, value = told.partition(":")
+    if name.lower() not in ("sha1", "sha256"):
+        return True
+    own = hashlib.new(name.lower(), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def _number(text: str) -> int | None:
     m = re.fullmatch(r"<?urn:page:(-?\d+)>?", text)
     return int(m[1]) if m else None
@@ -176,7 +190,11 @@ def _number(text: str) -> int | None:
 def records(archives: DataFrame, content_col: str = "archive", payloads: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; with the payload, if asked for.
 
-    A record whose headers, lengths or digest don't hold ends the job with an error: an archive is whole or it is refused.
+    Header names are read in any case. The payload is what follows the HTTP header of a response, request or revisit, and
+    the whole block of any other type; page ids are null where the record's id isn't a page's. A digest is checked where
+    there is one (SHA-256 or SHA-1, in hex or base 32), and what is returned is the SHA-256; a revisit has no payload, so
+    its length and digest are those that it names, or null. A record whose headers, lengths or digest don't hold ends the
+    job with an error: an archive is whole or it is refused.
     """
     spec = common.schema("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else ""))
     names = spec.names
@@ -187,12 +205,23 @@ def records(archives: DataFrame, content_col: str = "archive", payloads: bool =
             for data in batch.column("archive"):
                 rows = []
                 for headers, block in read(data.as_buffer().to_pybytes()):
-                    kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    head, mark, payload = block.partition(b"\r\n\r\n")
-                    length = int(headers["X-Payload-Length"])
-                    if not mark or kind == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest) or kind == "revisit" and payload:
-                        raise Malformed(f"payload of {headers['WARC-Record-ID']}")
-                    rows.append((_number(headers["WARC-Record-ID"]), length, digest, kind, _number(headers.get("WARC-Refers-To", "")), payload)[: 6 if payloads else 5])
+                    named = {k.lower(): v for k, v in headers.items()}
+                    kind, told, stated = named["warc-type"], named.get("warc-payload-digest"), named.get("x-payload-length", "")
+                    payload = block
+                    if kind in HTTP_TYPES and named.get("content-type", "application/http").lower().startswith("application/http"):
+                        _, mark, payload = block.partition(b"\r\n\r\n")
+                        if not mark and block:
+                            raise Malformed(f"no HTTP header in {named['warc-record-id']}")
+                    if kind == "revisit":
+                        if payload:
+                            raise Malformed(f"a revisit with a payload: {named['warc-record-id']}")
+                        length = int(stated) if re.fullmatch("[0-9]{1,18}", stated) else None
+                        digest = told.partition(":")[2].lower() if told and told.lower().startswith("sha256:") else None
+                    else:
+                        length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                        if stated and stated != str(length) or told and not digest_holds(told, payload):
+                            raise Malformed(f"payload of {named['warc-record-id']}")
+                    rows.append((_number(named["warc-record-id"]), length, digest, kind, _number(named.get("warc-refers-to", "")), payload)[: 6 if payloads else 5])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 

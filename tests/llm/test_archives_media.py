@@ -106,3 +106,44 @@ def test_texts_as_tiff(spark, sf):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
         assert b"".join(p.data for p in tiff.read(bytes(r["media"]))) == payload
+
+
+def foreign(kind, block, *more, version="WARC/1.0"):
+    lines = [version, f"warc-type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "warc-date: 2024-01-01T00:00:00Z", *more, f"CONTENT-LENGTH: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    """Records without this library's own headers: other types, other digests, none at all, names in any case."""
+    import base64
+
+    http, body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", b"<p>hello</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    held = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("response", http + body, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("response", http, "Content-Type: application/http"),
+        foreign("resource", body, "Content-Type: text/html", "WARC-Payload-Digest: sha256:" + hashlib.sha256(body).hexdigest()),
+        foreign("revisit", http, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http", "WARC-Payload-Digest: md5:00"),
+    ]
+    got = warc.records(spark.createDataFrame([(warc.archive(held),)], "archive binary"), payloads=True).collect()
+    assert [(r["record_type"], r["payload_bytes"], r["payload"] and bytes(r["payload"])) for r in got] == [("warcinfo", 13, b"software: x\r\n"), ("response", 12, body), ("response", 0, b""), ("resource", 12, body), ("revisit", None, b""), ("request", 0, b"")]
+    assert got[1]["payload_digest"] == hashlib.sha256(body).hexdigest() and {r["page_id"] for r in got} == {None}
+    for bad in (foreign("response", http + body, "WARC-Payload-Digest: sha1:" + "A" * 32), foreign("revisit", http + body), foreign("response", b"no header end")):
+        with pytest.raises(Exception, match="payload|HTTP header"):
+            warc.records(spark.createDataFrame([(warc.archive([bad]),)], "archive binary")).collect()
+
+
+def test_files_without_directories_and_shared_tiles(spark):
+    none = b"II*\0" + struct.pack("<I", 0)
+    # 4,096 tiles of 256 x 256 that all are one compressed strip
+    body = zlib.compress(b"\0" * 65536)
+    n = 4096
+    tags = [(256, 4, 1, 256 * 64), (257, 4, 1, 256 * 64), (258, 3, 1, 8), (259, 3, 1, 8), (322, 4, 1, 256), (323, 4, 1, 256), (324, 4, n, 8 + len(body)), (325, 4, n, 8 + len(body) + 4 * n)]
+    at = 8 + len(body) + 8 * n
+    data = b"II*\0" + struct.pack("<I", at) + body + struct.pack(f"<{n}I", *[8] * n) + struct.pack(f"<{n}I", *[len(body)] * n) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    small = data[:8] + b"\0" * 16
+    rows = tiff.pages(spark.createDataFrame([("none", none), ("shared", data), ("short", small)], "id string, content binary")).collect()
+    told = {r["id"]: (r["page"], r["error"]) for r in rows}
+    assert told["none"] == (0, "no directory") and told["short"][1] is not None and told["shared"][1] is not None, told

@@ -142,3 +142,37 @@ def test_anchors_are_at_equal_distances():
     seen = {}
     for i, w in zip(at.tolist(), where.tolist(), strict=True):
         assert seen.setdefault(symbols[i : i + 12].tobytes(), w - i) == w - i
+
+
+def with_checksum(base: bytes, target: int) -> bytes:
+    """base with some of its letters a turned to b, so that its CRC-32 is the target's (elimination over bits)."""
+    import zlib
+
+    plain, rows = zlib.crc32(base), []
+    for i in range(len(base)):
+        change, mask = zlib.crc32(base[:i] + b"b" + base[i + 1 :]) ^ plain, 1 << i
+        for value, m in rows:
+            if change ^ value < change:
+                change, mask = change ^ value, mask ^ m
+        if change:
+            rows.append((change, mask))
+            rows.sort(reverse=True)
+    want, mask = plain ^ target, 0
+    for value, m in rows:
+        if want ^ value < want:
+            want, mask = want ^ value, mask ^ m
+    assert not want
+    return bytes(98 if mask >> i & 1 else 97 for i in range(len(base)))
+
+
+def test_rows_of_one_id_and_checksum(spark):
+    """Two different texts that share an id and a CRC-32 are told apart, whatever their lengths."""
+    import zlib
+
+    passage = "".join(random.Random(6).choices("cdefgh ", k=300))
+    for size in (60, 400):
+        other = with_checksum(b"a" * size, zlib.crc32((passage + " and more").encode())).decode()
+        rows = [(1, passage), (2, passage + " and more"), (2, other), (2, other)]
+        assert zlib.crc32(rows[1][1].encode()) == zlib.crc32(other.encode())
+        got = repeated_bytes.removed(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got.collect()) == sorted([(1, 300, 0), (2, 309, 300), (2, size, 0), (2, size, 0)])
