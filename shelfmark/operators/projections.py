@@ -428,8 +428,10 @@ def queue_snapshot(c: Catalog, pending: int = 1000, finished: int = 100) -> Data
     shown = w.filter("status = 'processing'").union(page(w.filter("status = 'pending'"), [F.asc("id")], pending)).union(page(w.filter("status IN ('completed', 'failed', 'skipped')"), [F.desc("updated_at"), F.desc("id")], finished))
     paths = c.downloads.filter("file_path IS NOT NULL").groupBy(F.col("group_id").alias("g"), F.col("message_id").alias("m")).agg(F.min("file_path").alias("file_path"))
     shown = shown.join(paths, (F.concat(F.lit("src"), "group_id") == F.col("g")) & (F.col("message_id") == F.col("m")), "left").drop("g", "m")
-    order = Window.orderBy(F.when(F.col("status") == "pending", F.col("id")).otherwise(-F.col("updated_at")), F.desc("id"))
-    return shown.withColumn("position", F.row_number().over(order).cast("long"))
+    from .relational import numbered
+
+    by = F.struct(F.when(F.col("status") == "pending", F.col("id")).otherwise(-F.col("updated_at")).alias("first"), (-F.col("id")).alias("then"))
+    return numbered(shown.withColumn("by", by), "by", "position").drop("by")  # running rows have no bound
 
 
 @query("r58_queue_counts", "SELECT status, count(*) AS n FROM work GROUP BY status")
@@ -474,7 +476,10 @@ def pending_recovery(c: Catalog) -> DataFrame:
 
 @query("r65_peers", "SELECT peer_id, name, status, row_number() OVER (ORDER BY lower(name), CAST(peer_id AS BIGINT)) AS position FROM peers")
 def peers(c: Catalog) -> DataFrame:
-    return c.peers.select("peer_id", "name", "status", F.row_number().over(Window.orderBy(F.lower("name"), F.col("peer_id").cast("long"))).cast("long").alias("position"))
+    from .relational import numbered
+
+    by = F.struct(F.lower("name").alias("name"), F.col("peer_id").cast("long").alias("id"))
+    return numbered(c.peers.select("peer_id", "name", "status", by.alias("by")), "by", "position").drop("by")
 
 
 @query("r66_catalog_page", f"SELECT {', '.join(_SHARED)} FROM downloads WHERE id > 50 AND (contains(lower(file_name), 'de') OR contains(lower(group_name), 'de')) ORDER BY id LIMIT 100")

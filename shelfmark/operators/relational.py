@@ -325,21 +325,55 @@ def disk_used(c: Catalog) -> DataFrame:
     return c.downloads.filter("file_path <> ''").groupBy("file_path").agg(F.max(F.coalesce("file_size", F.lit(0))).alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
 
 
-def conflicts(c: Catalog, least_size: int = 1) -> DataFrame:
-    """Files that several peers (or one peer twice) hold: hash, size, number, and the copies as a sorted array."""
+def copies(c: Catalog, least_size: int = 1) -> DataFrame:
+    """A row for each copy of a file that a peer, or this instance, holds: file_hash, file_size, peer_id, remote_id, file_path."""
     fine = lambda df: df.filter((F.col("file_hash") != "") & (F.col("file_size") >= least_size) & F.col("file_hash").isNotNull())
     mine = fine(c.downloads.filter("file_path <> ''")).select(F.lit("self").alias("peer_id"), F.col("id").alias("remote_id"), "file_hash", "file_size", "file_path")
-    rows = mine.unionByName(fine(c.peer_downloads).select("peer_id", "remote_id", "file_hash", "file_size", "file_path"))
-    groups = rows.groupBy("file_hash", "file_size").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("peer_id").alias("peerId"), F.col("remote_id").alias("remoteId"), F.col("file_path").alias("filePath")))).alias("copies"))
-    return groups.filter("n > 1")
+    return mine.unionByName(fine(c.peer_downloads).select("peer_id", "remote_id", "file_hash", "file_size", "file_path"))
+
+
+def conflicts(c: Catalog, least_size: int = 1) -> DataFrame:
+    """Files that several peers (or one peer twice) hold: hash, size and the number of copies, by partial aggregates."""
+    return copies(c, least_size).groupBy("file_hash", "file_size").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def conflict_members(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """The copies of groups (file_hash, file_size, ...), a row each: of a page of groups, or of all. No group is gathered."""
+    return rows.join(groups.select("file_hash", "file_size"), ["file_hash", "file_size"], "left_semi")
+
+
+def with_members(groups: DataFrame, members: DataFrame, keys: list[str], each: Column, most: int, name: str) -> DataFrame:
+    """Groups with up to `most` of their members as a sorted array: a group that is shown is shown in part, whatever its size.
+
+    Numbers by key keep `most` members of each group before its rows are shuffled, so the array is bounded.
+    """
+    order = Window.partitionBy(*keys).orderBy(each)
+    first = members.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    told = first.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias(name))
+    return groups.join(told, keys, "left")
 
 
-_CONFLICTS = "SELECT file_hash, file_size, count(*) AS n, string_agg(peer_id || ':' || CAST(remote_id AS VARCHAR), ',' ORDER BY peer_id, remote_id) AS copies FROM (SELECT 'self' AS peer_id, id AS remote_id, file_hash, file_size FROM downloads WHERE file_hash IS NOT NULL AND file_size >= 1 AND file_path IS NOT NULL UNION ALL SELECT peer_id, remote_id, file_hash, file_size FROM peer_downloads WHERE file_size >= 1) GROUP BY file_hash, file_size HAVING count(*) > 1"
+_CONFLICTS = "SELECT file_hash, file_size, count(*) AS n FROM (SELECT 'self' AS peer_id, id AS remote_id, file_hash, file_size FROM downloads WHERE file_hash IS NOT NULL AND file_size >= 1 AND file_path IS NOT NULL UNION ALL SELECT peer_id, remote_id, file_hash, file_size FROM peer_downloads WHERE file_size >= 1) GROUP BY file_hash, file_size HAVING count(*) > 1"
+_COPIES = "SELECT 'self' AS peer_id, id AS remote_id, file_hash, file_size FROM downloads WHERE file_hash IS NOT NULL AND file_size >= 1 AND file_path IS NOT NULL UNION ALL SELECT peer_id, remote_id, file_hash, file_size FROM peer_downloads WHERE file_size >= 1"
 
 
-@query("a6_conflict_groups", _CONFLICTS)
+@query("a6_conflict_groups", f"SELECT c.file_hash, c.file_size, g.n, c.peer_id, c.remote_id FROM ({_COPIES}) c JOIN ({_CONFLICTS}) g ON g.file_hash = c.file_hash AND g.file_size = c.file_size")
 def conflict_groups(c: Catalog) -> DataFrame:
-    return conflicts(c).select("file_hash", "file_size", "n", F.array_join(F.transform("copies", lambda x: F.concat(x["peerId"], F.lit(":"), x["remoteId"].cast("string"))), ",").alias("copies"))
+    """Every copy of every conflict, with its group's number of copies."""
+    groups, rows = conflicts(c), copies(c)
+    return rows.join(groups, ["file_hash", "file_size"]).select("file_hash", "file_size", "n", "peer_id", "remote_id")
+
+
+@query("a6_conflict_page", f"""
+WITH g AS (SELECT * FROM ({_CONFLICTS}) ORDER BY n DESC, file_size DESC, file_hash LIMIT 50),
+m AS (SELECT c.file_hash, c.file_size, c.peer_id || ':' || CAST(c.remote_id AS VARCHAR) AS copy, row_number() OVER (PARTITION BY c.file_hash, c.file_size ORDER BY c.peer_id, c.remote_id) AS k, c.peer_id, c.remote_id FROM ({_COPIES}) c JOIN g ON g.file_hash = c.file_hash AND g.file_size = c.file_size)
+SELECT g.file_hash, g.file_size, g.n, (SELECT string_agg(copy, ',' ORDER BY peer_id, remote_id) FROM m WHERE m.file_hash = g.file_hash AND m.file_size = g.file_size AND k <= 100) AS copies FROM g""")
+def conflict_page(c: Catalog, limit: int = 50, most: int = 100) -> DataFrame:
+    """A page of conflicts, the most copied first, each with its first copies: the page is taken before members are attached."""
+    groups = page(conflicts(c), [F.desc("n"), F.desc("file_size"), F.asc("file_hash")], limit)
+    each = F.struct("peer_id", "remote_id")
+    told = with_members(groups, conflict_members(groups, copies(c)), ["file_hash", "file_size"], each, most, "copies")
+    return told.select("file_hash", "file_size", "n", F.array_join(F.transform("copies", lambda x: F.concat(x["peer_id"], F.lit(":"), x["remote_id"].cast("string"))), ",").alias("copies"))
 
 
 @query("u2_cross_peer_duplicates", f"SELECT file_hash, file_size, n FROM ({_CONFLICTS}) ORDER BY n DESC, file_size DESC, file_hash LIMIT 100")
@@ -347,12 +381,33 @@ def cross_peer(c: Catalog, limit: int = 100) -> DataFrame:
     return page(conflicts(c).select("file_hash", "file_size", "n"), [F.desc("n"), F.desc("file_size"), F.asc("file_hash")], limit)
 
 
-@query("a7_duplicate_sets", "WITH one AS (SELECT file_hash, file_path, max(file_size) AS size, min_by(id, [created_at, id]) AS id FROM downloads WHERE file_hash IS NOT NULL AND file_path IS NOT NULL GROUP BY file_hash, file_path) SELECT file_hash, count(*) AS files, max(size) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM one GROUP BY file_hash HAVING count(*) > 1")
+_ONE = "SELECT file_hash, file_path, max(file_size) AS size, min_by(id, [created_at, id]) AS id FROM downloads WHERE file_hash IS NOT NULL AND file_path IS NOT NULL GROUP BY file_hash, file_path"
+
+
+def one_of_each_path(c: Catalog) -> DataFrame:
+    """file_hash, file_path, size, id: of rows that share hash and path, the first counts."""
+    rows = c.downloads.filter("file_hash IS NOT NULL AND file_path IS NOT NULL")
+    return rows.groupBy("file_hash", "file_path").agg(F.max("file_size").alias("size"), F.min_by("id", F.struct("created_at", "id")).alias("id"))
+
+
+@query("a7_duplicate_sets", f"WITH one AS ({_ONE}) SELECT o.file_hash, g.files, g.size, o.id, o.file_path FROM one o JOIN (SELECT file_hash, count(*) AS files, max(size) AS size FROM one GROUP BY file_hash HAVING count(*) > 1) g ON g.file_hash = o.file_hash")
 def duplicate_sets(c: Catalog) -> DataFrame:
-    """Files of equal hash at different paths; of rows that share a path, the first counts."""
-    one = c.downloads.filter("file_hash IS NOT NULL AND file_path IS NOT NULL").groupBy("file_hash", "file_path").agg(F.max("file_size").alias("size"), F.min_by("id", F.struct("created_at", "id")).alias("id"))
-    sets = one.groupBy("file_hash").agg(F.count("*").alias("files"), F.max("size").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return sets.filter("files > 1").orderBy(F.desc("size"), "file_hash")
+    """Files of equal hash at different paths, a row for each file, with its set's number and size: the largest sets first, files by id."""
+    one = one_of_each_path(c)
+    sets = one.groupBy("file_hash").agg(F.count("*").alias("files"), F.max("size").alias("size")).filter("files > 1")
+    return one.drop("size").join(sets, "file_hash").select("file_hash", "files", "size", "id", "file_path").orderBy(F.desc("size"), "file_hash", "id")
+
+
+@query("a7_duplicate_page", f"""
+WITH one AS ({_ONE}), g AS (SELECT file_hash, count(*) AS files, max(size) AS size FROM one GROUP BY file_hash HAVING count(*) > 1 ORDER BY size DESC, file_hash LIMIT 50),
+m AS (SELECT o.file_hash, o.id, row_number() OVER (PARTITION BY o.file_hash ORDER BY o.id) AS k FROM one o JOIN g ON g.file_hash = o.file_hash)
+SELECT g.file_hash, g.files, g.size, (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM m WHERE m.file_hash = g.file_hash AND k <= 100) AS ids FROM g""")
+def duplicate_page(c: Catalog, limit: int = 50, most: int = 100) -> DataFrame:
+    """A page of duplicate sets, the largest files first, each with its first ids."""
+    one = one_of_each_path(c)
+    sets = page(one.groupBy("file_hash").agg(F.count("*").alias("files"), F.max("size").alias("size")).filter("files > 1"), [F.desc("size"), F.asc("file_hash")], limit)
+    told = with_members(sets, one.select("file_hash", "id").join(sets.select("file_hash"), "file_hash", "left_semi"), ["file_hash"], F.col("id"), most, "ids")
+    return told.select("file_hash", "files", "size", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("a8_tier_bins", "SELECT CASE WHEN nsfw_score < 0.3 THEN 'low' WHEN nsfw_score < 0.7 THEN 'middle' ELSE 'high' END AS tier, count(*) AS n FROM downloads WHERE nsfw_score IS NOT NULL GROUP BY 1")

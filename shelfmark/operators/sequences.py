@@ -290,6 +290,20 @@ def pending(c: Catalog) -> DataFrame:
     return pending_analysis(videos, videos.withColumn("config_key", F.when((F.col("id") % 2 == 0) & (F.col("algo") == "pdq1"), "k1").otherwise("k0")), "k1").select("id")
 
 
+def effective(environment: Column, stored: Column, default: float) -> Column:
+    """One setting of many instances: SimilarConfig.load()'s precedence, what doesn't read as a number is passed over."""
+    return F.coalesce(environment.try_cast("double"), stored.try_cast("double"), F.lit(default))
+
+
+@query("q9_effective_settings", "SELECT c_custkey AS instance, coalesce(TRY_CAST(CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN CAST(c_nationkey AS VARCHAR) END AS DOUBLE), TRY_CAST(CASE WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS VARCHAR) ELSE c_name END AS DOUBLE), 50) AS threshold FROM customer")
+def effective_settings(c: Catalog) -> DataFrame:
+    """The threshold in force for each instance (here: customer): from its environment, else as stored, else the default."""
+    k = F.col("c_custkey")
+    environment = F.when(k % 3 == 0, F.col("c_mktsegment")).when(k % 3 == 1, F.col("c_nationkey").cast("string"))
+    stored = F.when(k % 2 == 0, F.col("c_acctbal").cast("string")).otherwise(F.col("c_name"))
+    return c.customer.select(k.alias("instance"), effective(environment, stored, SimilarConfig.threshold).alias("threshold"))
+
+
 @query("q6_ignored_pairs", "SELECT least(download_id, group_id) AS a_id, greatest(download_id, group_id) AS b_id FROM similar_members WHERE download_id <> group_id AND NOT EXISTS (SELECT 1 FROM share_links s WHERE s.id = greatest(similar_members.download_id, similar_members.group_id) AND s.revoked_at IS NOT NULL)")
 def unignored(c: Catalog) -> DataFrame:
     pairs = c.similar_members.filter("download_id <> group_id").select(F.least("download_id", "group_id").alias("a_id"), F.greatest("download_id", "group_id").alias("b_id"))
