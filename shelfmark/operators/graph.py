@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 
 
-#: Edges that one task labels by itself (two longs each).
+#: Edges that one task may label by itself (two longs each), for callers who ask for it.
 FEW = 1 << 20
 
 
@@ -43,7 +43,7 @@ def _at_once(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "node long, component long")
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100, few: int = 0) -> DataFrame:
     """(node, component): the smallest node that each endpoint of an edge can reach.
 
     Edges go either way; nulls and loops name no edge (a node with a loop only has no row). Each round links every

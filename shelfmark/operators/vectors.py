@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import written
-from .graph import components
+from .graph import FEW, components
 from .neighbours import BLOCK, Blocks, Side, adjacency, stars, within
 from .relational import numbered
 
@@ -85,12 +85,12 @@ def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS,
 
     if need <= 2:  # whoever has a neighbour is core
         edges = blocks.measured(linked, "a long, b long")
-        named = written(components(edges, "a", "b").select(F.col("node").alias("idx"), F.col("component").alias("seed")), "seeds")
+        named = written(components(edges, "a", "b", few=FEW).select(F.col("node").alias("idx"), F.col("component").alias("seed")), "seeds")
     else:
         counts = blocks.measured(counted, "idx long, n long").groupBy("idx").agg(F.sum("n").alias("n"))
         core = written(counts.filter(F.col("n") + 1 >= need).select("idx"), "core")
         edges = written(blocks.measured(cores_and_borders, "kind int, a long, b long", core), "core-edges")
-        found = components(edges.filter("kind = 0"), "a", "b").withColumnRenamed("node", "idx")
+        found = components(edges.filter("kind = 0"), "a", "b", few=FEW).withColumnRenamed("node", "idx")
         cores = written(core.join(found, "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
         border = edges.filter("kind = 1").select(F.col("a").alias("idx"), F.col("b").alias("c")).join(cores.select(F.col("idx").alias("c"), "seed"), "c")
         named = cores.unionByName(border.filter("idx > seed OR c = seed").groupBy("idx").agg(F.min("seed").alias("seed")))

@@ -175,5 +175,5 @@ def test_components(spark):
     df = spark.createDataFrame([*edges, (None, 3), (7, 7)], "src long, dst long")
     got = {r["node"]: r["component"] for r in graph.components(df).collect()}
     assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
-    assert {r["node"]: r["component"] for r in graph.components(df, few=0).collect()} == got
+    assert {r["node"]: r["component"] for r in graph.components(df, few=graph.FEW).collect()} == got
     assert graph.components(df.limit(0)).count() == 0 == graph.components(df.limit(0), few=-1).count()
