@@ -11,10 +11,14 @@ sketches of parts merge by the register-wise extreme, and registers agree about
    in proportion to its members.
 3. Pairs are held against the joint likelihood of their registers, given both set sizes; those that may be similar are
    verified on the shingles themselves, and give links.
-4. In buckets that still hold several components, members outside of the bucket's largest component meet all others of
-   other components, in blocks of bounded size: first their registers, by the same likelihood, then their shingles,
-   as long as no link found in the block joins their components already. A block gives fewer links than it has rows,
-   and a pair is looked at in the first band that it shares.
+4. Buckets may still hold several components. A count-min sketch of these buckets' shingles tells which of them are
+   certainly in one text only; a text that has too many of those is similar to none, and leaves the buckets. Texts of
+   one template, each with more than a fifth of its own, go here, however many they are.
+5. What is left outside of a bucket's largest component meets members of other components, in blocks of bounded size,
+   where two texts have one of their rarest shingles in common: sets that are similar share one of the first
+   n - threshold * n + 1 of any order of the shingles. Such pairs are held against each other by their registers (the
+   same likelihood), then by their shingles, as long as no link found in the block joins their components already. A
+   block gives fewer links than it has rows, and a pair is looked at in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import common
+from . import sketch as count_min
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Registers (a power of two), base of their scale, offset of the scale's zero; bands and registers in a band.
@@ -41,6 +46,8 @@ BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 PART = 1 << 21
 #: Bits (as a power of two) of the filter that lets the texts of needed classes through: 8 MB, whatever the input.
 FILTER_BITS = 26
+#: Counters (as powers of two, least and most) in each row of the sketch of open buckets' shingles: 64 MB at most, as bits.
+OPEN_BITS = (20, 28)
 #: How far below its greatest value the log-likelihood at the threshold may lie for a pair to be verified.
 MARGIN = 12.5
 #: Similarities at which the likelihood is taken; a coarse grid finds less of a maximum, so it lets more pairs through.
@@ -292,18 +299,88 @@ class Overlaps:
         return out
 
 
-def _further(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links across components within a bucket that pivots have missed: enough of them to join what belongs together.
+def prefixes(overlaps: Overlaps, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, shingle) of the rarest shingles of each set: as many as it takes that similar sets have one in common.
+
+    A set of n shares at least its ceil(threshold * n) with a similar one, so of the n - ceil(threshold * n) + 1 first
+    in an order of all shingles one is shared, and it is among the first of the other set as well.
+    """
+    sizes = np.diff(overlaps.starts)
+    order = np.argsort(np.bincount(overlaps.ids), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    ranks = rank[overlaps.ids]
+    ranks = ranks[np.lexsort((ranks, of))]
+    first = np.arange(len(of)) - overlaps.starts[of] < (sizes - -(-hundredths * sizes // 100) + 1)[of]
+    return of[first], ranks[first]
+
+
+def candidates(overlaps: Overlaps, left: np.ndarray, right: np.ndarray, hundredths: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(set of left, places in right) of the sets that have one of their rarest shingles in common; sets of left without any are left out."""
+    of, rank = prefixes(overlaps, hundredths)
+    place = np.full(len(overlaps.starts) - 1, -1, np.int64)
+    place[right] = np.arange(len(right))
+    theirs = place[of] >= 0
+    at, held = place[of[theirs]], rank[theirs]
+    order = np.argsort(held, kind="stable")
+    at, held = at[order], held[order]
+    lo, hi = np.searchsorted(held, rank, "left"), np.searchsorted(held, rank, "right")
+    begin = np.searchsorted(of, np.arange(len(place) + 1))
+    for i in left.tolist():
+        starts, counts = lo[begin[i] : begin[i + 1]], (hi - lo)[begin[i] : begin[i + 1]]
+        total = int(counts.sum())
+        if total > 4 * len(right):
+            yield i, np.arange(len(right))
+        elif total:
+            yield i, np.unique(at[common.ranges(starts, counts)])
+
+
+def _able(texts: DataFrame, shingles_: int, size: int, threshold: float) -> DataFrame:
+    """The nodes of texts that may be similar to another: those with enough shingles that the sketch estimates in two or more of them."""
+    bits = min(max(int(shingles_).bit_length(), OPEN_BITS[0]), OPEN_BITS[1])
+    texts = texts.select("node", "text")
+
+    def picks(batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
+        sets = shingles(*common.text_bytes(batch), size)
+        return np.concatenate(sets), sum(map(len, sets))
+
+    held, _ = count_min.repeated(texts, picks, bits)
+    told = texts.sparkSession.sparkContext.broadcast(held)  # count_min.DEPTH << bits bits, of a bounded number
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.small_batches(batches, limit=2 << 20):
+            sets = shingles(*common.text_bytes(batch), size)
+            shared = [int(np.count_nonzero(count_min.estimated_repeated(told.value, s, bits))) for s in sets]
+            able = pa.array([100 * k >= round(threshold * 100) * len(s) for k, s in zip(shared, sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(able)], names=["node"])
+
+    return texts.mapInArrow(common.tidy(test), common.schema("node long"))
+
+
+def _further(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame | None:
+    """Links across components within a bucket that pivots have missed: enough of them to join what belongs together; None if no bucket is open.
 
     Outsiders of a bucket (members that aren't in its largest component) meet its members block by block: a bucket of n
     members with o outsiders makes about n * o / BLOCK + o * n / BLOCK rows, n + o where it is no larger than a block.
+    Members that can't be similar to any other are no part of this.
     """
-    known = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+    known = members.filter(F.col("n") > SMALL).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def opened(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+        return sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("count", -F.col("component"), "shingles")).alias("main"), F.sum("count").alias("rows"), F.sum("shingles").alias("shingles")).filter("parts > 1")
+
+    first = common.keep(known.join(opened(known).select("bucket"), "bucket"), "open")
+    nodes = first.select("node", "n_shingles").distinct()
+    total = nodes.agg(F.sum("n_shingles")).first()[0]
+    if total is None:
+        return None
+    able = common.keep(_able(texts.join(nodes, "node", "left_semi"), total, size, threshold), "able")
+    left = first.join(able, "node", "left_semi")
     cut = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("count", -F.col("component"), "shingles")).alias("main"), F.sum("count").alias("rows"), F.sum("shingles").alias("shingles")).filter(f"parts > 1 AND rows > {SMALL}")
-    grid = several.select("bucket", (-F.col("main.col2")).alias("main"), cut(F.col("rows"), F.col("shingles")).alias("k"), cut(F.col("rows") - F.col("main.count"), F.col("shingles") - F.col("main.shingles")).alias("o"))
-    open_ = known.join(grid, "bucket")
+    grid = opened(left).select("bucket", (-F.col("main.col2")).alias("main"), cut(F.col("rows"), F.col("shingles")).alias("k"), cut(F.col("rows") - F.col("main.count"), F.col("shingles") - F.col("main.shingles")).alias("o"))
+    open_ = left.join(grid, "bucket")
     # each block of outsiders meets each block of its bucket once
     part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -330,14 +407,17 @@ def _further(members: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
         right = np.flatnonzero(side == 1)
         overlaps = Overlaps(held)
         a, b = [], []
-        for i in np.flatnonzero(side == 0).tolist():
-            at = np.flatnonzero((comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]) - 1e-9))
+        for i, at in candidates(overlaps, np.flatnonzero(side == 0), right, similar.hundredths):
+            at = at[(comp[right[at]] != comp[i]) & (np.minimum(n[right[at]], n[i]) >= threshold * np.maximum(n[right[at]], n[i]) - 1e-9)]
             if band and len(at):
                 at = at[~(bands[right[at]] == bands[i]).all(axis=2).any(axis=1)]
             lost = [likelihood(regs[i : i + 1], regs[mine], np.full(len(mine), float(n[i])), n[mine].astype(float), threshold, points=_COARSE)[1] for mine in np.split(right[at], range(512, len(at), 512))] if len(at) else []
             at = at[np.concatenate(lost) <= MARGIN] if lost else at
             if len(at):
-                at = at[similar.enough(overlaps.shared(i)[right[at]], n[i], n[right[at]])]
+                mine = right[at]
+                few = 8 * int(n[mine].sum() + n[i] * len(mine)) < len(overlaps.ids)
+                shared = np.array([_shared(held[i], held[r]) for r in mine.tolist()]) if few else overlaps.shared(i)[mine]
+                at = at[similar.enough(shared, n[i], n[mine])]
             for r in right[at].tolist():
                 x, y = root(int(comp[i])), root(int(comp[r]))
                 if x != y and similar.confirmed(i, r):
@@ -369,9 +449,11 @@ def _labelled(source: DataFrame, shingle: int, threshold: float) -> DataFrame:
     links = common.keep(_verified(likely, texts, shingle, threshold), "links")
     found = common.keep(components(links, "a", "b"), "components")
     labels = classes.select("node", "n_shingles").join(found, "node", "left")
-    more = common.keep(_further(members, labels, texts, shingle, threshold), "further")
-    if not more.isEmpty():
-        found = common.keep(components(links.unionByName(more), "a", "b"), "components")
+    further = _further(members, labels, texts, shingle, threshold)
+    if further is not None:
+        more = common.keep(further, "further")
+        if not more.isEmpty():
+            found = common.keep(components(links.unionByName(more), "a", "b"), "components")
     ids = found.join(classes.select("node", "doc_id"), "node")
     named = ids.select("node", "component").join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
     every_class = classes.select("digest", "node", "doc_id").join(named, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))

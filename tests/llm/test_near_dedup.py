@@ -69,6 +69,56 @@ def test_blocks_find_what_pivots_miss(spark):
     assert sorted(tuple(r) for r in N.link(df, shingle=2).collect()) == expected(rows, 2)
 
 
+def template(rng, n, common=100, own=20, near=0):
+    """n texts of one template, each with words of its own among the common ones; `near` of them twice, with a word changed."""
+    base, out = [f"t{i}" for i in range(common)], []
+    for k in range(n):
+        words = list(base)
+        for _ in range(own):
+            words.insert(rng.randrange(len(words) + 1), f"o{rng.randrange(10**9)}")
+        out.append(" ".join(words))
+        if k < near:
+            out.append(edited(rng, words, 1))
+    return out
+
+
+def test_template_texts(spark):
+    """Texts just under the threshold share buckets; the near copies among them are found, the others are left alone."""
+    rng = random.Random(4)
+    texts = template(rng, 150, own=12, near=12) + template(rng, 60, common=90, own=9)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in N.link(df, shingle=2).collect())
+    assert got == expected(rows, 2) and sum(not kept for *_, kept in got) >= 12
+
+
+def compared(texts):
+    sets = [s for t in texts for s in N.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 2)]
+    every = np.arange(len(sets))
+    return sum(len(at) - 1 for _, at in N.candidates(N.Overlaps(sets), every, every, 80))
+
+
+def test_comparisons_of_template_texts_are_linear():
+    """Doubling the texts of a template doubles the comparisons at most (all pairs: four times), and near copies are compared."""
+    for own in (20, 28):
+        counts = [compared(template(random.Random(5), n, own=own, near=n // 10)) for n in (500, 1000, 2000)]
+        assert all(c <= 4 * n for c, n in zip(counts, (500, 1000, 2000), strict=True)) and counts[0] >= 2 * 50
+        assert all(y <= 2.2 * x for x, y in zip(counts, counts[1:], strict=False))
+
+
+def test_candidates_lose_no_similar_pair():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(120)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) > 0.1], s[:1])) for s in sets]
+    every = np.arange(len(sets))
+    found = {(i, int(r)) for i, at in N.candidates(N.Overlaps(sets), every, every, 80) for r in at}
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            shared = len(np.intersect1d(s, t))
+            assert 100 * shared < 80 * (len(s) + len(t) - shared) or (i, j) in found
+
+
 def test_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "q r s"), (None, None)], "doc_id long, text string")
     got = sorted(map(repr, (tuple(r) for r in N.link(df, shingle=2).collect())))
