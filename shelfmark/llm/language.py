@@ -7,7 +7,9 @@ probability favours.
 
 Training sees a bounded sample of labelled rows: SAMPLE documents, shared out to the labels and taken in the order of a
 hash of their id, with the same number of words at most from each, spliced into chains that switch between languages.
-Every label has a row in it, however rare. Prediction sees whole texts, as chains of CHAIN words.
+Of a column with more than MOST_LABELS labels the most frequent are taught, each has a row in the sample, and the weight
+table has the fewer rows the more labels there are: a model has a fixed size. Prediction sees whole texts, as chains of
+CHAIN words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from . import common
 #: Labelled documents that training sees at most, and their words; words of a chain; size of the hashed weight table.
 SAMPLE, SAMPLE_WORDS, CHAIN, TABLE = 1500, 300_000, 128, 1 << 18
 EPOCHS, RATE, SEED = 5, 0.3, 13
+#: Labels that are taught at most; weights (of all labels) that a model has at most; label probabilities that are held at a time.
+MOST_LABELS, CELLS, AT_ONCE = 64, 1 << 22, 1 << 21
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -91,8 +95,9 @@ class Model:
         out = np.zeros_like(scores)
         lengths = chain_ends - chain_starts
         order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), 2048):
-            mine = order[i : i + 2048]
+        step = 2048 * 8 // max(8, len(self.labels))
+        for i in range(0, len(order), step):
+            mine = order[i : i + step]
             out_index, p, _, _ = forward_backward(scores, self.moves, chain_starts[mine], lengths[mine])
             out[out_index] = p
         return out
@@ -134,6 +139,7 @@ def train(texts: list[tuple[str, str]], size: int = TABLE, chain: int = CHAIN, e
     if not labels:
         return None
     index = {label: i for i, label in enumerate(labels)}
+    size = min(size, 1 << (max(CELLS // len(labels), 2).bit_length() - 1))
     rng = np.random.Generator(np.random.PCG64(SEED))
     pieces: list[tuple[list[bytes], int]] = []
     total = 0
@@ -206,12 +212,15 @@ def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, words: int = SAMPLE_WORDS, most_labels: int = MOST_LABELS) -> Model | None:
     """Trains on at most `sample` labelled rows that aren't held out, of each label those first in the order of a hash of their id, and `words` words of them.
 
-    One task takes the sample, whose size is fixed, and gives the model; the driver holds nothing but that. None where no row has a label.
+    Taught are the `most_labels` labels (and no more than `sample`) with the most rows, ties to the lesser name. Of each
+    sampled text the first words are seen, as many as its share, and no more than 64 characters for each of them.
+    One task takes the sample, whose size is fixed, and gives the model (CELLS weights at most); the driver holds
+    nothing but that. None where no row has a label, the table has no such column, or is empty.
     """
-    chosen = sampled(docs, id_col, text_col, label_col, sample, words)
+    chosen = sampled(docs, id_col, text_col, label_col, sample, words, most_labels) if label_col in docs.columns else None
     if chosen is None:
         return None
 
@@ -221,17 +230,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.labels], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.moves.tobytes()], pa.binary())], names=["labels", "weights", "moves"])
 
-    got = chosen.repartition(1).mapInArrow(common.tidy(learn), common.schema("labels array<string>, weights binary, moves binary")).collect()  # a model of TABLE weights for each label
+    got = chosen.repartition(1).mapInArrow(common.tidy(learn), common.schema("labels array<string>, weights binary, moves binary")).collect()  # a model of CELLS weights at most
     if not got:
         return None
     n = len(got[0]["labels"])
     return Model(list(got[0]["labels"]), np.frombuffer(got[0]["weights"], np.float32).reshape(-1, n), np.frombuffer(got[0]["moves"], np.float32).reshape(n, n))
 
 
-def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, words: int) -> DataFrame | None:
+def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, words: int, most_labels: int = MOST_LABELS) -> DataFrame | None:
     """h, label, k, text of the rows to train on, each text cut to its share of the words; None if no row has a label."""
     rows = common.pair(docs.filter(~held_out(id_col)), id_col, text_col, F.col(label_col).cast("string").alias("label")).filter("text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a column of the model for each
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, min(most_labels, sample))).collect()}  # a column of the model for each
     if not counts:
         return None
     most = quotas(counts, sample)
@@ -267,10 +276,12 @@ LEAST = 0.4
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", label_col: str = "lang", least: float = LEAST) -> DataFrame:
     """Rows of docs with a predicted language (not `und`) and a score of at least `least`; the label column holds the prediction.
 
-    Without a model nothing can be told of a language: rows with a letter in their text stay as they are.
+    A label column that isn't one of strings, or is missing, is left as it is. Without a model nothing can be told of a
+    language: rows with a letter in their text stay as they are. Repeated rows stay or go together; an empty table
+    stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    has = label_col in docs.columns
+    has = label_col in docs.columns and docs.schema[label_col].dataType.typeName() == "string"
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(text_col).to_pylist()
@@ -300,11 +311,17 @@ def label_texts(model: Model | None, texts: list[str | None]) -> tuple[list[str]
         chains = -(-counts // model.chain)
         begin = np.repeat(first[:-1], chains) + model.chain * (common.ranges(np.zeros(len(chains), np.int64), chains))
         stop = np.minimum(begin + model.chain, np.repeat(first[1:], chains))
-        p = model.marginals(model.scores(raw, starts, ends), begin, stop).astype(np.float64)
         letters = np.concatenate(([0], np.cumsum(_LETTER[raw])))
-        p[letters[ends] == letters[starts]] = 0
-        sums = np.concatenate((np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)))
-        mean = sums[first[1:]] - sums[first[:-1]]
+        mean, text = np.zeros((len(known), len(model.labels))), np.repeat(np.arange(len(known)), counts)
+        # chains follow each other without a gap: as many at a time as AT_ONCE probabilities allow, one at least
+        part = stop // max(model.chain, AT_ONCE // len(model.labels))
+        for mine in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
+            lo, hi = begin[mine[0]], stop[mine[-1]]
+            at, base = slice(lo, hi), starts[lo]
+            p = model.marginals(model.scores(raw[base : ends[hi - 1]], starts[at] - base, ends[at] - base), begin[mine] - lo, stop[mine] - lo).astype(np.float64)
+            p[letters[ends[at]] == letters[starts[at]]] = 0
+            first_of = np.flatnonzero(np.append(True, text[lo + 1 : hi] != text[lo : hi - 1]))
+            mean[text[lo + first_of]] += np.add.reduceat(p, first_of, axis=0)
         best = mean.argmax(axis=1)
         top = mean[np.arange(len(best)), best] / np.maximum(mean.sum(axis=1), 1e-12)
         for i, b, s in zip(known, best.tolist(), top.tolist(), strict=True):

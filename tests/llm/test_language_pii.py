@@ -57,6 +57,30 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == 3
 
 
+def test_many_labels_take_fixed_room(spark):
+    """Of 3,000 labels the most frequent are taught; the model has no more weights than it may have, and others' rows teach nothing."""
+    rows = [(3 * i + k, f"word{i % 40} thing{i} text", f"l{i % 40:02}" if i < 400 else f"rare{i}") for i in range(3400) for k in range(1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.fit(df, most_labels=40)
+    assert got.labels == [f"l{i:02}" for i in range(40)] and got.weights.size <= L.CELLS and got.moves.shape == (40, 40)
+    assert len(L.fit(df, sample=7).labels) == 7
+    assert L.fit(df.drop("lang")) is None
+
+
+def test_parts_of_a_batch_agree_with_the_whole(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["the", "whing", "qué", "ciónado", "12", "ing"], k=rng.randrange(0, 700))) for _ in range(12)] + ["the", None, "|| the"]
+    whole = L.label_texts(model(), texts)
+    monkeypatch.setattr(L, "AT_ONCE", 1)
+    parts = L.label_texts(model(), texts)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=2e-6)
+
+
+def test_label_column_of_another_type(spark):
+    df = spark.createDataFrame([(1, "the whing the", 5), (2, "12", 6)], "doc_id long, text string, lang int")
+    assert [tuple(r) for r in L.keep_known(df, model()).collect()] == [(1, "the whing the", 5)]
+
+
 def brute(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
