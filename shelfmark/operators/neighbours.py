@@ -4,14 +4,16 @@ Centres come from the data: pivots of a bounded sample, farthest first, then the
 each. A row belongs to its nearest centre's cell; a cell is cut into rings by the distance to its centre and these into
 blocks of bounded size. What is kept of a cell is its least and greatest distance to every centre, and how far it stays
 on its own side of the plane between its centre and each other one. Two blocks meet only if neither the triangle
-inequality nor the planes tell them apart. A pair of blocks is one matrix product in single precision; what that leaves
-open is measured again in doubles, in the order of dimensions.
+inequality nor the planes tell them apart. Pairs of blocks are dealt to tasks on a grid (grid.py), so that what moves
+grows with the rows, and what a task finds is reduced there where pairs themselves aren't asked for. A pair of blocks is
+a few matrix products in single precision; what that leaves open is measured again in doubles, in the order of dimensions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .graph import roots
+from .grid import on_grid
 
 #: Rows of a block, at most so many bytes of them; rows of the sample; centres.
 BLOCK, BLOCK_BYTES, SAMPLE, CENTRES = 2048, 8 << 20, 4096, 256
+#: Rows whose products are made at once (their sums fit a byte); edges that a task holds before it reduces them.
+STRIP, EDGES = 255, 1 << 20
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -101,14 +107,44 @@ def _bounds(dealt: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 @dataclass
 class Side:
-    """A block's rows in the order of idx: ids, vectors, marks."""
+    """A block's rows in the order of idx: ids, vectors, marks; and what a task has found for them."""
 
     ids: np.ndarray
     emb: np.ndarray
     marks: np.ndarray
+    found: dict = field(default_factory=dict)
 
     def only(self, keep: np.ndarray) -> Side:
-        return Side(self.ids[keep], self.emb[keep], self.marks[keep])
+        return self if keep.all() else Side(self.ids[keep], self.emb[keep], self.marks[keep])
+
+    @cached_property
+    def norms(self) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.emb, self.emb, dtype=np.float64)
+
+    @cached_property
+    def big(self) -> bool:
+        return bool(np.abs(self.emb).max(initial=0) > 1e15)
+
+    def factor(self, first: bool, kind: type) -> np.ndarray:
+        """first @ second.T are the squared distances: (-2x, x^2, 1) and (y, 1, y^2)."""
+        at = ("factor", first, kind)
+        if at not in self.found:
+            one, norms = np.ones((len(self.ids), 1), kind), self.norms.astype(kind)[:, None]
+            self.found[at] = np.hstack((-2 * self.emb.astype(kind), norms, one) if first else (self.emb.astype(kind), one, norms))
+        return self.found[at]
+
+
+class Fold:
+    """What a task does with pairs of blocks: meet() gets each, leave() a block that is done in this task, end() comes last; each may give columns."""
+
+    def meet(self, a: Side, b: Side, own: bool) -> Iterator[list]:
+        return iter(())
+
+    def leave(self, side: Side, first: bool) -> Iterator[list]:
+        return iter(())
+
+    def end(self) -> Iterator[list]:
+        return iter(())
 
 
 class Blocks:
@@ -120,6 +156,7 @@ class Blocks:
         sides = [finite(left)] + ([] if self.same else [finite(right)])
         rows = sides[0] if self.same else sides[0].unionByName(sides[1])
         seen = rows.agg(F.count("*").alias("n"), F.max(F.size("emb")).alias("dim")).first()
+        self.size = seen["n"] * (4 * (seen["dim"] or 1) + 9)
         self.block = max(64, min(block, BLOCK_BYTES // (4 * max(seen["dim"] or 1, 1)))) if block == BLOCK else block
         names = [f"{s}_{x}" for s in "ab" for x in ("cell", "ring", "part")]
         if seen["n"] <= self.block:  # one block, which meets itself or the other side's
@@ -171,9 +208,10 @@ class Blocks:
         dealt = ringed.join(sizes, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int"))
         return dealt.select("cell", "ring", "part", "idx", "emb"), sizes.select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
-    def measured(self, step: Callable[[Side, Side, bool], Iterator[list[pa.Array]]], spec: str, marks: DataFrame | None = None) -> DataFrame:
-        """What step gives for the pairs of blocks that meet; it is told whether the block meets itself. marks (idx): rows that are marked."""
+    def measured(self, make: Callable[[], Fold], spec: str, marks: DataFrame | None = None) -> DataFrame:
+        """What a Fold of each task gives for the pairs of blocks that meet. marks (idx): rows that are marked."""
         names = [x.split()[0] for x in spec.split(", ")]
+        same = self.same
 
         def pack(table: pa.Table) -> pa.Table:
             idx = np.asarray(table["idx"], dtype=np.int64)
@@ -186,25 +224,26 @@ class Blocks:
             blocks = told.select("cell", "ring", "part", "idx", "emb", "mark").groupBy("cell", "ring", "part").applyInArrow(pack, "cell int, ring long, part int, ids binary, emb binary, marks binary")
             return written(blocks, "blocks")
 
-        ready = [packed(r) for r in self.rows]
-        both = self.meets
-        for s, blocks in zip("ab", (ready[0], ready[-1]), strict=True):
-            both = both.join(blocks.select(*[F.col(x).alias(f"{s}_{x}") for x in blocks.columns]), [f"{s}_{x}" for x in ("cell", "ring", "part")])
-        own = F.expr("a_cell = b_cell AND a_ring = b_ring AND a_part = b_part") if self.same else F.lit(False)
-        both = both.select(own.alias("own"), *[f"{s}_{x}" for s in "ab" for x in ("ids", "emb", "marks")])
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fold, held = make(), {}
+            told = lambda columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    side = []
-                    for s in "ab":
-                        ids, emb, mark = (batch.column(f"{s}_{x}")[i].as_buffer() for x in ("ids", "emb", "marks"))
-                        ids = np.frombuffer(ids, np.int64)
-                        side.append(Side(ids, np.frombuffer(emb, np.float32).reshape(len(ids), -1), np.frombuffer(mark, bool)))
-                    for out in step(side[0], side[1], batch.column("own")[i].as_py()):
-                        yield pa.RecordBatch.from_arrays(out, names=names)
+                    ids, emb, mark = (batch.column(x)[i].as_buffer() for x in ("ids", "emb", "marks"))
+                    ids, no = np.frombuffer(ids, np.int64), batch.column("no")[i].as_py()
+                    side = Side(ids, np.frombuffer(emb, np.float32).reshape(len(ids), -1), np.frombuffer(mark, bool))
+                    if batch.column("side")[i].as_py() == 0:
+                        held[no] = side
+                        continue
+                    for k in batch.column("met")[i].as_py():
+                        yield from map(told, fold.meet(held[k], side, same and k == no))
+                    yield from map(told, fold.leave(side, False))
+            for side in held.values():
+                yield from map(told, fold.leave(side, True))
+            yield from map(told, fold.end())
 
-        return both.mapInArrow(run, spec)
+        ready = [packed(r) for r in self.rows]
+        return on_grid(ready, self.meets, ["cell", "ring", "part"], [self.size] * len(ready), run, spec)
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -215,47 +254,181 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def near(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For some rows of x at a time: the first of them, which pairs surely are within eps, and which may be."""
-    big = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) > 1e15
-    a, b = (z.astype(np.float64) if big else z for z in (x, y))
-    na, nb = (np.einsum("ij,ij->i", z, z, dtype=np.float64) for z in (x, y))
-    unit = (x.shape[1] + 8) * (3e-16 if big else 1.3e-7)  # of a product's rounding
-    for i in range(0, len(x), 512):
-        size = na[i : i + 512, None] + nb[None, :]
-        over = size - 2.0 * (a[i : i + 512] @ b.T) - eps * eps
-        slack = unit * size
-        yield i, over < -slack, np.abs(over) <= slack
-
-
-def adjacency(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
-    out = np.zeros((len(x), len(y)), bool)
-    for i, sure, maybe in near(x, y, eps):
-        p, q = np.nonzero(maybe)
-        sure[p, q] = exact(x[i + p], y[q]) <= eps
+def near(a: Side, b: Side, eps: float) -> Iterator[tuple[int, np.ndarray, float]]:
+    """For some rows of a at a time: the first of them, squared distances of all b's rows, and how far any of these may be off."""
+    kind = np.float64 if a.big or b.big else np.float32
+    x, y = a.factor(True, kind), b.factor(False, kind)
+    top, unit = b.norms.max(initial=0), rounding(a, b)
+    for i in range(0, len(x), STRIP):
+        yield i, x[i : i + STRIP] @ y.T, unit * (a.norms[i : i + STRIP].max(initial=0) + top) + 1e-36 * x.shape[1]
+
+
+def rounding(a: Side, b: Side) -> float:
+    """A squared distance by product is off by so much of both squared lengths at most."""
+    return (a.emb.shape[1] + 8) * (3e-16 if a.big or b.big else 1.3e-7)
+
+
+def sorted_out(a: Side, b: Side, eps: float, i: int, far: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of far are surely within eps, and the places (p, q) of the others that measuring again shows to be."""
+    sure = far < eps * eps - slack
+    p, q = np.divmod(np.flatnonzero((far <= eps * eps + slack) & ~sure), far.shape[1])
+    if len(p):  # lengths differ: a pair's own may tell
+        own = rounding(a, b) * (a.norms[i + p] + b.norms[q]) + 1e-36 * (a.emb.shape[1] + 2)
+        over = far[p, q].astype(np.float64) - eps * eps
+        fine, open_ = over < -own, np.flatnonzero(np.abs(over) <= own)
+        fine[open_] = exact(a.emb[i + p[open_]], b.emb[q[open_]]) <= eps
+        p, q = p[fine], q[fine]
+    return sure, p, q
+
+
+def adjacency(a: Side, b: Side, eps: float) -> np.ndarray:
+    out = np.zeros((len(a.ids), len(b.ids)), bool)
+    for i, far, slack in near(a, b, eps):
+        sure, p, q = sorted_out(a, b, eps, i, far, slack)
+        sure[p, q] = True
         out[i : i + len(sure)] = sure
     return out
 
 
-def within(left: DataFrame, right: DataFrame, eps: float, same: bool = False, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance) of pairs at most eps apart; of one table with itself (same) with a < b.
+class Pairs(Fold):
+    """(a, b, distance) of all pairs; of one table with itself with a < b."""
 
-    Distances add squares in doubles, in the order of dimensions; vectors with a null, NaN or infinite value, or of
-    fewer dimensions than the longest, have no neighbours.
-    """
+    def __init__(self, eps: float, same: bool):
+        self.eps, self.same = eps, same
 
-    def step(a: Side, b: Side, own: bool) -> Iterator[list[pa.Array]]:
-        for i, sure, maybe in near(a.emb, b.emb, eps):
-            p, q = np.nonzero(sure | maybe)
+    def meet(self, a: Side, b: Side, own: bool) -> Iterator[list]:
+        for i, far, slack in near(a, b, self.eps):
+            p, q = np.divmod(np.flatnonzero(far <= self.eps * self.eps + slack), far.shape[1])
             if own:
                 p, q = p[q > p + i], q[q > p + i]
             d = exact(a.emb[i + p], b.emb[q])
             m, n = a.ids[i + p], b.ids[q]
-            fine = (d <= eps) & (m != n if same else True)
+            fine = (d <= self.eps) & (m != n if self.same else True)
             m, n, d = m[fine], n[fine], d[fine]
-            yield [pa.array(np.minimum(m, n) if same else m), pa.array(np.maximum(m, n) if same else n), pa.array(d)]
+            yield [np.minimum(m, n) if self.same else m, np.maximum(m, n) if self.same else n, d]
+
+
+class Nearest(Fold):
+    """(idx, n, other, distance) for rows of a, and of one table with itself of b too: how many neighbours a task has found, and the nearest, the first of equals.
+
+    Only rows that may be nearer than what is known are measured in doubles. Without `best` neighbours are only counted.
+    """
+
+    def __init__(self, eps: float, same: bool, best: bool = True):
+        self.eps, self.same, self.best = eps, same, best
+
+    def state(self, side: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if "nearest" not in side.found:
+            n = len(side.ids)
+            side.found["nearest"] = np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n, np.int64)
+        return side.found["nearest"]
+
+    def meet(self, a: Side, b: Side, own: bool) -> Iterator[list]:
+        (count_a, _, _), (count_b, _, _) = self.state(a), self.state(b)
+        alike = own or self.same and len(np.intersect1d(a.ids, b.ids))
+        both = self.same and not own
+        for i, far, slack in near(a, b, self.eps):
+            rows = slice(i, i + len(far))
+            if alike:
+                far[a.ids[rows, None] == b.ids[None, :]] = np.inf
+            sure, p, q = sorted_out(a, b, self.eps, i, far, slack)
+            count_a[rows] += np.count_nonzero(sure, axis=1) + np.bincount(p, minlength=len(far))
+            if both:
+                count_b += np.add.reduce(sure.view(np.uint8), axis=0, dtype=np.uint8)
+                count_b += np.bincount(q, minlength=len(b.ids))
+            if self.best:
+                self.nearer(a, b, far, i, slack, 1)
+                if both:
+                    self.nearer(a, b, far, i, slack, 0)
+        return iter(())
+
+    def nearer(self, a: Side, b: Side, far: np.ndarray, i: int, slack: float, axis: int) -> None:
+        """Betters what is known of a's rows (axis 1) or b's (axis 0)."""
+        _, distance, other = self.state(a if axis else b)
+        base = i if axis else 0
+        least = far.min(axis=axis)
+        known = distance[base : base + len(least)]
+        at = np.flatnonzero((least <= self.eps * self.eps + slack) & (least - 2 * slack <= known * known * (1 + 1e-6)))
+        if not len(at):
+            return
+        p, q = np.nonzero((far[at] if axis else far[:, at].T) <= (least[at] + 2 * slack)[:, None])
+        p = at[p]
+        d = exact(a.emb[i + p], b.emb[q]) if axis else exact(b.emb[p], a.emb[i + q])
+        ids = b.ids[q] if axis else a.ids[i + q]
+        order = np.lexsort((ids, d, p))
+        order = order[np.concatenate(([True], np.diff(p[order]) > 0))]
+        p, d, ids = base + p[order], d[order], ids[order]
+        fine = (d <= self.eps) & ((d < distance[p]) | ((d == distance[p]) & (ids < other[p])))
+        distance[p[fine]], other[p[fine]] = d[fine], ids[fine]
+
+    def leave(self, side: Side, first: bool) -> Iterator[list]:
+        if "nearest" in side.found and (first or self.same):
+            n, distance, other = side.found["nearest"]
+            some = n > 0
+            yield [side.ids[some], n[some], other[some], distance[some]]
+
+
+class Linked(Fold):
+    """(kind, a, b): as kind 0 the components of marked rows that a task sees, as stars; as kind 1 (row that isn't marked, its marked neighbour).
+
+    With every row taken as marked there is kind 0 only.
+    """
+
+    def __init__(self, eps: float, every: bool):
+        self.eps, self.every, self.edges, self.many = eps, every, [], 0
+
+    def meet(self, a: Side, b: Side, own: bool) -> Iterator[list]:
+        core_a, core_b = (a, b) if self.every else (self.marked(a, True), self.marked(b, True))
+        met = adjacency(core_a, core_b, self.eps)
+        if own:
+            np.fill_diagonal(met, False)
+        self.edges.append(stars(met, core_a.ids, core_b.ids, own))
+        self.many += len(self.edges[-1][0])
+        if self.many > EDGES:
+            self.reduce()
+        if not self.every:
+            for outer, inner in ((self.marked(a, False), core_b), *([] if own else [(self.marked(b, False), core_a)])):
+                p, q = np.nonzero(adjacency(outer, inner, self.eps))
+                yield [np.ones(len(p), np.int32), outer.ids[p], inner.ids[q]]
+
+    def marked(self, side: Side, core: bool) -> Side:
+        if core not in side.found:
+            side.found[core] = side.only(side.marks == core)
+        return side.found[core]
+
+    def reduce(self) -> None:
+        nodes, least = roots(*(np.concatenate([e[k] for e in self.edges]) for k in (0, 1)))
+        some = nodes != least
+        self.edges = [(least[some], nodes[some])]
+        self.many = 0  # edges since
+
+    def end(self) -> Iterator[list]:
+        if self.edges:
+            self.reduce()
+            u, v = self.edges[0]
+            yield [np.zeros(len(u), np.int32), u, v]
+
 
-    return Blocks(left, None if same else right, eps, block).measured(step, "a long, b long, distance double")
+def within(left: DataFrame, right: DataFrame, eps: float, same: bool = False, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance) of pairs at most eps apart; of one table with itself (same) with a < b.
+
+    Distances add squares in doubles, in the order of dimensions; vectors with a null, NaN or infinite value, or of
+    fewer dimensions than the longest, have no neighbours.
+    """
+    return Blocks(left, None if same else right, eps, block).measured(lambda: Pairs(eps, same), "a long, b long, distance double")
+
+
+def nearest_within(left: DataFrame, right: DataFrame | None, eps: float, best: bool = True, block: int = BLOCK) -> DataFrame:
+    """(idx, n, other, distance): for each row of left that has neighbours in right (None: others of left) how many within eps, and the nearest one, the first of equals.
+
+    The pairs themselves are never written: a task gives one row for each of its rows. Without best there are idx and n only.
+    """
+    blocks, same = Blocks(left, right, eps, block), right is None
+    found = blocks.measured(lambda: Nearest(eps, same, best), "idx long, n long, other long, distance double")
+    n = F.sum("n").alias("n")
+    if not best:
+        return found.groupBy("idx").agg(n)
+    return found.groupBy("idx").agg(n, F.min(F.struct("distance", "other")).alias("m")).select("idx", "n", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
 
 
 def stars(near_: np.ndarray, a: np.ndarray, b: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:

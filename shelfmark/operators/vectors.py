@@ -17,7 +17,7 @@ from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import written
 from .graph import FEW, components
-from .neighbours import BLOCK, Blocks, Side, adjacency, stars, within
+from .neighbours import BLOCK, Blocks, Linked, Nearest, nearest_within, within
 from .relational import numbered
 
 
@@ -52,44 +52,21 @@ def dbscan(vectors: DataFrame, eps: float = EPS, min_points: float = MIN_POINTS,
     its seed is the first of them. Any other point joins the cluster with the smallest seed s that it has a core
     neighbour c in, if it comes after s or c is s itself; else it is noise.
 
-    The neighbour graph is never written: a pair of blocks gives its components as stars (fewer edges than it has
+    The neighbour graph is never written: a task gives the components among its rows as stars (fewer edges than it has
     rows), its rows' numbers of neighbours, and the core neighbours of points that aren't core (fewer than min_points
     each).
     """
     need = max(2.0, min_points) if np.isfinite(min_points) else 2.0
     rows = valid(vectors)
     blocks = Blocks(rows, None, eps, block)
-
-    def linked(a: Side, b: Side, own: bool):
-        yield [pa.array(x) for x in stars(adjacency(a.emb, b.emb, eps) & ~(np.eye(len(a.ids), dtype=bool) if own else False), a.ids, b.ids, own)]
-
-    def counted(a: Side, b: Side, own: bool):
-        met = adjacency(a.emb, b.emb, eps)
-        if own:
-            np.fill_diagonal(met, False)
-            yield [pa.array(a.ids), pa.array(met.sum(axis=1, dtype=np.int64))]
-        else:
-            yield [pa.array(np.concatenate((a.ids, b.ids))), pa.array(np.concatenate((met.sum(axis=1, dtype=np.int64), met.sum(axis=0, dtype=np.int64))))]
-
-    def cores_and_borders(a: Side, b: Side, own: bool):
-        """kind 0: stars of core points; kind 1: (point that isn't core, core neighbour)."""
-        core_a, core_b = a.only(a.marks), b.only(b.marks)
-        met = adjacency(core_a.emb, core_b.emb, eps)
-        if own:
-            np.fill_diagonal(met, False)
-        u, v = stars(met, core_a.ids, core_b.ids, own)
-        yield [pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v)]
-        for outer, inner in ((a.only(~a.marks), core_b), *([] if own else [(b.only(~b.marks), core_a)])):
-            p, q = np.nonzero(adjacency(outer.emb, inner.emb, eps))
-            yield [pa.array(np.ones(len(p), np.int32)), pa.array(outer.ids[p]), pa.array(inner.ids[q])]
-
+    spec = "kind int, a long, b long"
     if need <= 2:  # whoever has a neighbour is core
-        edges = blocks.measured(linked, "a long, b long")
+        edges = blocks.measured(lambda: Linked(eps, True), spec)
         named = written(components(edges, "a", "b", few=FEW).select(F.col("node").alias("idx"), F.col("component").alias("seed")), "seeds")
     else:
-        counts = blocks.measured(counted, "idx long, n long").groupBy("idx").agg(F.sum("n").alias("n"))
+        counts = blocks.measured(lambda: Nearest(eps, True, False), "idx long, n long, other long, distance double").groupBy("idx").agg(F.sum("n").alias("n"))
         core = written(counts.filter(F.col("n") + 1 >= need).select("idx"), "core")
-        edges = written(blocks.measured(cores_and_borders, "kind int, a long, b long", core), "core-edges")
+        edges = written(blocks.measured(lambda: Linked(eps, False), spec, core), "core-edges")
         found = components(edges.filter("kind = 0"), "a", "b", few=FEW).withColumnRenamed("node", "idx")
         cores = written(core.join(found, "idx", "left").select("idx", F.coalesce("component", "idx").alias("seed")), "seeds")
         border = edges.filter("kind = 1").select(F.col("a").alias("idx"), F.col("b").alias("c")).join(cores.select(F.col("idx").alias("c"), "seed"), "c")
@@ -146,13 +123,13 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return rows.repartition("label").sortWithinPartitions("label", "idx", "emb", "w").mapInArrow(run, spec)
 
 
-def _carry_candidates(found: DataFrame, known: DataFrame, eps: float) -> DataFrame:
-    return within(valid(found), valid(known), min(0.6, max(0.2, 0.9 * eps)))
+def _carried(found: DataFrame, known: DataFrame, eps: float) -> DataFrame:
+    return nearest_within(valid(found), valid(known), min(0.6, max(0.2, 0.9 * eps)))
 
 
 def carried_labels(found: DataFrame, known: DataFrame, eps: float = EPS) -> DataFrame:
     """(idx, known_idx): for each new centroid the nearest known one within 0.9 eps (held between 0.2 and 0.6); the first of equals."""
-    return _carry_candidates(found, known, eps).groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("known_idx"))
+    return _carried(found, known, eps).select("idx", F.col("other").alias("known_idx"))
 
 
 def replaced_people(faces: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,8 +262,7 @@ def carry_over(c: Catalog) -> DataFrame:
     twos = c.embeddings.select(F.col("vec_id"), F.col("embedding"))
     pairs = twos.filter("vec_id % 2 = 0").join(twos.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
     known = pairs.select(F.floor(F.col("vec_id") / 2).alias("idx"), F.zip_with("embedding", "other", lambda x, y: ((x.cast("double") + y.cast("double")) * 0.25).cast("float")).alias("emb"))
-    near = written(_carry_candidates(rows, known, EPS), "carry-candidates")
-    return near.groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("known_idx"), F.count("*").alias("candidates"))
+    return _carried(rows, known, EPS).select("idx", F.col("other").alias("known_idx"), F.col("n").alias("candidates"))
 
 
 @query("v10_clustered_faces", "SELECT id FROM faces WHERE quality_score >= 0.5 AND least(w, h) >= 60 AND w / h BETWEEN 0.5 AND 2")
