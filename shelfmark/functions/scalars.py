@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 
 
 def human_bytes(n: Column) -> Column:
-    """1536 -> '1.5 KB': below 1024 whole bytes, then two decimals without trailing zeros; the last unit is TB."""
-    v = n.cast("double")
-    text = lambda power: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", v / 1024.0**power), "0+$", ""), r"\.$", "")
-    out = F.when(v < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    """1536 -> '1.5 KB': below 1024 whole bytes, then two decimals without trailing zeros; the last unit is TB; null stays null.
+
+    Decimals are rounded exactly, halves to the even digit, as printf does: in whole numbers, as format_string() rounds halves up.
+    """
+    v = n.cast("long")
+
+    def text(power: int) -> Column:
+        unit = 1 << 10 * power
+        share = (v % unit) * 100  # in hundredths of a unit, times the unit
+        part, rest = F.shiftright(share, 10 * power), share % unit
+        cents = part + F.when((rest > unit // 2) | ((rest == unit // 2) & (part % 2 == 1)), 1).otherwise(0)
+        whole = F.shiftright(v, 10 * power) + F.when(cents == 100, 1).otherwise(0)
+        digits = F.regexp_replace(F.lpad((cents % 100).cast("string"), 2, "0"), "0+$", "")
+        return F.concat(whole.cast("string"), F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)))
+
+    out = F.when(v < 1024, F.concat(v.cast("string"), F.lit(" B")))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(v < 1024.0 ** (power + 1), F.concat(text(power), F.lit(f" {unit}")))
+        out = out.when(v < 1 << 10 * (power + 1), F.concat(text(power), F.lit(f" {unit}")))
     return out.otherwise(F.concat(text(4), F.lit(" TB")))
 
 

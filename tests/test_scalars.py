@@ -25,6 +25,14 @@ def test_human_bytes(spark):
     assert values(spark, S.human_bytes, [0, 1023, 1024, 1536, 1048576, 1024**3 * 5 // 2, 1024**5 * 3], "long") == ["0 B", "1023 B", "1 KB", "1.5 KB", "1 MB", "2.5 GB", "3072 TB"]
 
 
+def test_human_bytes_rounds_halves_to_even(spark, duck):
+    """Exact halves of a hundredth, what is just beside them, and what rounds up to a whole unit, against printf of the other engine."""
+    sizes = [k * 1024**p + d * 1024**p // 1024 + e for p in (1, 2, 3) for k in (1, 2, 77, 1023) for d in (128, 384, 640, 896, 1023) for e in (-1, 0, 1)]
+    want = [duck.execute(f"SELECT rtrim(rtrim(printf('%.2f', {n} / {1024**p}e0), '0'), '.')").fetchone()[0] + unit for n in sizes for p, unit in [next((p, u) for p, u in ((1, " KB"), (2, " MB"), (3, " GB")) if n < 1024 ** (p + 1))]]
+    assert values(spark, S.human_bytes, sizes, "long") == want
+    assert values(spark, S.human_bytes, [1152, None], "long") == ["1.12 KB", None]
+
+
 def test_parse_size(spark):
     assert values(spark, S.parse_size, ["10", "1.5 KB", "2g", "1 TB", "3b", "", "x", "-1", "1.2.3 MB", None]) == [10, 1536, 2 * 1024**3, 1024**4, 3, 0, 0, 0, 0, 0]
 
