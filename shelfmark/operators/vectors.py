@@ -272,10 +272,7 @@ def clustered_faces(c: Catalog) -> DataFrame:
 
 @query("j12_nearest_under_threshold", "SELECT idx, arg_min(other, [d, CAST(other AS DOUBLE)]) AS nearest FROM (SELECT x.vec_id AS idx, y.vec_id AS other, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y WHERE x.vec_id <> y.vec_id) WHERE d <= 1.2 GROUP BY idx")
 def nearest(c: Catalog, eps: float = 1.2) -> DataFrame:
-    rows = _vectors(c)
-    pairs = within(rows, rows, eps, same=True)
-    near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    return near.groupBy(F.col("a").alias("idx")).agg(F.min_by("b", F.struct("distance", "b")).alias("nearest"))
+    return nearest_within(_vectors(c), None, eps).select("idx", F.col("other").alias("nearest"))
 
 
 @query("v6_new_generation", f"{_DBSCAN} SELECT label AS id, count(*) AS face_count FROM labels WHERE label >= 0 GROUP BY label")
