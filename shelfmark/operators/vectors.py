@@ -211,8 +211,7 @@ def eps_join(c: Catalog, eps: float = 1.15) -> DataFrame:
 
 @query("v1_neighbour_counts", f"SELECT a AS idx, count(*) AS neighbours FROM (SELECT a, b FROM ({_EDGE_SQL}) UNION ALL SELECT b, a FROM ({_EDGE_SQL})) GROUP BY a")
 def neighbour_counts(c: Catalog, eps: float = 1.15) -> DataFrame:
-    edges = eps_join(c, eps)
-    return edges.select(F.col("a").alias("idx")).union(edges.select("b")).groupBy("idx").agg(F.count("*").alias("neighbours"))
+    return nearest_within(_vectors(c), None, eps, best=False).withColumnRenamed("n", "neighbours")
 
 
 _DBSCAN = f"""WITH RECURSIVE e AS ({_EDGE_SQL}), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
