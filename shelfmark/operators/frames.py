@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.scratch import written
+from .grid import on_grid
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the step tables of the pairs that are aligned together; frames of a block; comparisons held at once.
 CELLS, FRAMES, HELD = 1 << 23, 2048, 1 << 21
+#: Frames of a block where durations have no tolerance; bits that a piece of a hash has at least, so that equal pieces are worth looking up.
+SPAN, PIECE = 8192, 8
 NONE = {"score": 0.0, "matched": 0, "aligned": 0, "mean_hamming": float("inf"), "coverage_a": 0.0, "coverage_b": 0.0, "coverage_short": 0.0, "start_a": -1, "start_b": -1, "offset_a": None, "offset_b": None}
 
 
@@ -136,13 +139,18 @@ def _align(pairs: list, which: list[int], n: int, m: int, threshold: float, out:
             out[p] = {"score": float(best[k]), "matched": hit, "aligned": int(aligned[k]), "mean_hamming": mean, "coverage_a": hit / len(a), "coverage_b": hit / len(b), "coverage_short": hit / min(len(a), len(b)), "start_a": sa, "start_b": sb, "offset_a": a[sa][0], "offset_b": b[sb][0]}
 
 
-def packed(videos: DataFrame, frames: DataFrame, bucket: int) -> DataFrame:
-    """Whole videos in blocks of about FRAMES frames of one duration bucket (a longer video is a block of its own or makes its block longer).
+def packed(videos: DataFrame, frames: DataFrame, bucket: int, size: int = FRAMES, merged: bool = False) -> DataFrame:
+    """Whole videos in blocks of about `size` frames of one duration bucket (a longer video is a block of its own or makes its block longer).
 
-    bucket, part, and of the block's videos ids, durations, the number of frames of each, and all their hashes.
+    bucket, part, and of the block's videos ids, durations, the number of frames of each, and all their hashes. With
+    merged, as many neighbouring buckets count as one as hold `size` frames on average.
     """
     told = frames.select("id", "phash").join(videos.select("id", "duration_sec", S.duration_bucket(F.col("duration_sec"), bucket).alias("bucket")), "id")
-    sizes = told.groupBy("bucket").agg(F.ceil(F.count("*") / FRAMES).cast("int").alias("parts"))
+    if merged:
+        told = written(told, "frames")
+        seen = told.agg(F.count("*").alias("n"), (F.max("bucket").cast("double") - F.min("bucket") + 1).alias("buckets")).first()
+        told = told.withColumn("bucket", F.floor(F.col("bucket") / max(1, int(seen["buckets"] or 1) * size // max(seen["n"], 1))))
+    sizes = told.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     dealt = told.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "duration_sec", "phash")
 
     def pack(table: pa.Table) -> pa.Table:
@@ -160,6 +168,29 @@ def packed(videos: DataFrame, frames: DataFrame, bucket: int) -> DataFrame:
     return written(dealt.groupBy("bucket", "part").applyInArrow(pack, "bucket long, part int, width long, ids binary, seconds binary, sizes binary, words binary, masks binary"), "frame-blocks")
 
 
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of the 64-bit hashes within the threshold: cut into one piece more than bits may differ, these have an equal piece."""
+    pieces = int(threshold) + 1
+    edges = [64 * k // pieces for k in range(pieces + 1)]
+    found = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        u, v = ((z >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1) for z in (x, y))
+        order = np.argsort(v, kind="stable")
+        v = v[order]
+        first, last = np.searchsorted(v, u, "left"), np.searchsorted(v, u, "right")
+        ends = np.cumsum(last - first)
+        start = 0
+        while start < len(x):  # about HELD pairs at a time
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD, "right")))
+            n = (last - first)[start:stop]
+            p = np.repeat(np.arange(start, stop), n)
+            q = order[np.arange(n.sum()) + np.repeat(first[start:stop] - (np.cumsum(n) - n), n)]
+            near = np.flatnonzero(np.bitwise_count(x[p] ^ y[q]) <= threshold)
+            found.append(np.unique(p[near] * len(y) + q[near]))
+            start = stop
+    return np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(len(y), 1))
+
+
 def _counts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For each video of a and each of b: how many of a's frames have a match in b, and of b's in a."""
     width = max(a["words"].shape[1], b["words"].shape[1])
@@ -174,6 +205,12 @@ def _counts(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]
     ours, theirs = np.zeros((len(a["ids"]), len(b["ids"])), np.int64), np.zeros((len(a["ids"]), len(y)), bool)
     first = np.cumsum(b["sizes"]) - b["sizes"]
     own = np.repeat(np.arange(len(a["ids"])), a["sizes"])
+    if width == 1 and mx is None and my is None and 0 <= threshold and 64 // (int(threshold) + 1) >= PIECE:
+        p, q = alike(x[:, 0], y[:, 0], threshold)
+        n, his = len(b["ids"]), np.repeat(np.arange(len(b["ids"])), b["sizes"])
+        mine, other = np.unique(p * n + his[q]), np.unique(own[p] * len(y) + q)
+        count = lambda at: np.bincount(at, minlength=len(a["ids"]) * n).reshape(len(a["ids"]), n)
+        return count(own[mine // n] * n + mine % n), count(other // len(y) * n + his[other % len(y)])
     chunk = max(1, HELD // max(len(y), 1))
     for k in range(0, len(x), chunk):
         near = differing(x[k : k + chunk, None], y[None], None if mx is None else mx[k : k + chunk, None], None if my is None else my[None]) <= threshold
@@ -189,9 +226,9 @@ def screened(videos: DataFrame, frames: DataFrame, bucket: int, threshold: float
 
     With a tolerance, durations differ by that share at most and each pair is given both ways; without one, b is at
     least as long as a. A frame that an alignment matches has a match among the other's frames, so none is lost.
-    Blocks of buckets that can't hold such a pair never meet; of those that meet, whole blocks move, no single row.
+    Blocks of buckets that can't hold such a pair never meet; pairs of blocks are dealt to tasks on a grid (grid.py).
     """
-    blocks = packed(videos, frames, bucket)
+    blocks = packed(videos, frames, bucket) if tolerance is not None else packed(videos, frames, bucket, SPAN, merged=True)
     keys = blocks.select("bucket", "part")
     if tolerance is None:
         used = keys.select("bucket").distinct().agg(F.array_sort(F.collect_set("bucket")).alias("used"))  # one row, a number for each bucket of durations
@@ -199,34 +236,38 @@ def screened(videos: DataFrame, frames: DataFrame, bucket: int, threshold: float
     else:
         ways = keys.select(F.col("bucket").alias("a_bucket"), F.col("part").alias("a_part"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("b_bucket"))
     meets = ways.join(keys.select(F.col("bucket").alias("b_bucket"), F.col("part").alias("b_part")), "b_bucket").filter("a_bucket < b_bucket OR a_part <= b_part")
-    for s in "ab":
-        meets = meets.join(blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns]), [f"{s}_bucket", f"{s}_part"])
     slack = 1e-9
 
+    def met(a: dict, b: dict) -> pa.RecordBatch:
+        ours, theirs = _counts(a, b, threshold)
+        most = np.minimum(ours, theirs)
+        da, db = a["seconds"][:, None], b["seconds"][None, :]
+        found = []
+        for forth in (True, False):
+            na, nb = (a["sizes"][:, None], b["sizes"][None, :]) if forth else (b["sizes"][None, :], a["sizes"][:, None])
+            fine = (most >= least) & (most >= share_a * na - slack) & (most >= share_b * nb - slack) & (a["ids"][:, None] != b["ids"][None, :])
+            if tolerance is None:
+                short, long = (da, db) if forth else (db, da)
+                fine &= ~(long + 1e-6 < short)
+            else:
+                fine &= ~(np.abs(da - db) > tolerance * np.maximum(da, db) * (1 + slack) + slack)
+            p, q = np.nonzero(fine)
+            found.append((a["ids"][p], b["ids"][q]) if forth else (b["ids"][q], a["ids"][p]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                side = []
-                for s in "ab":
-                    width = batch.column(f"{s}_width")[row].as_py()
-                    got = lambda c, kind, s=s: np.frombuffer(batch.column(f"{s}_{c}")[row].as_buffer(), kind)
-                    masks = got("masks", np.uint64)
-                    side.append({"ids": got("ids", np.int64), "seconds": got("seconds", np.float64), "sizes": got("sizes", np.int64), "words": got("words", np.uint64).reshape(-1, width), "masks": masks.reshape(-1, width) if len(masks) else None})
-                a, b = side
-                ours, theirs = _counts(a, b, threshold)
-                most = np.minimum(ours, theirs)
-                da, db = a["seconds"][:, None], b["seconds"][None, :]
-                found = []
-                for forth in (True, False):
-                    na, nb = (a["sizes"][:, None], b["sizes"][None, :]) if forth else (b["sizes"][None, :], a["sizes"][:, None])
-                    fine = (most >= least) & (most >= share_a * na - slack) & (most >= share_b * nb - slack) & (a["ids"][:, None] != b["ids"][None, :])
-                    if tolerance is None:
-                        short, long = (da, db) if forth else (db, da)
-                        fine &= ~(long + 1e-6 < short)
-                    else:
-                        fine &= ~(np.abs(da - db) > tolerance * np.maximum(da, db) * (1 + slack) + slack)
-                    p, q = np.nonzero(fine)
-                    found.append((a["ids"][p], b["ids"][q]) if forth else (b["ids"][q], a["ids"][p]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
-
-    return meets.mapInArrow(run, "a long, b long").distinct()
+                width, no = batch.column("width")[row].as_py(), batch.column("no")[row].as_py()
+                got = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
+                masks = got("masks", np.uint64)
+                side = {"ids": got("ids", np.int64), "seconds": got("seconds", np.float64), "sizes": got("sizes", np.int64), "words": got("words", np.uint64).reshape(-1, width), "masks": masks.reshape(-1, width) if len(masks) else None}
+                if batch.column("side")[row].as_py() == 0:
+                    held[no] = side
+                    continue
+                for k in batch.column("met")[row].as_py():
+                    yield met(held[k], side)
+
+    size = blocks.agg(F.sum(F.length("words") + F.length("masks") + F.length("ids") * 3)).first()[0] or 0
+    return on_grid([blocks], meets.select(*[f"{s}_{x}" for s in "ab" for x in ("bucket", "part")]), ["bucket", "part"], [size], run, "a long, b long").distinct()

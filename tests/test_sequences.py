@@ -167,3 +167,38 @@ def test_candidates_grow_with_near_pairs(spark):
         v, f = catalogue(spark, random.Random(n), n)
         counts.append((R.screened(v, f, 120, 6, 0.7, 0.7, tolerance=0.1).count(), Q.near_duration_pairs(v, Q.SimilarConfig()).count()))
     assert counts[1][0] <= 3 * counts[0][0] and counts[1][1] > 3.5 * counts[0][1], counts
+
+
+def test_equal_pieces_find_all_matches():
+    """Hashes looked up by pieces are those that comparing all with all finds, copies and near copies among them."""
+    import numpy as np
+
+    from shelfmark.operators import frames as R
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    y = np.concatenate((x[:120], x[:120] ^ np.uint64(0x4100000000000421), x[100:180] ^ np.uint64(0x8100000000010C21), np.repeat(x[:1], 40)))
+    for threshold in (0.0, 4.5, 6.0):
+        p, q = R.alike(x, y, threshold)
+        want = np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= threshold)
+        assert (p.tolist(), q.tolist()) == (want[0].tolist(), want[1].tolist())
+    sides = [{"ids": np.arange(n), "sizes": np.full(n, len(z) // n), "words": z[:, None], "masks": None} for n, z in ((100, x), (36, y))]
+    fast = R._counts(*sides, 6.0)
+    usual, R.PIECE = R.PIECE, 65
+    try:
+        slow = R._counts(*sides, 6.0)
+    finally:
+        R.PIECE = usual
+    assert all((f == s).all() for f, s in zip(fast, slow, strict=True)) and fast[0].sum() > 0
+
+
+def test_short_buckets_share_a_block(spark, sf):
+    """Blocks are as many as frames fill, not as many as there are buckets of durations."""
+    from shelfmark.operators.frames import packed
+    from shelfmark.operators.sequences import demo_videos
+    from shelfmark.sources.catalog import Catalog
+
+    videos, frames = demo_videos(Catalog(spark, sf))
+    many, few = packed(videos, frames, 1), packed(videos, frames, 1, 200, merged=True)
+    n = frames.count()
+    assert few.count() <= 2 * n / 200 + 2 < many.count()
