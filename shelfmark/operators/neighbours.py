@@ -26,8 +26,10 @@ from .grid import on_grid
 
 #: Rows of a block, at most so many bytes of them; rows of the sample; centres.
 BLOCK, BLOCK_BYTES, SAMPLE, CENTRES = 2048, 8 << 20, 4096, 256
-#: Rows whose products are made at once (their sums fit a byte); edges that a task holds before it reduces them.
-STRIP, EDGES = 255, 1 << 20
+#: Rows whose products are made at once (their sums fit a byte); edges that a task holds before it reduces them (some 100 bytes each meanwhile).
+STRIP, EDGES = 255, 1 << 18
+#: Distances to centres (or values of rows, if these are more) that a task holds at once when it deals rows to cells.
+MEASURED = 1 << 18
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -63,36 +65,54 @@ def centres(sample: np.ndarray, most: int) -> np.ndarray:
     return np.stack([sample[near == k].mean(axis=0) if (near == k).any() else sample[c] for k, c in enumerate(chosen)])
 
 
+class Cells:
+    """What a task has seen of the cells of centres c: least and greatest distance to every centre, and how far a cell stays behind each plane."""
+
+    def __init__(self, c: np.ndarray):
+        k = len(c)
+        self.c, self.gap = c, np.sqrt(squares(c, c))
+        self.low, self.high, self.plane = np.full((k, k), np.inf), np.full((k, k), -np.inf), np.full((k, k), np.inf)
+
+    def deal(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's cell and the distance to its centre; some rows at a time, whatever the number of centres."""
+        cell, own, most = np.zeros(len(x), np.int32), np.zeros(len(x)), max(1, MEASURED // max(self.c.shape))
+        for i in range(0, len(x), most):
+            cell[i : i + most], own[i : i + most] = self._deal(x[i : i + most].astype(np.float64))
+        return cell, own
+
+    def _deal(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high, plane, gap = self.low, self.high, self.plane, self.gap
+        d2 = squares(x, self.c)
+        cell = np.argmin(d2, axis=1)
+        mine = d2[np.arange(len(x)), cell]
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) > 0)))
+        present = cell[order][first]
+        d = np.sqrt(d2[order])
+        low[present] = np.minimum(low[present], np.minimum.reduceat(d, first))
+        high[present] = np.maximum(high[present], np.maximum.reduceat(d, first))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            side = (d2[order] - mine[order][:, None]) / (2 * gap[cell[order]])
+        plane[present] = np.minimum(plane[present], np.minimum.reduceat(np.where(gap[cell[order]] > 0, side, 0.0), first))
+        return cell, np.sqrt(mine)
+
+
 def _dealt(rows: DataFrame, held) -> DataFrame:
     """Rows (kind 0) with their cell and the distance to its centre; bounds of the cells (kind 1), one for each task, cell and centre."""
     names = ["kind", "idx", "emb", "cell", "own", "other", "low", "high", "plane"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
-        k = len(c)
-        gap = np.sqrt(squares(c, c))
-        low, high, plane = np.full((k, k), np.inf), np.full((k, k), -np.inf), np.full((k, k), np.inf)
+        cells = Cells(held.value)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            d2 = squares(matrix(batch.column("emb"), n).astype(np.float64), c)
-            cell = np.argmin(d2, axis=1)
-            mine = d2[np.arange(n), cell]
-            order = np.argsort(cell, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) > 0)))
-            present = cell[order][first]
-            d = np.sqrt(d2[order])
-            low[present] = np.minimum(low[present], np.minimum.reduceat(d, first))
-            high[present] = np.maximum(high[present], np.maximum.reduceat(d, first))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                side = (d2[order] - mine[order][:, None]) / (2 * gap[cell[order]])
-            plane[present] = np.minimum(plane[present], np.minimum.reduceat(np.where(gap[cell[order]] > 0, side, 0.0), first))
+            cell, own = cells.deal(matrix(batch.column("emb"), n))
             none = pa.nulls(n, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("idx"), batch.column("emb"), pa.array(cell.astype(np.int32)), pa.array(np.sqrt(mine)), pa.nulls(n, pa.int32()), none, none, none], names=names)
-        at, other = np.nonzero(np.isfinite(low))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("idx"), batch.column("emb"), pa.array(cell), pa.array(own), pa.nulls(n, pa.int32()), none, none, none], names=names)
+        at, other = np.nonzero(np.isfinite(cells.low))
         n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float32())), pa.array(at.astype(np.int32)), pa.nulls(n, pa.float64()), pa.array(other.astype(np.int32)), *[pa.array(x[at, other]) for x in (low, high, plane)]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float32())), pa.array(at.astype(np.int32)), pa.nulls(n, pa.float64()), pa.array(other.astype(np.int32)), *[pa.array(x[at, other]) for x in (cells.low, cells.high, cells.plane)]], names=names)
 
     return rows.select(F.col("idx").cast("long").alias("idx"), "emb").mapInArrow(run, "kind int, idx long, emb array<float>, cell int, own double, other int, low double, high double, plane double")
 
