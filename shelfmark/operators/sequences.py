@@ -6,6 +6,7 @@ have enough matching frames, not with the square of a duration bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -19,6 +20,10 @@ from ..plans.define import query
 from ..sources.catalog import Catalog
 from ..sources.scratch import written
 from .frames import align_batch, screened
+from .relational import numbered
+
+#: Videos of a line, until there are LINES of them; videos of a line at most.
+LINE, LINES, MOST = 2048, 64, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -133,20 +138,34 @@ def similar_videos(videos: DataFrame, frames: DataFrame, cfg: SimilarConfig = Si
 def clip_parent_pairs(videos: DataFrame, cfg: SimilarConfig, ignored: DataFrame | None = None) -> DataFrame:
     """(a = clip, b = parent): the parent is at least as long, outside of the tolerance, and has as many frames at least.
 
-    A range join: the parent's bucket is any at or above the clip's, so clips are dealt to each bucket that holds a
-    video, and parents stay where they are.
+    Most pairs of a short and a long video are such, so the result itself grows with the square of the videos. Sorted by
+    duration they are cut into lines of equal size, and a task has the pairs of two lines: a video moves once for each
+    line, a task holds one line's clips while the other's videos pass by, and lines that leave no pair never meet.
     """
-    v = videos.filter(F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec")).withColumn("bucket", S.duration_bucket(F.col("duration_sec"), cfg.bucket))
-    used = v.select("bucket").distinct().agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # one row, a bucket for each `cfg.bucket` seconds of the longest video
-    clips = v.filter(F.col("frame_count") >= cfg.clip_frames).crossJoin(F.broadcast(used)).select(*[F.col(c).alias(f"a_{c}") for c in videos.columns], F.explode(F.filter("buckets", lambda b: b >= F.col("bucket"))).alias("bucket"))
-    both = clips.join(v.select(*[F.col(c).alias(f"b_{c}") for c in videos.columns], "bucket"), "bucket").drop("bucket")
-    return _clip_and_parent(both, cfg, ignored)
-
-
-def _clip_and_parent(both: DataFrame, cfg: SimilarConfig, ignored: DataFrame | None) -> DataFrame:
+    told = videos.filter(F.col("duration_sec").isNotNull() & ~F.isnan("duration_sec")).withColumn("place", F.struct("duration_sec", "id"))
+    v = written(numbered(told, "place", "no").drop("place"), "ranked")
+    n = v.count()
+    lines = max(min(-(-n // LINE), LINES), -(-n // MOST), 1)
+    v = v.withColumn("line", F.floor((F.col("no") - 1) * lines / max(n, 1)).cast("int")).withColumn("hash", F.xxhash64("file_hash")).drop("no")
+    ends = v.groupBy("line").agg(F.min("duration_sec").alias("lo"), F.max("duration_sec").alias("hi"))
+    dealt = ends.toDF("a_line", "a_lo", "a_hi").join(ends.toDF("b_line", "b_lo", "b_hi"), F.col("b_hi") + 1e-9 >= F.col("a_lo"))
+    alike = (F.least("a_lo", "b_lo") >= 0) & S.durations_within(F.least("a_lo", "b_lo"), F.greatest("a_hi", "b_hi"), cfg.tolerance * (1 - 1e-9))
+    apart = F.lit(cfg.tolerance < 1) & (F.col("b_lo") > 0) & (F.col("b_lo") < math.inf) & ((F.col("b_lo") - F.col("a_hi")) / F.col("b_lo") > max(cfg.tolerance, 0.0) + 1e-9)
+    dealt = written(dealt.filter(~alike).select("a_line", "b_line", (F.col("a_line") * lines + F.col("b_line")).alias("task"), apart.alias("apart")), "met")  # at most the square of the lines
+
+    def side(s: str, rows: DataFrame, *more: str) -> DataFrame:
+        named = rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns])
+        return named.join(F.broadcast(dealt.select(f"{s}_line", "task", *more)), f"{s}_line").drop(f"{s}_line").repartitionById(lines * lines, "task")
+
+    both = side("a", v.filter(F.col("frame_count") >= cfg.clip_frames)).hint("shuffle_hash").join(side("b", v, "apart"), "task")
+    return _clip_and_parent(both, cfg, ignored, "apart", "a_hash <> b_hash").drop("task", "apart", "a_hash", "b_hash")
+
+
+def _clip_and_parent(both: DataFrame, cfg: SimilarConfig, ignored: DataFrame | None, apart: str = "false", unlike: str = "false") -> DataFrame:
+    """Of the pairs those of clip and parent. apart, unlike: what tells without a closer look that durations differ enough, and files."""
     both = both.filter("a_duration_sec IS NOT NULL AND b_duration_sec IS NOT NULL AND NOT isnan(a_duration_sec) AND NOT isnan(b_duration_sec)").filter(F.col("a_frame_count") >= cfg.clip_frames)
-    both = both.filter("a_id <> b_id AND b_duration_sec + 1e-9 >= a_duration_sec AND a_frame_count <= b_frame_count").filter(~S.durations_within(F.col("a_duration_sec"), F.col("b_duration_sec"), cfg.tolerance))
-    both = both.filter("NOT coalesce(a_file_hash <> '' AND a_file_hash = b_file_hash, false)")
+    both = both.filter("a_frame_count <= b_frame_count AND a_id <> b_id").filter(F.expr(apart) | (F.expr("b_duration_sec + 1e-9 >= a_duration_sec") & ~S.durations_within(F.col("a_duration_sec"), F.col("b_duration_sec"), cfg.tolerance)))
+    both = both.filter(F.expr(unlike) | F.expr("NOT coalesce(a_file_hash <> '' AND a_file_hash = b_file_hash, false)"))
     if ignored is not None:
         both = both.join(ignored.select("a_id", "b_id").union(ignored.select("b_id", "a_id")), ["a_id", "b_id"], "left_anti")
     return both
@@ -272,7 +291,7 @@ def banded(c: Catalog) -> DataFrame:
 
 @query("j10_range_join", f"WITH v AS ({_V}) SELECT a.id AS a_id, b.id AS b_id FROM v a JOIN v b ON a.id <> b.id AND b.d >= a.d AND a.frames >= 4 AND a.frames <= b.frames AND abs(a.d - b.d) / greatest(a.d, b.d) > 0.1 WHERE b.frames > 0")
 def ranged(c: Catalog) -> DataFrame:
-    return clip_parent_pairs(demo_videos(c)[0], _CFG).select("a_id", "b_id")
+    return clip_parent_pairs(demo_videos(c)[0].drop("aggregate_hash", "file_size"), _CFG).select("a_id", "b_id")
 
 
 _SIZE = "1000 + {0}.id % 7 * 10 + {0}.id % 4"

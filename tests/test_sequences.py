@@ -5,6 +5,7 @@ import numpy as np
 
 from shelfmark.operators import frames as R
 from shelfmark.operators import sequences as Q
+from shelfmark.sources.scratch import written
 
 
 def frames(hashes, step=10.0):
@@ -202,3 +203,45 @@ def test_short_buckets_share_a_block(spark, sf):
     many, few = packed(videos, frames, 1), packed(videos, frames, 1, 200, merged=True)
     n = frames.count()
     assert few.count() <= 2 * n / 200 + 2 < many.count()
+
+
+VIDEO = "id long, duration_sec double, file_hash string, file_size long, aggregate_hash string, frame_count long"
+
+
+def test_no_task_has_most_clips_and_parents(spark, monkeypatch):
+    """Lines of 20 videos: a task has the pairs of two lines, and a video moves once for each line."""
+    monkeypatch.setattr(Q, "LINE", 20, raising=False)
+    v = spark.createDataFrame([(i, 100.0 + 130 * i, f"h{i}", 1, None, 8) for i in range(120)], VIDEO)
+    got = Q.clip_parent_pairs(v, Q.SimilarConfig()).select("a_id", "b_id", Q.F.spark_partition_id().alias("task")).collect()
+    want = {(a, b) for a in range(120) for b in range(a, 120) if 130 * (b - a) / (100 + 130 * b) > 0.1}
+    assert sorted((r["a_id"], r["b_id"]) for r in got) == sorted(want)
+    tasks = [r["task"] for r in got]
+    assert max(map(tasks.count, set(tasks))) <= 20 * 20
+
+
+def test_clips_and_parents_against_all_pairs(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    rng = random.Random(5)
+    seconds = [None, nan, -inf, -3.0, -0.5, 0.0, 0.0, 1e-10, 5e-10, 0.5, 80.0, 80.0, 88.0, 88.888888888888886, 88.9, 119.9999999999, 120.0, inf, inf, *[rng.choice([1.0, 40.0, 44.4, 300.0, 5000.0]) * rng.choice([1, 0.9, 1.1, 1.2]) for _ in range(40)]]
+    rows = [(i, d, rng.choice(["", None, "x", "y", f"h{i}", f"h{i}"]), 1, None, rng.choice([None, 3, 4, 8, 8])) for i, d in enumerate(seconds)]
+    told = [r for r in rows if r[1] is not None and r[1] == r[1] and r[5] is not None]
+    v = spark.createDataFrame(rows, VIDEO)
+    for tolerance, line in ((0.1, 1000), (0.1, 8), (0.0, 8), (1.5, 8)):
+        monkeypatch.setattr(Q, "LINE", line, raising=False)
+        cfg, within = Q.SimilarConfig(tolerance=tolerance), lambda a, b: max(a, b) <= 0 or abs(a - b) / max(a, b) <= tolerance  # noqa: B023
+        want = sorted((a[0], b[0]) for a in told for b in told if a[0] != b[0] and b[1] + 1e-9 >= a[1] and 4 <= a[5] <= b[5] and not within(a[1], b[1]) and not (a[2] and a[2] == b[2]))
+        assert sorted((r["a_id"], r["b_id"]) for r in Q.clip_parent_pairs(v, cfg).collect()) == want and want
+    ignored = {(min(p), max(p)) for p in want[::7]}
+    got = Q.clip_parent_pairs(v, cfg, spark.createDataFrame([*ignored], "a_id long, b_id long")).collect()
+    assert sorted((r["a_id"], r["b_id"]) for r in got) == [p for p in want if (min(p), max(p)) not in ignored]
+    assert Q.clip_parent_pairs(v.limit(0), cfg).count() == 0
+
+
+def test_lines_of_like_durations_do_not_meet(spark, monkeypatch):
+    """Videos of about one length have no clips among them, and no two lines are dealt."""
+    made = {}
+    monkeypatch.setattr(Q, "LINE", 10, raising=False)
+    monkeypatch.setattr(Q, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    v = spark.createDataFrame([(i, 100.0 + i % 5, f"h{i}", 1, None, 8) for i in range(60)], VIDEO)
+    assert Q.clip_parent_pairs(v, Q.SimilarConfig()).count() == 0
+    assert made["met"].count() == 0
